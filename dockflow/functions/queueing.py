@@ -72,12 +72,47 @@ def mean_transition(capacity, start, target, rho, lam, mu, t_start, t_end) -> Co
     return F.try_divide(rise, t_start)
 
 
-def _good_starts(capacity, target, rho, lam, mu, t_start, t_end, level: float) -> Column:
-    def ok(s: Column) -> Column:
-        g = mean_transition(capacity, s.cast("double"), target, rho, lam, mu, t_start, t_end)
-        return (1 - g) >= level
+def _service(capacity, target, rho, lam, mu, t_start, t_end) -> Column:
+    """Array of 1 - mean_transition for the starts 0..C.
+
+    The same value as calling mean_transition per start, arranged so that what
+    does not depend on the start is computed once per mode: each mode m adds its
+    coefficient times the start's wave to all starts.
+    """
+    capacity, target, rho = _col(capacity), _col(target), _col(rho)
+    lam, mu, t_start, t_end = _col(lam), _col(mu), _col(t_start), _col(t_end)
+    step, root = F.try_divide(F.lit(math.pi), capacity + 1), F.sqrt(rho)
+
+    def mode(m: Column) -> Column:
+        rate = decay_rate(m, lam, mu, capacity)
+        wave = F.sin(m * step * target) - root * F.sin(m * step * (target + 1))
+        fade = F.exp(-rate * t_start) - F.exp(-rate * t_end)
+        return F.struct(
+            (m * step).alias("angle"), F.try_divide(mu * wave * fade, rate * rate).alias("weight")
+        )
+
+    def add_mode(sums: Column, part: Column) -> Column:
+        def one(total: Column, s: Column) -> Column:
+            wave = F.sin(part["angle"] * s) - root * F.sin(part["angle"] * (s + 1))
+            return total + part["weight"] * wave
+
+        return F.transform(sums, one)
+
+    top = capacity.cast("int")
+    modes = F.transform(F.sequence(F.lit(1), top), mode)
+    sums = F.aggregate(modes, F.array_repeat(F.lit(0.0), top + 1), add_mode)
+    steady = steady_state(target, capacity, rho) * (t_start - t_end)
 
-    return F.filter(F.sequence(F.lit(0), _col(capacity).cast("int")), ok)
+    def service(total: Column, s: Column) -> Column:
+        scale = F.try_divide(2.0 * F.pow(rho, (target - s) / 2.0), capacity + 1)
+        return 1 - F.try_divide(steady - scale * total, t_start)
+
+    return F.when(capacity >= 1, F.transform(sums, service))
+
+
+def _good_starts(capacity, target, rho, lam, mu, t_start, t_end, level: float) -> Column:
+    values = _service(capacity, target, rho, lam, mu, t_start, t_end)
+    return F.transform(values, lambda v, s: F.when(v >= level, s))
 
 
 def lower_bound(capacity, rho, lam, mu, t_start, t_end, level: float = SERVICE_LEVEL) -> Column:

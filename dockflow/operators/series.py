@@ -32,40 +32,46 @@ def fill_across(
     inside an outer key, over the outer keys of a block, over the blocks.
     A gap at the top of the column takes the column's first value.
     """
-    value_key = F.struct(outer, inner)
-    known = F.when(F.col(value).isNotNull(), value_key)
     past = (W.unboundedPreceding, -1)
-
-    own = W.partitionBy(column, outer).orderBy(inner).rowsBetween(W.unboundedPreceding, 0)
-    filled = grid.withColumn("_own", F.last(value, ignorenulls=True).over(own)).withColumn(
-        "_block", F.floor(F.col(outer) / F.lit(block))
+    rows = W.partitionBy(column, outer).orderBy(inner)
+    whole = rows.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    filled = grid.withColumns(
+        {
+            "_own": F.last(value, ignorenulls=True).over(rows.rowsBetween(W.unboundedPreceding, 0)),
+            "_tail": F.last(value, ignorenulls=True).over(whole),
+            "_head": F.first(value, ignorenulls=True).over(whole),
+            "_closes": F.lead(F.lit(1)).over(rows).isNull(),
+            "_block": F.floor(F.col(outer) / F.lit(block)),
+        }
     )
 
-    tails = grid.groupBy(column, outer).agg(
-        F.max_by(value, F.when(F.col(value).isNotNull(), F.col(inner))).alias("_tail")
-    ).withColumn("_block", F.floor(F.col(outer) / F.lit(block)))
+    # one row per column and outer key, read off the same shuffled rows
+    tails = filled.where("_closes").select(column, outer, "_block", "_tail", "_head")
     in_block = W.partitionBy(column, "_block").orderBy(outer).rowsBetween(*past)
-    tails_carry = tails.withColumn("_near", F.last("_tail", ignorenulls=True).over(in_block))
-
-    over_blocks = W.partitionBy(column).orderBy("_block").rowsBetween(*past)
-    blocks = (
-        tails.groupBy(column, "_block")
-        .agg(
-            F.max_by("_tail", F.when(F.col("_tail").isNotNull(), F.col(outer))).alias("_block_tail")
-        )
-        .select(column, "_block", F.last("_block_tail", ignorenulls=True).over(over_blocks).alias("_far"))
+    near = tails.select(
+        column, outer, "_block", F.last("_tail", ignorenulls=True).over(in_block).alias("_near")
     )
-    heads = grid.groupBy(column).agg(F.min_by(value, known).alias("_head"))
-
-    carry = (
-        tails_carry.join(blocks, [column, "_block"])
-        .join(heads, column)
-        .select(column, outer, F.coalesce("_near", "_far", "_head").alias("_carry"))
+    at_tail = F.when(F.col("_tail").isNotNull(), F.col(outer))
+    blocks = tails.groupBy(column, "_block").agg(
+        F.max_by("_tail", at_tail).alias("_tail"), F.min_by("_head", at_tail).alias("_head")
+    )
+    over = W.partitionBy(column).orderBy("_block")
+    far = blocks.select(
+        column,
+        "_block",
+        F.last("_tail", ignorenulls=True).over(over.rowsBetween(*past)).alias("_far"),
+        F.first("_head", ignorenulls=True)
+        .over(over.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+        .alias("_top"),
+    )
+    carry = near.join(far, [column, "_block"]).select(
+        column, outer, F.coalesce("_near", "_far", "_top").alias("_carry")
     )
     return (
-        filled.join(carry, [column, outer])
+        filled.drop("_tail", "_head", "_closes", "_block")
+        .join(carry, [column, outer])
         .withColumn(value, F.coalesce("_own", "_carry"))
-        .drop("_own", "_carry", "_block")
+        .drop("_own", "_carry")
     )
 
 

@@ -72,14 +72,20 @@ def total_spread_long(long: DataFrame) -> DataFrame:
 
 
 def fit_kmeans(points: DataFrame, k: int = K, seed: int = SEED) -> KMeansModel:
-    return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(points)
+    """Fits on cached points: the fit reads its input more than once."""
+    used = points.select("features").persist()
+    try:
+        return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(used)
+    finally:
+        used.unpersist()
 
 
 def elbow(points: DataFrame, ks: Sequence[int], seed: int = SEED) -> list[tuple[int, float]]:
     """(k, within-cluster sum of squares); the points are cached for the fits."""
     cached = points.select("features").persist()
+    kmeans = KMeans(seed=seed, featuresCol="features", predictionCol="cluster")
     try:
-        return [(k, float(fit_kmeans(cached, k, seed).summary.trainingCost)) for k in ks]
+        return [(k, float(kmeans.setK(k).fit(cached).summary.trainingCost)) for k in ks]
     finally:
         cached.unpersist()
 
@@ -136,10 +142,10 @@ def nearest_centre(panel: DataFrame, centres: DataFrame) -> DataFrame:
     profile = profiles.station_profile(panel)
     stations = profile.groupBy("number").agg(F.sum("stands").alias("total"))
     distance = F.transform(
-        listed,
+        "_centres",
         lambda c: F.struct(F.abs(c["total"] - F.col("total")).alias("diff"), c["cluster"].alias("cluster")),
     )
-    best = stations.select("number", F.array_min(distance)["cluster"].cast("string").alias("cluster"))
+    best = stations.withColumn("_centres", listed).select("number", F.array_min(distance)["cluster"].cast("string").alias("cluster"))
     return explore.distinct_stations(panel).join(best, "number")
 
 

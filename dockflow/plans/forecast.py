@@ -238,13 +238,14 @@ def permutation_importance(model: PipelineModel, scored_rows: DataFrame, seed: i
     )
     partner = dealt.select("row_index", *[F.col(n).alias(f"_other_{n}") for n in names])
     paired = rows.join(partner, "row_index")
-    mse = F.avg(service.squared_error(F.col("av_bikes"), F.col("pred")))
-    base = model.transform(rows).agg(mse.alias("base"))
-    parts = []
-    for n in names:
-        mixed = paired.withColumn(n, F.col(f"_other_{n}"))
-        parts.append(model.transform(mixed).agg(F.lit(n).alias("feature"), mse.alias("mse")))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result.withColumn("increase", F.col("mse") - base.scalar())
+
+    def variant(mixed: str | None) -> Column:
+        values = [F.col(f"_other_{n}" if n == mixed else n).alias(n) for n in names]
+        return F.struct(F.lit(mixed or "").alias("feature"), "av_bikes", *values)
+
+    # all variants of a row go through the model in one pass
+    variants = paired.select(F.explode(F.array(*[variant(n) for n in [None, *names]])).alias("v"))
+    mse = F.avg(service.squared_error(F.col("av_bikes"), F.col("pred"))).alias("mse")
+    errors = model.transform(variants.select("v.*")).groupBy("feature").agg(mse)
+    base = F.max(F.when(F.col("feature") == "", F.col("mse"))).over(W.partitionBy(F.lit(0)))
+    return errors.withColumn("increase", F.col("mse") - base).where(F.col("feature") != "")

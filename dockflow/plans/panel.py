@@ -65,7 +65,7 @@ def activity_panel(
     """One row per station name, address, date and 10-minute slot."""
     rows = with_slot(dedupe(snapshots) if distinct else snapshots)
     rows, _ = quarantine(rows)
-    stock, moment = F.col("available_bike_stands"), F.struct("last_update", *tiebreak)
+    stock = F.col("available_bike_stands")
     slot_rows = W.partitionBy("number", "date", "slot").orderBy("last_update", *tiebreak)
     whole = slot_rows.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
 
@@ -83,7 +83,7 @@ def activity_panel(
         F.coalesce(F.sum(change), F.lit(0)).alias("_diff"),
         F.sum(check_in(change)).alias("_in"),
         F.sum(check_out(change)).alias("_out"),
-        F.max_by(stock, moment).alias("available_stands"),
+        F.max_by(stock, F.col("_seat")).alias("available_stands"),
         F.max(F.when(F.col("_seat") == 1, stock)).alias("_opening"),
         F.max("_closing").alias("_closing"),
     )
@@ -119,6 +119,7 @@ def snapshot_changes(
 ) -> DataFrame:
     """Every snapshot with its change, check-in, check-out and the station's first time.
 
+    ``seat`` is its place within the station's hour.
     Rows are windowed per (station, hour), bounded after dedupe; the stock
     carried into an hour comes from a table of at most 24 rows per station and
     day.  Both inputs read one shuffle of the deduplicated rows.
@@ -129,7 +130,9 @@ def snapshot_changes(
     bucket = ["number", "date", "hour"]
     stock, moment = F.col("available_bike_stands"), F.struct("last_update", *tiebreak)
     inside = W.partitionBy(*bucket).orderBy("last_update", *tiebreak)
-    within = rows.withColumn("_prev", F.lag(stock).over(inside))
+    within = rows.withColumns(
+        {"_prev": F.lag(stock).over(inside), "seat": F.row_number().over(inside)}
+    )
 
     station = W.partitionBy("number")
     previous = station.orderBy("date", hour_order(F.col("hour"), order))

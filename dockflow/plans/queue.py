@@ -107,9 +107,7 @@ def queue_panel(
     rows = joined_interarrival(with_interarrival(changes, tiebreak))
     rolled = rows.groupBy("number", "name", "address", "date", "slot").agg(
         F.min("bike_stands").alias("bike_stands"),
-        F.max_by("available_bike_stands", F.struct("last_update", *tiebreak)).alias(
-            "available_stands"
-        ),
+        F.max_by("available_bike_stands", "seat").alias("available_stands"),
         F.sum("prev_period_diff").alias("prev_period_diff"),
         F.sum("check_in").alias("check_in"),
         F.avg("cust_ia").alias("cust_ia"),
@@ -154,10 +152,19 @@ def queue_parameters(queue: DataFrame) -> DataFrame:
     )
 
 
+def _spread(params: DataFrame) -> DataFrame:
+    """Keeps every core busy: the formulas cost far more than the rows' bytes,
+
+    by which adaptive execution would merge them into a few tasks.
+    """
+    tasks = int(params.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return params.repartition(tasks, "number", "name", "weekday", "h")
+
+
 def with_probabilities(params: DataFrame, target: float = TARGET, t: float = 1.0) -> DataFrame:
     c, s = F.col("capacity").cast("double"), F.col("start").cast("double")
     rho, lam, mu = F.col("rho"), F.col("lam"), F.col("mu")
-    return params.withColumns(
+    return _spread(params).withColumns(
         {
             "steady": queueing.steady_state(target, c, rho),
             "probability": queueing.transition(c, s, target, rho, lam, mu, t),
@@ -167,7 +174,7 @@ def with_probabilities(params: DataFrame, target: float = TARGET, t: float = 1.0
 
 def with_bounds(params: DataFrame, t_start: float = T_START, t_end: float = T_END) -> DataFrame:
     c, rho, lam, mu = F.col("capacity").cast("double"), F.col("rho"), F.col("lam"), F.col("mu")
-    return params.withColumns(
+    return _spread(params).withColumns(
         {
             "s_min": queueing.lower_bound(c, rho, lam, mu, t_start, t_end),
             "s_max": queueing.upper_bound(c, rho, lam, mu, t_start, t_end),
