@@ -101,7 +101,7 @@ def exact_quantiles(
 
 
 def row_index(df: DataFrame, key: str, order: Sequence[str], block: int = 4096) -> DataFrame:
-    """Adds ``row_index``, the 1-based position in (key, order) order.
+    """Adds ``row_index``, the 1-based position in (key, order) order, and ``row_count``.
 
     Rows are numbered per key; key offsets come from running counts inside
     blocks of keys and over the blocks.  With an int key the last window sees
@@ -114,16 +114,21 @@ def row_index(df: DataFrame, key: str, order: Sequence[str], block: int = 4096)
     )
     in_block = W.partitionBy("_block").orderBy(key).rowsBetween(W.unboundedPreceding, -1)
     # one constant key instead of none: the input is block totals, see above
-    over_blocks = W.partitionBy(F.lit(0)).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    everything = W.partitionBy(F.lit(0))
+    over_blocks = everything.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     blocks = (
         counts.groupBy("_block")
         .agg(F.sum("_n").alias("_total"))
-        .select("_block", F.coalesce(F.sum("_total").over(over_blocks), F.lit(0)).alias("_blocks"))
+        .select(
+            "_block",
+            F.coalesce(F.sum("_total").over(over_blocks), F.lit(0)).alias("_blocks"),
+            F.sum("_total").over(everything).alias("row_count"),
+        )
     )
     offsets = (
         counts.withColumn("_inner", F.coalesce(F.sum("_n").over(in_block), F.lit(0)))
         .join(blocks, "_block")
-        .select(key, (F.col("_inner") + F.col("_blocks")).alias("_offset"))
+        .select(key, (F.col("_inner") + F.col("_blocks")).alias("_offset"), "row_count")
     )
     seat = F.row_number().over(W.partitionBy(key).orderBy(*order))
     return (

@@ -139,14 +139,18 @@ def nearest_centre(panel: DataFrame, centres: DataFrame) -> DataFrame:
     """
     totals = centres.groupBy("cluster").agg(F.sum("available_stands").alias("total"))
     listed = totals.agg(F.collect_list(F.struct("cluster", "total"))).scalar()
-    profile = profiles.station_profile(panel)
-    stations = profile.groupBy("number").agg(F.sum("stands").alias("total"))
+    # the total is per number over all its names, of which a station has few
+    names = profiles.station_profile(panel).groupBy("number", "name").agg(F.sum("stands").alias("_part"))
+    stations = names.withColumns(
+        {"_total": F.sum("_part").over(W.partitionBy("number")), "_centres": listed}
+    )
     distance = F.transform(
         "_centres",
-        lambda c: F.struct(F.abs(c["total"] - F.col("total")).alias("diff"), c["cluster"].alias("cluster")),
+        lambda c: F.struct(F.abs(c["total"] - F.col("_total")).alias("diff"), c["cluster"].alias("cluster")),
+    )
+    return stations.select(
+        "number", "name", F.array_min(distance)["cluster"].cast("string").alias("cluster")
     )
-    best = stations.withColumn("_centres", listed).select("number", F.array_min(distance)["cluster"].cast("string").alias("cluster"))
-    return explore.distinct_stations(panel).join(best, "number")
 
 
 def with_cluster(panel: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -78,15 +78,16 @@ def weekday_activity(panel: DataFrame) -> DataFrame:
     return panel.groupBy("number", "name", "weekday").agg(F.sum(activity()).alias("tot_act"))
 
 
-def box_statistics(values: DataFrame, by: str, value: str) -> DataFrame:
+def box_statistics(values: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Quartiles, whiskers (1.5 IQR) and number of points beyond them per group."""
-    quartiles = exact_quantiles(values, [by], value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    keys = list(by)
+    quartiles = exact_quantiles(values, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
     inside = (F.col(value) >= F.col("q1") - reach) & (F.col(value) <= F.col("q3") + reach)
     return (
         values.where(F.col(value).isNotNull())
-        .join(quartiles, by)
-        .groupBy(by, "q1", "median", "q3")
+        .join(quartiles, keys)
+        .groupBy(*keys, "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, F.col(value).cast("double"))).alias("low_whisker"),
             F.max(F.when(inside, F.col(value).cast("double"))).alias("high_whisker"),
@@ -97,13 +98,13 @@ def box_statistics(values: DataFrame, by: str, value: str) -> DataFrame:
 
 def weekday_boxes(panel: DataFrame) -> DataFrame:
     """Box statistics per weekday of the station means and station totals."""
-    means, total = weekday_means(panel), weekday_activity(panel)
-    parts = [
-        box_statistics(means, "weekday", "avg_cin").withColumn("measure", F.lit("avg_cin")),
-        box_statistics(means, "weekday", "avg_cout").withColumn("measure", F.lit("avg_cout")),
-        box_statistics(total, "weekday", "tot_act").withColumn("measure", F.lit("tot_act")),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    per = panel.groupBy("number", "name", "weekday").agg(
+        F.avg("check_in").alias("avg_cin"),
+        F.avg("check_out").alias("avg_cout"),
+        F.sum(activity()).cast("double").alias("tot_act"),
+    )
+    long = per.unpivot(["weekday"], ["avg_cin", "avg_cout", "tot_act"], "measure", "value")
+    return box_statistics(long, ["weekday", "measure"], "value")
 
 
 def day_part_usage(panel: DataFrame) -> DataFrame:

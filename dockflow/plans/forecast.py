@@ -12,7 +12,8 @@ from pyspark.sql import Window as W
 from dockflow.functions import calendar as cal
 from dockflow.functions import service
 from dockflow.functions.flows import activity, occupancy
-from dockflow.operators.ranking import row_index, top_n
+from dockflow.operators.keys import null_safe_join
+from dockflow.operators.ranking import row_index
 from dockflow.plans.clusters import with_cluster
 from dockflow.schemas import HALF_HOURS, SEASONS, WEEKDAYS
 
@@ -33,16 +34,19 @@ def station_sample(
     """
     per = with_cluster(
         panel.groupBy("number").agg(F.sum(activity()).alias("tot_act")), clusters
-    ).distinct()
-    keep = ["number", "cluster"]
-    top = top_n(per, 1, "tot_act", by=["cluster"]).select(*keep, F.lit("top").alias("pick"))
-    bottom = top_n(per, -1, "tot_act", by=["cluster"]).select(*keep, F.lit("bottom").alias("pick"))
-    chosen = top.unionByName(bottom)
-    rest = per.where(F.col("cluster").isin(*CLUSTERS)).join(chosen, "number", "left_anti")
+    )
+    ends = per.groupBy("cluster").agg(F.max("tot_act").alias("_hi"), F.min("tot_act").alias("_lo"))
+    judged = null_safe_join(per, ends, ["cluster"])
+    top, bottom = F.col("tot_act") == F.col("_hi"), F.col("tot_act") == F.col("_lo")
+    picks = F.array_compact(
+        F.array(F.when(top, F.lit("top")), F.when(bottom, F.lit("bottom")))
+    )
+    chosen = judged.select("number", "cluster", F.explode(picks).alias("pick"))
+    rest = judged.where(~top & ~bottom & F.col("cluster").isin(*CLUSTERS))
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col("number").cast("string")))
     seat = F.row_number().over(W.partitionBy("cluster").orderBy(draw, "number"))
     others = rest.withColumn("_seat", seat).where(F.col("_seat") <= per_cluster)
-    return chosen.unionByName(others.select(*keep, F.lit("sample").alias("pick")))
+    return chosen.unionByName(others.select("number", "cluster", F.lit("sample").alias("pick")))
 
 
 def half_hour_features(panel: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -75,9 +79,9 @@ def positional_split(features: DataFrame) -> DataFrame:
     Rows are in station order, so the test rows are mostly unseen stations.
     """
     indexed = row_index(features, "number", FEATURE_ORDER)
-    n = features.agg(F.floor(F.count(F.lit(1)) / F.lit(10))).scalar()
+    n = F.floor(F.col("row_count") / F.lit(10))
     test = (F.col("row_index") >= 7 * n + 1) & (F.col("row_index") <= 10 * n)
-    return indexed.withColumn("split", F.when(test, "test").otherwise("train"))
+    return indexed.withColumn("split", F.when(test, "test").otherwise("train")).drop("row_count")
 
 
 def time_split(features: DataFrame, first_test_day: str) -> DataFrame:
