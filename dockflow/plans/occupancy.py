@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 
 from dockflow.functions import calendar as cal
 from dockflow.functions.flows import occupancy
+from dockflow.operators.keys import null_safe_join
 
 
 def heatmap(panel: DataFrame, by_station: bool = False) -> DataFrame:
@@ -42,10 +43,11 @@ def with_overall_slot_mean(panel: DataFrame) -> DataFrame:
     """Each row with the all-station mean of its slot and weekday.
 
     There are at most 1 008 groups but each holds rows of every station, so the
-    means are aggregated and broadcast instead of windowed.
+    means are aggregated and broadcast instead of windowed.  A null-safe
+    match adds no filter to one side, which would keep exchanges from being reused.
     """
     means = panel.groupBy("slot", "weekday").agg(F.avg(occupancy()).alias("avg_bikes"))
-    return panel.join(F.broadcast(means), ["slot", "weekday"], "left")
+    return null_safe_join(panel, F.broadcast(means), ["slot", "weekday"], "left")
 
 
 def station_titles(panel: DataFrame, exclude_address: str) -> DataFrame:

@@ -126,7 +126,10 @@ def snapshot_changes(
     """
     rows = with_slot(dedupe(snapshots) if distinct else snapshots)
     rows, _ = quarantine(rows)
-    rows = rows.withColumn("hour", F.hour("last_update"))
+    # stated here, not left to be inferred from the join below: both inputs then
+    # scan with equal filters and share the shuffle of the deduplicated rows
+    known = F.col("date").isNotNull() & F.col("hour").isNotNull()
+    rows = rows.withColumn("hour", F.hour("last_update")).where(known)
     bucket = ["number", "date", "hour"]
     stock, moment = F.col("available_bike_stands"), F.struct("last_update", *tiebreak)
     inside = W.partitionBy(*bucket).orderBy("last_update", *tiebreak)

@@ -49,7 +49,7 @@ def grid(panel: DataFrame) -> DataFrame:
     """Cells plus a NULL cell for every slot a station's day lacks."""
     known = cells(panel)
     slots = F.array(*[F.lit(s) for s in DAY_SLOTS])
-    days = panel.select("number", "date").distinct()
+    days = known.select("number", "date").distinct()
     return days.withColumn("slot", F.explode(slots)).join(known, ["number", "date", "slot"], "left")
 
 

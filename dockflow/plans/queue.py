@@ -14,6 +14,7 @@ from dockflow.plans.panel import CHRONOLOGICAL, TIEBREAK, snapshot_changes
 
 TARGET = 30
 T_START, T_END = 10.0, 6.0
+NO_TEXT = "\u0000"
 
 
 def with_interarrival(changes: DataFrame, tiebreak: Sequence[str] = TIEBREAK) -> DataFrame:
@@ -23,9 +24,12 @@ def with_interarrival(changes: DataFrame, tiebreak: Sequence[str] = TIEBREAK) ->
     and address; NULL on other rows and on the first one.  Windows cover one
     hour; the last event before the hour comes from an hourly table.
     """
-    bucket = ["number", "name", "address", "date", "hour"]
+    # a NULL name or address is a group of its own, also in the join
+    bucket = ["number", "_name", "_address", "date", "hour"]
     events = changes.withColumns(
         {
+            "_name": F.coalesce("name", F.lit(NO_TEXT)),
+            "_address": F.coalesce("address", F.lit(NO_TEXT)),
             "_in_at": F.when(F.col("check_in") != 0, F.col("last_update")),
             "_out_at": F.when(F.col("check_out") != 0, F.col("last_update")),
         }
@@ -36,7 +40,7 @@ def with_interarrival(changes: DataFrame, tiebreak: Sequence[str] = TIEBREAK) ->
         .rowsBetween(W.unboundedPreceding, -1)
     )
     earlier = (
-        W.partitionBy("number", "name", "address")
+        W.partitionBy("number", "_name", "_address")
         .orderBy("date", "hour")
         .rowsBetween(W.unboundedPreceding, -1)
     )
@@ -66,7 +70,9 @@ def with_interarrival(changes: DataFrame, tiebreak: Sequence[str] = TIEBREAK) ->
             "cust_ia": gap("_in_at", "_in_seen", "_in_carried"),
             "service_ia": gap("_out_at", "_out_seen", "_out_carried"),
         }
-    ).drop("_in_at", "_out_at", "_in_seen", "_out_seen", "_in_carried", "_out_carried")
+    ).drop(
+        "_in_at", "_out_at", "_in_seen", "_out_seen", "_in_carried", "_out_carried", "_name", "_address"
+    )
 
 
 def joined_interarrival(rows: DataFrame) -> DataFrame:

@@ -57,4 +57,4 @@ def weather_hourly(spark: SparkSession, path: str) -> DataFrame:
         .option("enforceSchema", True)
         .csv(path)
     )
-    return df.withColumn("date", F.expr("try_to_timestamp(date)").cast("timestamp_ntz"))
+    return df.withColumn("date", F.col("date").try_cast("timestamp_ntz"))

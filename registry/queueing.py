@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from dockflow.functions import queueing
 from dockflow.plans import panel as panels
 from dockflow.plans import queue
 from registry import fixture as fx
@@ -45,6 +46,18 @@ def _probabilities(s, d):
     return plain(rows.select("number", "name", "weekday", "h", "steady", "probability"))
 
 
+def _terms(s, d):
+    """The single terms of the formula for the fifth mode."""
+    c, start = F.col("capacity").cast("double"), F.col("start").cast("double")
+    rho, lam, mu = F.col("rho"), F.col("lam"), F.col("mu")
+    rate = queueing.decay_rate(5, lam, mu, c)
+    rows = _params(s, d).select(
+        "number", "name", "weekday", "h", rate.alias("rate"),
+        queueing.mode_weight(5, mu, rate, start, c, rho, TARGET).alias("weight"),
+        queueing.mean_transition(c, start, TARGET, rho, lam, mu, queue.T_START, queue.T_END).alias("g"))
+    return plain(rows)
+
+
 def _bounds(s, d):
     rows = queue.with_bounds(_params(s, d))
     return plain(rows.select(
@@ -61,6 +74,7 @@ QUERIES = {
     "queue_worst_gap": lambda s, d: plain(queue.worst_gaps(_queue(s, d))),
     "queue_params": lambda s, d: plain(_params(s, d)),
     "queue_prob": _probabilities,
+    "queue_terms": _terms,
     "queue_bounds": _bounds,
 }
 
@@ -104,16 +118,18 @@ params AS (
     FROM queue WHERE date >= DATE '2024-01-08' GROUP BY number, name, 3, h))"""
 
 
-def _p(start: str, target: str, t: str) -> str:
-    """Transition probability of one row of params as SQL."""
-    rate = "(lam + mu - 2.0 * sqrt(lam * mu) * cos(m * pi() / (capacity + 1)))"
+RATE = "(lam + mu - 2.0 * sqrt(lam * mu) * cos({m} * pi() / (capacity + 1)))"
+
 
-    def wave(level: str) -> str:
-        return (
-            f"(sin(m * {level} * pi() / (capacity + 1)) - sqrt(rho) * sin(m * ({level} + 1) * pi() / (capacity + 1)))"
-        )
+def _wave(m: str, level: str) -> str:
+    step = "pi() / (capacity + 1)"
+    return f"(sin({m} * {level} * {step}) - sqrt(rho) * sin({m} * ({level} + 1) * {step}))"
 
-    term = f"mu / {rate} * {wave(start)} * {wave(target)} * exp(-{rate} * {t}) / {rate}"
+
+def _p(start: str, target: str, t: str) -> str:
+    """Transition probability of one row of params as SQL."""
+    rate = RATE.format(m="m")
+    term = f"mu / {rate} * {_wave('m', start)} * {_wave('m', target)} * exp(-{rate} * {t}) / {rate}"
     total = f"list_sum(list_transform(range(1, CAST(capacity AS BIGINT) + 1), lambda m: {term}))"
     steady = (
         f"(CASE WHEN rho = 1 THEN 1.0 / (capacity + 1) "
@@ -166,6 +182,12 @@ peaks AS (SELECT number, max(cust_ia) AS peak, max(service_ia) AS max_service_ia
         f"SELECT {KEY}, round(CASE WHEN rho = 1 THEN 1.0 / (capacity + 1) ELSE (1 - rho) / (1 - pow(rho, capacity + 1)) * "
         f"pow(rho, 30.0) END + 1.3e-9, 6) + 0.0 AS steady, round({_p('start', '30.0', '1.0')} + 1.3e-9, 6) + 0.0 AS probability FROM params",
     ),
+    "queue_terms": select(
+        [fx.CHANGES, IA, PARAMS],
+        f"SELECT {KEY}, round({RATE.format(m=5)} + 1.3e-9, 6) + 0.0 AS rate, "
+        f"round(mu / {RATE.format(m=5)} * {_wave('5', 'start')} * {_wave('5', '30.0')} + 1.3e-9, 6) + 0.0 AS weight, "
+        f"round(({_p('start', '30.0', '10.0')} - {_p('start', '30.0', '6.0')}) / 10.0 + 1.3e-9, 6) + 0.0 AS g FROM params",
+    ),
     "queue_bounds": select(
         [fx.CHANGES, IA, PARAMS],
         f"SELECT {KEY}, CAST(CASE WHEN rho IS NOT NULL THEN list_min({_good('0.0')}) END AS DOUBLE) AS s_min, "
