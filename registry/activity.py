@@ -129,8 +129,8 @@ SQL = {
     ),
     "weekday_means": select(
         [fx.PANEL],
-        "SELECT CAST(number AS BIGINT) AS number, name, weekday, round(avg(check_in), 6) AS avg_cin, "
-        "round(avg(check_out), 6) AS avg_cout FROM panel GROUP BY number, name, weekday",
+        "SELECT CAST(number AS BIGINT) AS number, name, weekday, round(avg(check_in) + 1.3e-9, 6) + 0.0 AS avg_cin, "
+        "round(avg(check_out) + 1.3e-9, 6) + 0.0 AS avg_cout FROM panel GROUP BY number, name, weekday",
     ),
     "weekday_activity": select(
         [fx.PANEL],
@@ -139,9 +139,9 @@ SQL = {
     ),
     "weekday_box": select(
         [fx.PANEL, BOX],
-        "SELECT weekday, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, "
-        "round(min(CASE WHEN v >= q1 - 1.5 * (q3 - q1) AND v <= q3 + 1.5 * (q3 - q1) THEN v END), 6) AS low_whisker, "
-        "round(max(CASE WHEN v >= q1 - 1.5 * (q3 - q1) AND v <= q3 + 1.5 * (q3 - q1) THEN v END), 6) AS high_whisker, "
+        "SELECT weekday, round(q1 + 1.3e-9, 6) + 0.0 AS q1, round(median + 1.3e-9, 6) + 0.0 AS median, round(q3 + 1.3e-9, 6) + 0.0 AS q3, "
+        "round(min(CASE WHEN v >= q1 - 1.5 * (q3 - q1) AND v <= q3 + 1.5 * (q3 - q1) THEN v END) + 1.3e-9, 6) + 0.0 AS low_whisker, "
+        "round(max(CASE WHEN v >= q1 - 1.5 * (q3 - q1) AND v <= q3 + 1.5 * (q3 - q1) THEN v END) + 1.3e-9, 6) + 0.0 AS high_whisker, "
         "count(CASE WHEN NOT (v >= q1 - 1.5 * (q3 - q1) AND v <= q3 + 1.5 * (q3 - q1)) THEN 1 END) AS outliers, measure "
         "FROM vals JOIN q USING (weekday, measure) GROUP BY weekday, measure, q1, median, q3",
     ),
@@ -150,13 +150,13 @@ SQL = {
         "SELECT CAST(number AS BIGINT) AS number, name, CASE WHEN slot // 60 BETWEEN 5 AND 11 THEN 'Morning' "
         "WHEN slot // 60 BETWEEN 12 AND 18 THEN 'Afternoon' WHEN slot // 60 >= 19 THEN 'Night' ELSE 'Late night' END AS period, "
         "weekday, CAST(sum(check_in) AS BIGINT) AS tot_in, CAST(sum(check_out) AS BIGINT) AS tot_out, "
-        "round(avg(check_in), 6) AS avg_in, round(avg(check_out), 6) AS avg_out FROM panel GROUP BY 1, 2, 3, 4",
+        "round(avg(check_in) + 1.3e-9, 6) + 0.0 AS avg_in, round(avg(check_out) + 1.3e-9, 6) + 0.0 AS avg_out FROM panel GROUP BY 1, 2, 3, 4",
     ),
     "hourly_mean_sd": select(
         [fx.PANEL],
-        "SELECT CAST(number AS BIGINT) AS number, CAST(slot // 60 AS BIGINT) AS t_hour, round(avg(check_in), 6) AS mean_in, "
-        "round(stddev_samp(check_in), 6) AS sd_in, round(avg(check_out), 6) AS mean_out, "
-        "round(stddev_samp(check_out), 6) AS sd_out FROM panel WHERE number = 5 GROUP BY 1, 2",
+        "SELECT CAST(number AS BIGINT) AS number, CAST(slot // 60 AS BIGINT) AS t_hour, round(avg(check_in) + 1.3e-9, 6) + 0.0 AS mean_in, "
+        "round(stddev_samp(check_in) + 1.3e-9, 6) + 0.0 AS sd_in, round(avg(check_out) + 1.3e-9, 6) + 0.0 AS mean_out, "
+        "round(stddev_samp(check_out) + 1.3e-9, 6) + 0.0 AS sd_out FROM panel WHERE number = 5 GROUP BY 1, 2",
     ),
     "slot_variability": select([fx.PANEL, VARIABILITY], f"SELECT {VARIABILITY_OUT} FROM vari"),
     "slot_variability_top_per_station": select(
@@ -168,18 +168,18 @@ SQL = {
     "monday_by_slot": _profile("slot", "slot"),
     "pair_curve": select(
         [fx.PANEL],
-        "SELECT name, CAST(slot AS BIGINT) AS slot, round(avg(check_in), 6) AS mean_in, round(avg(check_out), 6) AS mean_out "
+        "SELECT name, CAST(slot AS BIGINT) AS slot, round(avg(check_in) + 1.3e-9, 6) + 0.0 AS mean_in, round(avg(check_out) + 1.3e-9, 6) + 0.0 AS mean_out "
         "FROM panel WHERE number = 5 OR number = 8 GROUP BY name, slot",
     ),
     "pair_curve_weekday": select(
         [fx.PANEL],
-        "SELECT name, CAST(slot AS BIGINT) AS slot, weekday, round(avg(check_in), 6) AS mean_in, "
-        "round(avg(check_out), 6) AS mean_out FROM panel WHERE number = 5 OR number = 8 GROUP BY name, slot, weekday",
+        "SELECT name, CAST(slot AS BIGINT) AS slot, weekday, round(avg(check_in) + 1.3e-9, 6) + 0.0 AS mean_in, "
+        "round(avg(check_out) + 1.3e-9, 6) + 0.0 AS mean_out FROM panel WHERE number = 5 OR number = 8 GROUP BY name, slot, weekday",
     ),
     "weekend_early": select(
         [fx.PANEL],
         "SELECT name, CAST(slot AS BIGINT) AS slot, weekday, max(check_in) AS max_in, max(check_out) AS max_out, "
-        "round(avg(check_in), 6) AS mean_in, round(avg(check_out), 6) AS mean_out FROM panel "
+        "round(avg(check_in) + 1.3e-9, 6) + 0.0 AS mean_in, round(avg(check_out) + 1.3e-9, 6) + 0.0 AS mean_out FROM panel "
         "WHERE number IN (5, 8) AND weekday IN ('Sat', 'Sun') AND slot // 60 > 5 AND slot // 60 < 10 "
         "GROUP BY name, slot, weekday",
     ),
@@ -189,7 +189,7 @@ act AS (SELECT address, CAST(sum(check_in + check_out) AS BIGINT) AS tot_act FRO
 picked AS (SELECT address, tot_act FROM (SELECT *, rank() OVER (ORDER BY tot_act DESC) AS hi,
            rank() OVER (ORDER BY tot_act) AS lo FROM act) WHERE hi <= 10 OR lo <= 10)"""],
         "SELECT CAST(x.number AS BIGINT) AS number, x.address, x.tot_act, CASE WHEN x.tot_act > 1500 THEN 'Most Active' "
-        "ELSE 'Least Active' END AS rank, g.name, round(g.latitude, 6) AS latitude, round(g.longitude, 6) AS longitude "
+        "ELSE 'Least Active' END AS rank, g.name, round(g.latitude + 1.3e-9, 6) + 0.0 AS latitude, round(g.longitude + 1.3e-9, 6) + 0.0 AS longitude "
         "FROM (SELECT DISTINCT p.number, p.address, k.tot_act FROM panel p JOIN picked k ON p.address = k.address) x "
         "LEFT JOIN geo g ON x.number = g.number AND x.address = g.address",
     ),

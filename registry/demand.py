@@ -121,9 +121,9 @@ split AS (SELECT *, CASE WHEN row_index >= 7 * n + 1 AND row_index <= 10 * n THE
 
 def _metrics(source: str) -> str:
     return (
-        "SELECT round(sqrt(avg(pow(ln(1 + av_bikes) - ln(1 + pred), 2))), 6) AS rmsle_raw, "
-        "round(sqrt(avg(pow(av_bikes - pred, 2))), 6) AS rmse_raw, "
-        f"round(sqrt(avg(pow(av_bikes - round_even(pred, 0), 2))), 6) AS rmse_rounded FROM {source}"
+        "SELECT round(sqrt(avg(pow(ln(1 + av_bikes) - ln(1 + pred), 2))) + 1.3e-9, 6) + 0.0 AS rmsle_raw, "
+        "round(sqrt(avg(pow(av_bikes - pred, 2))) + 1.3e-9, 6) + 0.0 AS rmse_raw, "
+        f"round(sqrt(avg(pow(av_bikes - round_even(pred, 0), 2))) + 1.3e-9, 6) + 0.0 AS rmse_rounded FROM {source}"
     )
 
 
@@ -131,12 +131,12 @@ def _curves(keys: str, where: str = "") -> str:
     names = {"number": "CAST(number AS BIGINT) AS number"}
     out = ", ".join(names.get(k, k) for k in keys.split(", "))
     return (
-        f"SELECT {out}, round(avg(av_bikes), 6) AS mean_av_bikes, round(avg(round_even(pred, 0)), 6) AS mean_pred, "
+        f"SELECT {out}, round(avg(av_bikes) + 1.3e-9, 6) + 0.0 AS mean_av_bikes, round(avg(round_even(pred, 0)) + 1.3e-9, 6) + 0.0 AS mean_pred, "
         f"CAST(max(bike_stands) AS BIGINT) AS tot_stands FROM given {where} GROUP BY {keys}"
     )
 
 
-PLACE = "round(latitude, 6) AS latitude, round(longitude, 6) AS longitude"
+PLACE = "round(latitude + 1.3e-9, 6) + 0.0 AS latitude, round(longitude + 1.3e-9, 6) + 0.0 AS longitude"
 NUM = "CAST(number AS BIGINT) AS number"
 
 SQL = {
@@ -166,21 +166,21 @@ rest AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY md5(concat('
     "forecast_metrics_split": select([*GIVEN, INDEXED], _metrics("split WHERE split = 'test'")),
     "forecast_metrics_unseen": select(
         WEEK,
-        "SELECT round(sqrt(avg(pow(av_bikes - pred, 2))), 6) AS rmse_raw, "
-        "round(sqrt(avg(pow(ln(1 + abs(av_bikes)) - ln(1 + round_even(pred, 0)), 2))), 6) AS rmsle_rounded FROM week",
+        "SELECT round(sqrt(avg(pow(av_bikes - pred, 2))) + 1.3e-9, 6) + 0.0 AS rmse_raw, "
+        "round(sqrt(avg(pow(ln(1 + abs(av_bikes)) - ln(1 + round_even(pred, 0)), 2))) + 1.3e-9, 6) + 0.0 AS rmsle_rounded FROM week",
     ),
     "forecast_band": select(
         BAND,
         f"SELECT {NUM}, name, CAST(date AS VARCHAR) AS date, time, av_bikes, pred, "
-        "round(error, 6) AS error, round(up_bound, 6) AS up_bound, round(low_bound, 6) AS low_bound FROM band",
+        "round(error + 1.3e-9, 6) + 0.0 AS error, round(up_bound + 1.3e-9, 6) + 0.0 AS up_bound, round(low_bound + 1.3e-9, 6) + 0.0 AS low_bound FROM band",
     ),
     "stock_verdict": select(
         JUDGED,
-        f"SELECT {NUM}, name, CAST(date AS VARCHAR) AS date, av_bikes, pred, round(error, 6) AS error, "
-        "round(up_bound, 6) AS up_bound, round(low_bound, 6) AS low_bound, acc_pred FROM judged",
+        f"SELECT {NUM}, name, CAST(date AS VARCHAR) AS date, av_bikes, pred, round(error + 1.3e-9, 6) + 0.0 AS error, "
+        "round(up_bound + 1.3e-9, 6) + 0.0 AS up_bound, round(low_bound + 1.3e-9, 6) + 0.0 AS low_bound, acc_pred FROM judged",
     ),
     "stock_gap_size": select(
-        JUDGED, f"SELECT {NUM}, name, acc_pred, round(CAST(gap AS DOUBLE), 6) AS gap, {PLACE} FROM judged"
+        JUDGED, f"SELECT {NUM}, name, acc_pred, round(CAST(gap AS DOUBLE) + 1.3e-9, 6) + 0.0 AS gap, {PLACE} FROM judged"
     ),
     "station_range": select(JUDGED, f"SELECT {NUM}, name, st_range FROM judged"),
     "verdict_counts": select(JUDGED, "SELECT st_range, acc_pred, count(*) AS stations FROM judged GROUP BY ALL"),

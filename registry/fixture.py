@@ -203,12 +203,12 @@ half AS (
   LEFT JOIN geo g ON h.number = g.number)"""
 
 
-# Means of microsecond gaps often end exactly halfway between two sixth
-# digits, where the engines round differently; this moves them off the middle.
+# Means often end exactly halfway between two sixth digits, where the engines
+# round differently; this moves them off the middle.  The SQL adds the same.
 NUDGE = 1.3e-9
 
 
-def plain(df: DataFrame, digits: int = 6, nudge: float = 0.0) -> DataFrame:
+def plain(df: DataFrame, digits: int = 6, nudge: float = NUDGE) -> DataFrame:
     """Comparable output: bigint, rounded double, string; dates as text."""
     out = []
     for field in df.schema.fields:
@@ -217,7 +217,7 @@ def plain(df: DataFrame, digits: int = 6, nudge: float = 0.0) -> DataFrame:
         if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType)):
             c = c.cast("bigint")
         elif isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
-            c = F.round(c.cast("double") + F.lit(nudge), digits) + F.lit(0.0)
+            c = F.round(c.cast("double") + F.lit(nudge), digits)
         elif isinstance(kind, T.DateType):
             c = c.cast("string")
         elif isinstance(kind, (T.TimestampNTZType, T.TimestampType)):
@@ -234,8 +234,8 @@ def ints(*names: str) -> str:
     return ", ".join(f"CAST({n} AS BIGINT) AS {n}" for n in names)
 
 
-def reals(*names: str, nudge: float = 0.0) -> str:
-    return ", ".join(f"round(CAST({n} AS DOUBLE) + {nudge}, 6) + 0.0 AS {n}" for n in names)
+def reals(*names: str) -> str:
+    return ", ".join(f"round(CAST({n} AS DOUBLE) + {NUDGE}, 6) + 0.0 AS {n}" for n in names)
 
 
 def days(*names: str) -> str:

@@ -37,7 +37,7 @@ QUERIES = {
     ),
 }
 
-PLACE = "round(latitude, 6) AS latitude, round(longitude, 6) AS longitude"
+PLACE = "round(latitude + 1.3e-9, 6) + 0.0 AS latitude, round(longitude + 1.3e-9, 6) + 0.0 AS longitude"
 KEYS = (
     "CAST(number AS BIGINT) AS number, name, CAST(date AS VARCHAR) AS date, CAST(slot AS BIGINT) AS slot, weekday"
 )
@@ -46,23 +46,23 @@ PANEL_OUT = fx.PANEL_OUT.replace("number::BIGINT AS number, name, address", "p.n
 SQL = {
     "heatmap_all": select(
         [fx.PANEL],
-        "SELECT CAST(slot AS BIGINT) AS slot, weekday, round(avg(bike_stands - available_stands), 6) + 0.0 AS avg_bikes, "
+        "SELECT CAST(slot AS BIGINT) AS slot, weekday, round(avg(bike_stands - available_stands) + 1.3e-9, 6) + 0.0 AS avg_bikes, "
         "CAST(max(bike_stands) AS BIGINT) AS bike_stands FROM panel GROUP BY slot, weekday",
     ),
     "heatmap_station": select(
         [fx.PANEL],
         "SELECT CAST(number AS BIGINT) AS number, CAST(slot AS BIGINT) AS slot, weekday, "
-        "round(avg(bike_stands - available_stands), 6) + 0.0 AS avg_bikes, "
+        "round(avg(bike_stands - available_stands) + 1.3e-9, 6) + 0.0 AS avg_bikes, "
         "CAST(max(bike_stands) AS BIGINT) AS bike_stands FROM panel GROUP BY number, slot, weekday",
     ),
     "heatmap_rows_station": select(
         [fx.PANEL],
-        f"SELECT {KEYS}, round(avg(bike_stands - available_stands) OVER w, 6) + 0.0 AS avg_bikes, "
+        f"SELECT {KEYS}, round(avg(bike_stands - available_stands) OVER w + 1.3e-9, 6) + 0.0 AS avg_bikes, "
         "CAST(max(bike_stands) OVER w AS BIGINT) AS stands FROM panel WINDOW w AS (PARTITION BY number, slot, weekday)",
     ),
     "heatmap_rows_all": select(
         [fx.PANEL],
-        f"SELECT {KEYS}, round(avg(bike_stands - available_stands) OVER (PARTITION BY slot, weekday), 6) + 0.0 AS avg_bikes "
+        f"SELECT {KEYS}, round(avg(bike_stands - available_stands) OVER (PARTITION BY slot, weekday) + 1.3e-9, 6) + 0.0 AS avg_bikes "
         "FROM panel",
     ),
     "station_titles": select(
@@ -88,8 +88,8 @@ SQL = {
 parts AS (SELECT *, CASE WHEN weekday IN ('Sat', 'Sun') THEN 'weekend' ELSE 'weekday' END AS day_type,
                  CASE WHEN slot // 60 BETWEEN 5 AND 10 THEN 'morning' WHEN slot // 60 BETWEEN 11 AND 16 THEN 'afternoon'
                       WHEN slot // 60 BETWEEN 17 AND 22 THEN 'evening' END AS part FROM panel)"""],
-        "SELECT CAST(p.number AS BIGINT) AS number, p.name, day_type, part, round(avg(available_stands), 6) AS stands, "
-        f"{PLACE}, round(avg(available_stands) * 0.4, 6) AS size FROM parts p LEFT JOIN geo g ON p.number = g.number "
+        "SELECT CAST(p.number AS BIGINT) AS number, p.name, day_type, part, round(avg(available_stands) + 1.3e-9, 6) + 0.0 AS stands, "
+        f"{PLACE}, round(avg(available_stands) * 0.4 + 1.3e-9, 6) + 0.0 AS size FROM parts p LEFT JOIN geo g ON p.number = g.number "
         "WHERE part IS NOT NULL GROUP BY p.number, p.name, day_type, part, latitude, longitude",
     ),
     "station_totals_geo": select(

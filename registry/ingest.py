@@ -114,8 +114,8 @@ SNAP_OUT = (
 SQL = {
     "source_json_roundtrip": select(
         [fx.SNAP, FILE_MILLIS],
-        f"SELECT {FILE_OUT}, round(CAST(53.3 AS DOUBLE) + number * CAST(0.002 AS DOUBLE), 6) AS position_lat, "
-        "round(CAST(-6.3 AS DOUBLE) + number * CAST(0.003 AS DOUBLE), 6) AS position_lng FROM files",
+        f"SELECT {FILE_OUT}, round(CAST(53.3 AS DOUBLE) + number * CAST(0.002 AS DOUBLE) + 1.3e-9, 6) + 0.0 AS position_lat, "
+        "round(CAST(-6.3 AS DOUBLE) + number * CAST(0.003 AS DOUBLE) + 1.3e-9, 6) + 0.0 AS position_lng FROM files",
     ),
     "source_csv_roundtrip": select([fx.SNAP, FILE_MILLIS], f"SELECT {FILE_OUT} FROM files"),
     "stage_table_roundtrip": select(

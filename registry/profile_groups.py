@@ -128,7 +128,7 @@ KEYED = [fx.PANEL, fx.CENTRES, fx.CLUSTERS]
 
 
 def _scaled(expr: str) -> str:
-    cols = ", ".join("round(" + expr.format(c=c) + f", 6) + 0.0 AS {c}" for c in FLOWS)
+    cols = ", ".join("round(" + expr.format(c=c) + f" + 1.3e-9, 6) + 0.0 AS {c}" for c in FLOWS)
     return f"SELECT CAST(date AS VARCHAR) AS date, CAST(slot AS BIGINT) AS slot, {cols} FROM one"
 
 
@@ -157,14 +157,14 @@ SQL = {
     ),
     "station_profile": select(
         [fx.PANEL, CURRENT],
-        "SELECT CAST(number AS BIGINT) AS number, name, CAST(slot AS BIGINT) AS slot, round(avg(available_stands), 6) AS stands "
+        "SELECT CAST(number AS BIGINT) AS number, name, CAST(slot AS BIGINT) AS slot, round(avg(available_stands) + 1.3e-9, 6) + 0.0 AS stands "
         "FROM current GROUP BY number, name, slot",
     ),
     "column_spread": select(
         [fx.PANEL, ONE],
         " UNION ALL ".join(
-            f"SELECT '{c}' AS variable, round(var_samp({c}), 6) AS variance, "
-            f"round(CAST(max({c}) - min({c}) AS DOUBLE), 6) AS range FROM one"
+            f"SELECT '{c}' AS variable, round(var_samp({c}) + 1.3e-9, 6) + 0.0 AS variance, "
+            f"round(CAST(max({c}) - min({c}) AS DOUBLE) + 1.3e-9, 6) + 0.0 AS range FROM one"
             for c in FLOWS
         ),
     ),
@@ -174,40 +174,40 @@ SQL = {
     ),
     "elbow_k1": select(
         [fx.PANEL, ONE],
-        "SELECT CAST(1 AS BIGINT) AS k, round((count(*) - 1) * (var_samp(check_in) + var_samp(check_out)), 6) AS wss FROM one",
+        "SELECT CAST(1 AS BIGINT) AS k, round((count(*) - 1) * (var_samp(check_in) + var_samp(check_out)) + 1.3e-9, 6) + 0.0 AS wss FROM one",
     ),
     "elbow_k1_profiles": select(
         [fx.PANEL, CURRENT, _filled("current", True)],
-        "SELECT CAST(1 AS BIGINT) AS k, round((max(n) - 1) * sum(v), 6) AS wss FROM ("
+        "SELECT CAST(1 AS BIGINT) AS k, round((max(n) - 1) * sum(v) + 1.3e-9, 6) + 0.0 AS wss FROM ("
         "SELECT slot, var_samp(available_stands) AS v, count(*) AS n FROM filled GROUP BY slot)",
     ),
     "nearest_centroid": select(KEYED, "SELECT CAST(number AS BIGINT) AS number, name, cluster FROM clusters"),
     "station_curves": select(
         [*KEYED, CURRENT],
         "SELECT CAST(p.number AS BIGINT) AS number, p.name, p.address, CAST(p.slot AS BIGINT) AS slot, c.cluster, "
-        "round(avg(p.available_stands), 6) AS av_stands FROM current p LEFT JOIN clusters c "
+        "round(avg(p.available_stands) + 1.3e-9, 6) + 0.0 AS av_stands FROM current p LEFT JOIN clusters c "
         "ON p.number = c.number AND p.name = c.name GROUP BY p.number, p.name, p.address, p.slot, c.cluster",
     ),
     "cluster_curves": select(
         [*KEYED, CURRENT],
-        "SELECT CAST(p.slot AS BIGINT) AS slot, c.cluster, round(avg(p.available_stands), 6) AS av_stands FROM current p "
+        "SELECT CAST(p.slot AS BIGINT) AS slot, c.cluster, round(avg(p.available_stands) + 1.3e-9, 6) + 0.0 AS av_stands FROM current p "
         "LEFT JOIN clusters c ON p.number = c.number AND p.name = c.name GROUP BY p.slot, c.cluster",
     ),
     "cluster_csv_roundtrip": select(KEYED, "SELECT CAST(number AS BIGINT) AS number, name, cluster FROM clusters"),
     "cluster_map_points": select(
         [*KEYED, fx.GEO],
-        "SELECT CAST(c.number AS BIGINT) AS number, c.name, c.cluster, round(g.latitude, 6) AS latitude, "
-        "round(g.longitude, 6) AS longitude FROM clusters c LEFT JOIN geo g ON c.number = g.number",
+        "SELECT CAST(c.number AS BIGINT) AS number, c.name, c.cluster, round(g.latitude + 1.3e-9, 6) + 0.0 AS latitude, "
+        "round(g.longitude + 1.3e-9, 6) + 0.0 AS longitude FROM clusters c LEFT JOIN geo g ON c.number = g.number",
     ),
     "cluster_means": select(
         [fx.PANEL],
         "SELECT CAST(check_in % 4 AS BIGINT) AS cluster, "
-        + ", ".join(f"round(avg({c}), 6) AS {c}" for c in FLOWS) + " FROM panel GROUP BY 1",
+        + ", ".join(f"round(avg({c}) + 1.3e-9, 6) + 0.0 AS {c}" for c in FLOWS) + " FROM panel GROUP BY 1",
     ),
     "cluster_mean_attached": select(
         [fx.PANEL],
         "SELECT CAST(number AS BIGINT) AS number, name, CAST(date AS VARCHAR) AS date, CAST(slot AS BIGINT) AS slot, "
-        "CAST(check_in % 4 AS BIGINT) AS cluster, round(avg(check_in) OVER w, 6) AS cluster_mean_in, "
-        "round(avg(check_out) OVER w, 6) AS cluster_mean_out FROM panel WINDOW w AS (PARTITION BY number, slot, check_in % 4)",
+        "CAST(check_in % 4 AS BIGINT) AS cluster, round(avg(check_in) OVER w + 1.3e-9, 6) + 0.0 AS cluster_mean_in, "
+        "round(avg(check_out) OVER w + 1.3e-9, 6) + 0.0 AS cluster_mean_out FROM panel WINDOW w AS (PARTITION BY number, slot, check_in % 4)",
     ),
 }

@@ -8,16 +8,12 @@ from dockflow.functions import queueing
 from dockflow.plans import panel as panels
 from dockflow.plans import queue
 from registry import fixture as fx
-from registry.fixture import NUDGE, reals, select
+from registry.fixture import plain, reals, select
 
 START = "2024-01-08"
 TARGET = 30
 
 
-def plain(df):
-    return fx.plain(df, nudge=NUDGE)
-
-
 def _queue(s, d):
     return queue.queue_panel(fx.snapshots(s, d), tiebreak=fx.TIEBREAK)
 
@@ -106,7 +102,7 @@ queue AS (
 QUEUE_OUT = (
     "CAST(number AS BIGINT) AS number, name, address, CAST(date AS VARCHAR) AS date, CAST(slot AS BIGINT) AS slot, "
     "CAST(bike_stands AS BIGINT) AS bike_stands, CAST(available_stands AS BIGINT) AS available_stands, prev_period_diff, "
-    "check_in, round(cust_ia + 1.3e-9, 6) AS cust_ia, check_out, round(service_ia + 1.3e-9, 6) AS service_ia, time, "
+    "check_in, round(cust_ia + 1.3e-9, 6) + 0.0 AS cust_ia, check_out, round(service_ia + 1.3e-9, 6) + 0.0 AS service_ia, time, "
     "CAST(h AS BIGINT) AS h, CAST(m AS BIGINT) AS m"
 )
 
@@ -149,14 +145,14 @@ SQL = {
     "interarrival": select(
         [fx.CHANGES, IA],
         "SELECT CAST(c.number AS BIGINT) AS number, c.name, c.event_id, epoch_us(c.last_update) AS last_update, "
-        "round(i.cust_ia + 1.3e-9, 6) AS cust_ia, round(o.service_ia + 1.3e-9, 6) AS service_ia FROM changes c "
+        "round(i.cust_ia + 1.3e-9, 6) + 0.0 AS cust_ia, round(o.service_ia + 1.3e-9, 6) + 0.0 AS service_ia FROM changes c "
         "LEFT JOIN in_ev i ON c.event_id = i.event_id LEFT JOIN out_ev o ON c.event_id = o.event_id WHERE c.diff <> 0",
     ),
     "interarrival_closed": select(
         [fx.CHANGES, IA],
         "SELECT CAST(number AS BIGINT) AS number, name, event_id, CAST(CASE WHEN diff > 0 THEN diff ELSE 0 END AS BIGINT) AS check_in, "
-        "CAST(CASE WHEN diff < 0 THEN -diff ELSE 0 END AS BIGINT) AS check_out, round(cust_ia + 1.3e-9, 6) AS cust_ia, "
-        "round(service_ia + 1.3e-9, 6) AS service_ia FROM closed",
+        "CAST(CASE WHEN diff < 0 THEN -diff ELSE 0 END AS BIGINT) AS check_out, round(cust_ia + 1.3e-9, 6) + 0.0 AS cust_ia, "
+        "round(service_ia + 1.3e-9, 6) + 0.0 AS service_ia FROM closed",
     ),
     "queue_panel": select([fx.CHANGES, IA], f"SELECT {QUEUE_OUT} FROM queue"),
     "queue_panel_from_date": select(
@@ -164,18 +160,18 @@ SQL = {
     ),
     "queue_mean_gaps": select(
         [fx.CHANGES, IA],
-        "SELECT CAST(number AS BIGINT) AS number, name, round(avg(cust_ia) + 1.3e-9, 6) AS cust_ia, "
-        "round(avg(service_ia) + 1.3e-9, 6) AS service_ia FROM queue GROUP BY number, name",
+        "SELECT CAST(number AS BIGINT) AS number, name, round(avg(cust_ia) + 1.3e-9, 6) + 0.0 AS cust_ia, "
+        "round(avg(service_ia) + 1.3e-9, 6) + 0.0 AS service_ia FROM queue GROUP BY number, name",
     ),
     "queue_worst_gap": select(
         [fx.CHANGES, IA, """
 peaks AS (SELECT number, max(cust_ia) AS peak, max(service_ia) AS max_service_ia FROM queue GROUP BY number)"""],
         f"SELECT {QUEUE_OUT.replace('CAST(number AS BIGINT) AS number', 'CAST(q.number AS BIGINT) AS number')}, "
-        "round(max_service_ia + 1.3e-9, 6) AS max_service_ia FROM peaks k LEFT JOIN queue q ON k.number = q.number AND k.peak = q.cust_ia",
+        "round(max_service_ia + 1.3e-9, 6) + 0.0 AS max_service_ia FROM peaks k LEFT JOIN queue q ON k.number = q.number AND k.peak = q.cust_ia",
     ),
     "queue_params": select(
         [fx.CHANGES, IA, PARAMS],
-        f"SELECT {KEY}, CAST(capacity AS BIGINT) AS capacity, CAST(start AS BIGINT) AS start, {reals('lam', 'mu', 'rho', nudge=NUDGE)} FROM params",
+        f"SELECT {KEY}, CAST(capacity AS BIGINT) AS capacity, CAST(start AS BIGINT) AS start, {reals('lam', 'mu', 'rho')} FROM params",
     ),
     "queue_prob": select(
         [fx.CHANGES, IA, PARAMS],

@@ -107,14 +107,14 @@ SQL = {
     ),
     "weather_daily": select(
         [HOURLY, CLEAN],
-        "SELECT year, CAST(month AS BIGINT) AS month, day, round(avg(rain), 6) AS rain FROM clean GROUP BY year, month, day",
+        "SELECT year, CAST(month AS BIGINT) AS month, day, round(avg(rain) + 1.3e-9, 6) + 0.0 AS rain FROM clean GROUP BY year, month, day",
     ),
     "weather_summary": select(
         [HOURLY],
         " UNION ALL ".join(
-            f"SELECT '{c}' AS variable, round(min({c}), 6) AS min, round(avg({c}), 6) AS mean, round(max({c}), 6) AS max, "
-            f"count(*) - count({c}) AS nulls, round(quantile_cont({c}, 0.25), 6) AS q1, round(quantile_cont({c}, 0.5), 6) AS median, "
-            f"round(quantile_cont({c}, 0.75), 6) AS q3 FROM hourly"
+            f"SELECT '{c}' AS variable, round(min({c}) + 1.3e-9, 6) + 0.0 AS min, round(avg({c}) + 1.3e-9, 6) + 0.0 AS mean, round(max({c}) + 1.3e-9, 6) + 0.0 AS max, "
+            f"count(*) - count({c}) AS nulls, round(quantile_cont({c}, 0.25) + 1.3e-9, 6) + 0.0 AS q1, round(quantile_cont({c}, 0.5) + 1.3e-9, 6) + 0.0 AS median, "
+            f"round(quantile_cont({c}, 0.75) + 1.3e-9, 6) + 0.0 AS q3 FROM hourly"
             for c in wx.MEASURES
         ),
     ),
@@ -124,6 +124,6 @@ SQL = {
     ),
     "weather_corr": select(
         [*FEATURES, HOURLY, CLEAN, JOINED],
-        " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, round(corr({a}, {b}), 6) AS r FROM joined" for a, b in PAIRS),
+        " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, round(corr({a}, {b}) + 1.3e-9, 6) + 0.0 AS r FROM joined" for a, b in PAIRS),
     ),
 }
