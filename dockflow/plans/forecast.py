@@ -253,3 +253,8 @@ def permutation_importance(model: PipelineModel, scored_rows: DataFrame, seed: i
     errors = model.transform(variants.select("v.*")).groupBy("feature").agg(mse)
     base = F.max(F.when(F.col("feature") == "", F.col("mse"))).over(W.partitionBy(F.lit(0)))
     return errors.withColumn("increase", F.col("mse") - base).where(F.col("feature") != "")
+
+
+def as_rows(metrics: DataFrame, rows: str) -> DataFrame:
+    """One-row metrics as (rows, metric, value)."""
+    return metrics.unpivot([], metrics.columns, "metric", "value").withColumn("rows", F.lit(rows))

@@ -13,9 +13,11 @@ from dockflow.schemas import CLUSTERS
 def write_stage(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Parquet with one folder per partition value.
 
-    Rows are not gathered by partition value: a day of any size is written by
-    as many tasks as hold it.
+    Rows are rebalanced by partition value: a small day ends in one file, a huge
+    one is split over several tasks, and no task writes a file to every day.
     """
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
