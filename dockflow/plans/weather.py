@@ -71,9 +71,5 @@ def join_features(features: DataFrame, cleaned: DataFrame) -> DataFrame:
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of each pair of columns, all in one aggregation."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    stats = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    rows = [
-        F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"`{a}|{b}`").alias("r"))
-        for a, b in pairs
-    ]
-    return stats.select(F.inline(F.array(*rows)))
+    rows = [f"struct('{a}' AS x, '{b}' AS y, corr(`{a}`, `{b}`) AS r)" for a, b in pairs]
+    return df.selectExpr(f"array({', '.join(rows)}) AS pairs").selectExpr("inline(pairs)")
