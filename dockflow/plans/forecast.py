@@ -13,6 +13,7 @@ from dockflow.functions import calendar as cal
 from dockflow.functions import service
 from dockflow.functions.flows import activity, occupancy
 from dockflow.operators.keys import null_safe_join
+from dockflow.operators.layout import spread
 from dockflow.operators.ranking import row_index
 from dockflow.plans.clusters import with_cluster
 from dockflow.schemas import HALF_HOURS, SEASONS, WEEKDAYS
@@ -201,7 +202,10 @@ def forest_pipeline(trees: int = TREES, depth: int = 10, seed: int = SEED) -> Pi
 
 
 def fit_forest(train: DataFrame, trees: int = TREES, depth: int = 10, seed: int = SEED) -> PipelineModel:
-    used = complete_rows(train).select("av_bikes", *CATEGORIES, *NUMBERS).persist()
+    """Fits on cached rows, spread evenly and sorted so that a fit can be repeated."""
+    columns = ["av_bikes", *CATEGORIES, *NUMBERS]
+    used = spread(complete_rows(train).select(*columns), *columns)
+    used = used.sortWithinPartitions(*columns).persist()
     try:
         return forest_pipeline(trees, depth, seed).fit(used)
     finally:

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from dockflow.functions import calendar as cal
 from dockflow.functions import queueing
+from dockflow.operators.layout import spread
 from dockflow.plans.panel import CHRONOLOGICAL, TIEBREAK, snapshot_changes
 
 TARGET = 30
@@ -158,19 +159,10 @@ def queue_parameters(queue: DataFrame) -> DataFrame:
     )
 
 
-def _spread(params: DataFrame) -> DataFrame:
-    """Keeps every core busy: the formulas cost far more than the rows' bytes,
-
-    by which adaptive execution would merge them into a few tasks.
-    """
-    tasks = int(params.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return params.repartition(tasks, "number", "name", "weekday", "h")
-
-
 def with_probabilities(params: DataFrame, target: float = TARGET, t: float = 1.0) -> DataFrame:
     c, s = F.col("capacity").cast("double"), F.col("start").cast("double")
     rho, lam, mu = F.col("rho"), F.col("lam"), F.col("mu")
-    return _spread(params).withColumns(
+    return spread(params, "number", "name", "weekday", "h").withColumns(
         {
             "steady": queueing.steady_state(target, c, rho),
             "probability": queueing.transition(c, s, target, rho, lam, mu, t),
@@ -180,7 +172,7 @@ def with_probabilities(params: DataFrame, target: float = TARGET, t: float = 1.0
 
 def with_bounds(params: DataFrame, t_start: float = T_START, t_end: float = T_END) -> DataFrame:
     c, rho, lam, mu = F.col("capacity").cast("double"), F.col("rho"), F.col("lam"), F.col("mu")
-    return _spread(params).withColumns(
+    return spread(params, "number", "name", "weekday", "h").withColumns(
         {
             "s_min": queueing.lower_bound(c, rho, lam, mu, t_start, t_end),
             "s_max": queueing.upper_bound(c, rho, lam, mu, t_start, t_end),
