@@ -81,12 +81,12 @@ class _Stub:
         return self.setting or default
 
 
-def test_shared_folder_comes_from_the_session(spark):
+def test_shared_folder_comes_from_the_session():
     assert shared_dir(_Stub("/shared/cp/", "yarn")).startswith("/shared/cp/dockflow-")
     assert shared_dir(_Stub("/shared/cp", "local[2]")).startswith("/shared/cp/dockflow-")
     with pytest.raises(RuntimeError):
         shared_dir(_Stub(None, "yarn"))
-    assert "run-" in shared_dir(spark)
+    assert "run-" in shared_dir(_Stub(None, "local[2]"))
 
 
 def test_summary_and_correlation(spark):
