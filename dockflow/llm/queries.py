@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from dockflow.llm import bpe
+from dockflow.llm import bpe, quality
 from dockflow.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -21,8 +21,15 @@ def op1_bpe(spark, sf):
     )
 
 
+def op2_quality(spark, sf):
+    rows = quality.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return rows.select(*first, "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_quality": op2_quality,
 }
 
 SQL: dict[str, str] = {}
