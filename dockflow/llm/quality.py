@@ -125,9 +125,8 @@ def cutoffs(
     for name, (value, grid) in RULES.items():
         counts += [F.count(F.when(F.expr(value) > c, 1)).alias(f"{name}_{j}") for j, c in enumerate(grid)]
     held = good.groupBy("stratum").agg(*counts)
-    families = held.agg(F.count(F.lit(1)).alias("strata"))
-    held = held.crossJoin(F.broadcast(families))  # one row
-    error = F.lit(delta) / (F.col("strata") * len(RULES))
+    held = materialise(held)
+    error = F.lit(delta / (max(1, held.count()) * len(RULES)))
     chosen = [F.col("stratum")]
     for name, (_, grid) in RULES.items():
         stands = F.array(

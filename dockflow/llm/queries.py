@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from dockflow.llm import bpe, quality
+from dockflow.llm import bpe, quality, reputation
 from dockflow.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -27,9 +27,37 @@ def op2_quality(spark, sf):
     return rows.select(*first, "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+def page_outcomes(pages, labels):
+    """The outcome of a page is that of the document whose number its path holds:
+    bad if it is of low quality or toxic."""
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    known = labels.groupBy("doc_id").agg(F.max(bad).alias("bad"))
+    number = F.expr("try_cast(regexp_extract(url, '://[^?#]*?/([0-9]+)', 1) AS bigint)")
+    return pages.select("url", number.alias("doc_id")).join(known, "doc_id").select("url", "bad")
+
+
+def op3_urls(spark, sf):
+    pages = table(spark, sf, "pages")
+    outcomes = page_outcomes(pages, table(spark, sf, "labels"))
+    rows = reputation.judge(pages, outcomes, URL_RULES)
+    return rows.select(
+        "page_id", "host", "path", "rule", "verdict", F.col("n").alias("n_labelled"), F.round("rate", 6).alias("bad_rate")
+    )
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
+    "op3_urls": op3_urls,
 }
 
 SQL: dict[str, str] = {}
