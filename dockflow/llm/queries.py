@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from dockflow.llm import bpe, quality, reputation
+from dockflow.llm import bpe, quality, reputation, simhash
 from dockflow.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -54,10 +54,17 @@ def op3_urls(spark, sf):
     )
 
 
+def op4_simhash(spark, sf):
+    rows = simhash.near_duplicates(table(spark, sf, "documents"))
+    fingerprint = F.lower(F.lpad(F.hex(F.get("fps", F.lit(0))), 16, "0"))
+    return rows.select("doc_id", fingerprint.alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
     "op3_urls": op3_urls,
+    "op4_simhash": op4_simhash,
 }
 
 SQL: dict[str, str] = {}
