@@ -36,7 +36,7 @@ END = "</w>"
 ODD = regex.compile(r"[\x1c-\x1f]")
 
 LAST = 0xE000  # added to the code of a word's last symbol
-KEPT = 150_000  # entries of each half of a cache
+KEPT = 300_000  # entries of each half of a cache
 BATCH_BYTES = 8 << 20
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from dockflow.llm import bpe, quality, reputation, simhash
+from dockflow.llm import bpe, packing, quality, reputation, simhash
 from dockflow.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -60,11 +60,16 @@ def op4_simhash(spark, sf):
     return rows.select("doc_id", fingerprint.alias("fingerprint"), "component_id")
 
 
+def op5_packing(spark, sf):
+    return packing.pack(table(spark, sf, "documents"), TOKENIZER)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
     "op3_urls": op3_urls,
     "op4_simhash": op4_simhash,
+    "op5_packing": op5_packing,
 }
 
 SQL: dict[str, str] = {}
