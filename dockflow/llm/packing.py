@@ -224,5 +224,5 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
             columns = [*batch.columns[:-1], pa.array(sequence), pa.array(offset)]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "sequence_id", "offset"])
 
-    schema = T.StructType(rows.schema.fields).add("sequence_id", "long").add("offset", "long")
+    schema = T.StructType([*rows.schema.fields]).add("sequence_id", "long").add("offset", "long")
     return ranked.mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from dockflow.llm import bpe, packing, quality, reputation, simhash
+from dockflow.llm import bpe, packing, quality, reputation, sharding, simhash
 from dockflow.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -64,12 +64,23 @@ def op5_packing(spark, sf):
     return packing.pack(table(spark, sf, "documents"), TOKENIZER)
 
 
+SHARDS = 40
+
+
+def op6_sharding(spark, sf):
+    rows = sharding.assign(table(spark, sf, "documents"), SHARDS)
+    return rows.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
     "op3_urls": op3_urls,
     "op4_simhash": op4_simhash,
     "op5_packing": op5_packing,
+    "op6_sharding": op6_sharding,
 }
 
 SQL: dict[str, str] = {}
