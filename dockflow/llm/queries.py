@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from dockflow.llm import bpe, packing, quality, reputation, sharding, simhash
+from dockflow.llm import bpe, classifier, packing, quality, reputation, sharding, simhash
 from dockflow.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -74,6 +74,11 @@ def op6_sharding(spark, sf):
     )
 
 
+def op7_classifier(spark, sf):
+    rows = classifier.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return rows.select("*", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
@@ -81,6 +86,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_packing": op5_packing,
     "op6_sharding": op6_sharding,
+    "op7_classifier": op7_classifier,
 }
 
 SQL: dict[str, str] = {}
