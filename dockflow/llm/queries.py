@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from dockflow.llm import bpe, classifier, packing, quality, reputation, sharding, simhash
+from dockflow.llm import bpe, classifier, packing, quality, reputation, sharding, simhash, syncmers
 from dockflow.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -79,6 +79,12 @@ def op7_classifier(spark, sf):
     return rows.select("*", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_syncmers(spark, sf):
+    rows = syncmers.fingerprints(table(spark, sf, "documents"))
+    digest = F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256")
+    return rows.select("doc_id", "n_chars", digest, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
@@ -87,6 +93,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_sharding": op6_sharding,
     "op7_classifier": op7_classifier,
+    "op9_syncmers": op9_syncmers,
 }
 
 SQL: dict[str, str] = {}
