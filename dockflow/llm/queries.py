@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from dockflow.llm import bpe, classifier, packing, quality, reputation, sharding, simhash, syncmers
+from dockflow.llm import bpe, classifier, packing, quality, reputation, secrets, sharding, simhash, syncmers
 from dockflow.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -85,6 +85,27 @@ def op9_syncmers(spark, sf):
     return rows.select("doc_id", "n_chars", digest, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def joined_spans(spans):
+    one = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["begin"].cast("string"), s["end"].cast("string")))
+    return F.array_join(one, ",")
+
+
+def n_spans(kind):
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+
+def op10_secrets(spark, sf):
+    rows = secrets.scan(table(spark, sf, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
+    counts = [n_spans(kind).alias(f"n_{kind}") for kind in secrets.BASE]
+    return rows.select(
+        "doc_id",
+        *counts,
+        F.sha2(joined_spans(base).cast("binary"), 256).alias("base_sha256"),
+        joined_spans(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
@@ -94,6 +115,7 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op7_classifier": op7_classifier,
     "op9_syncmers": op9_syncmers,
+    "op10_secrets": op10_secrets,
 }
 
 SQL: dict[str, str] = {}
