@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from dockflow.llm import bpe, classifier, packing, quality, reputation, secrets, sharding, simhash, syncmers
+from dockflow.llm import bpe, classifier, packing, quality, repeats, reputation, secrets, sharding, simhash, syncmers
 from dockflow.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -79,6 +79,18 @@ def op7_classifier(spark, sf):
     return rows.select("*", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_repeats(spark, sf):
+    rows = repeats.without_repeats(table(spark, sf, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return rows.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op9_syncmers(spark, sf):
     rows = syncmers.fingerprints(table(spark, sf, "documents"))
     digest = F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256")
@@ -114,6 +126,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_sharding": op6_sharding,
     "op7_classifier": op7_classifier,
+    "op8_repeats": op8_repeats,
     "op9_syncmers": op9_syncmers,
     "op10_secrets": op10_secrets,
 }
