@@ -66,9 +66,10 @@ def repeated_words(words: Column, hashes: Column) -> Column:
 
 
 def measures(docs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """doc_id, stratum and the counts that the rules use."""
+    """doc_id, stratum, the counts that the rules use, and the row itself."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.col(stratum).alias("stratum"), text.alias("text"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select("doc_id", F.col(stratum).alias("stratum"), text.alias("text"), row.alias("row"))
     rows = rows.select("*", words_of(F.col("text")).alias("words"))
     n = F.size("words")
     window = F.when(n > 2, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
@@ -81,6 +82,7 @@ def measures(docs: DataFrame, stratum: str = "lang") -> DataFrame:
     return rows.select(
         "doc_id",
         "stratum",
+        "row",
         n.cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -141,10 +143,8 @@ def cutoffs(
     return held.select(*chosen)
 
 
-def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
-    """The measures of each text with base_failed, failed_rules and kept."""
-    rows = materialise(measures(docs, stratum))
-    limits = materialise(cutoffs(rows, labels))
+def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """Adds failed_rules and kept to measures."""
     joined = rows.join(limits.withColumnRenamed("stratum", "_s"), F.col("stratum").eqNullSafe(F.col("_s")), "left")
     failed = F.array_compact(
         F.array(*[F.when(F.expr(value) > F.col(f"max_{name}"), F.lit(name)) for name, (value, _) in RULES.items()])
@@ -154,3 +154,20 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFram
     return joined.select(*rows.columns, failed.alias("failed_rules")).withColumn(
         "kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)
     )
+
+
+def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
+    """The measures of each text with base_failed, failed_rules and kept."""
+    rows = materialise(measures(docs, stratum).drop("row"))
+    return judged(rows, materialise(cutoffs(rows, labels)))
+
+
+def kept_rows(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns.
+
+    Rows are written with their measures, so that texts needn't move to meet
+    their verdicts, and no filter is pushed into the making of the measures.
+    """
+    rows = materialise(measures(docs, stratum))
+    limits = materialise(cutoffs(rows.drop("row"), labels))
+    return judged(rows, limits).where("kept").select("row.*")

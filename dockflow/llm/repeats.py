@@ -404,9 +404,10 @@ def removals(docs: DataFrame) -> DataFrame:
 CUT = "n_bytes long, spans array<struct<start:int,stop:int>>, kept binary"
 
 
-def without_repeats(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def without_repeats(docs: DataFrame, columns: list[str] | None = None, whole_characters: bool = False) -> DataFrame:
     """doc_id (or ``columns``), n_bytes, spans (what is removed, in order) and
-    kept (the other bytes)."""
+    kept (the other bytes).  With ``whole_characters`` a character of several
+    bytes stays if not all of them are to go."""
     columns = columns or ["doc_id"]
     runs = removals(docs)
     spans = runs.groupBy("doc", "h").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
@@ -431,6 +432,11 @@ def without_repeats(docs: DataFrame, columns: list[str] | None = None) -> DataFr
                     first = np.concatenate([[True], begin[1:] > end[:-1]])  # touching ones are one
                     begin = begin[first]
                     end = end[np.concatenate([np.flatnonzero(first)[1:] - 1, [len(end) - 1]])]
+                    if whole_characters:
+                        border = np.flatnonzero((np.frombuffer(raw + b" ", np.uint8) & 0xC0) != 0x80)
+                        begin = border[np.searchsorted(border, begin)]
+                        end = border[np.searchsorted(border, end, side="right") - 1]
+                        begin, end = begin[begin < end], end[begin < end]
                     spans = [{"start": int(a), "stop": int(b)} for a, b in zip(begin, end, strict=True)]
                     stay = np.concatenate([[0], end]), np.concatenate([begin, [len(raw)]])
                     rest = b"".join(raw[a:b] for a, b in zip(*stay, strict=True))

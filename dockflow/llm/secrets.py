@@ -171,13 +171,15 @@ def spans_of(text: Column, rule: Rule) -> Column:
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, text, spans: array of (kind, begin, end) by begin, then kind as listed."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """doc_id, text, row (all columns), spans: array of (kind, begin, end) by
+    begin, then kind as listed."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), row.alias("row"))
     wanted = sorted(set().union(*(names(r.pattern.query) for r in rules)))
     index = materialise(postings(docs, wanted))
     # written first, so that its size decides whether texts must move to meet it
     chosen = materialise(candidates(index, rules))
-    rows = docs.select("doc_id", "text", *key_of()).join(chosen, ["doc", "h"], "left")
+    rows = docs.select("doc_id", "text", "row", *key_of()).join(chosen, ["doc", "h"], "left")
     none = F.array().cast("array<struct<kind:string,begin:int,end:int>>")
     parts = []
     for rule in rules:
@@ -193,4 +195,22 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             (F.array_position(order, a["kind"]) - F.array_position(order, b["kind"])).cast("int")
         )
 
-    return rows.select("doc_id", "text", F.array_sort(F.concat(*parts), earlier).alias("spans"))
+    return rows.select("doc_id", "text", "row", F.array_sort(F.concat(*parts), earlier).alias("spans"))
+
+
+def masked(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]") -> DataFrame:
+    """The rows of ``docs`` with each stretch of overlapping secrets replaced."""
+    rows = scan(docs, rules)
+
+    def step(done: Column, s: Column) -> Column:
+        apart = s["begin"] >= done["at"]
+        before = F.substring(F.col("text"), done["at"] + 1, s["begin"] - done["at"])
+        return F.struct(
+            F.when(apart, F.concat(done["out"], before, F.lit(mask))).otherwise(done["out"]).alias("out"),
+            F.greatest(done["at"], s["end"]).alias("at"),
+        )
+
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    rest = F.aggregate("spans", start, step, lambda d: F.concat(d["out"], F.substring(F.col("text"), d["at"] + 1, F.length("text"))))
+    text = F.when(F.size("spans") > 0, rest).otherwise(F.col("row.text"))
+    return rows.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

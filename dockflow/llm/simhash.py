@@ -28,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dockflow.llm.common import materialise
@@ -80,15 +80,16 @@ def fingerprint(text: str | None, words: int, families: int = 1) -> list[int]:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, families: int = 1) -> DataFrame:
-    """doc_id, fps (one signed 64-bit integer per family)."""
+    """doc_id, h (hash of the text), fps (one signed 64-bit integer per family)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t.as_py(), words, families) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "fps"])
+            fps = [fingerprint(t.as_py(), words, families) for t in batch.column(2)]
+            columns = [*batch.columns[:2], pa.array(fps, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "fps"])
 
-    rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fps array<long>")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, h long, fps array<long>")
 
 
 def block_masks(radius: int, blocks: int) -> list[int]:
@@ -173,65 +174,64 @@ def roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 def links(nodes: DataFrame, radius: int, blocks: int, similarity: float | None = None) -> DataFrame:
     """a, b: links that join all nodes within the radius in some family.
 
-    ``nodes``: node, fps.  With a ``similarity``, pairs must also agree in that
-    share of the bits of all families.
+    ``nodes``: node, fps.  With a ``similarity``, a pair must also agree in that
+    share of the bits of the family and the one after it.
     """
     masks = block_masks(radius, blocks)
     families = nodes.select(F.max(F.size("fps"))).first()[0] or 1
     keys = [F.get("fps", F.lit(f)).bitwiseAND(F.lit(m)) for f in range(families) for m in masks]
-    wide = families > 1
     rows = nodes.select("node", "fps", F.posexplode(F.array(*keys)).alias("c", "key"))
-    fp = F.get("fps", F.floor(F.col("c") / len(masks)).cast("int"))
-    rows = rows.select("c", "key", fp.alias("fp"), "node", *(["fps"] if wide else []))
+    family = F.floor(F.col("c") / len(masks)).cast("int")
+    rows = rows.select("c", "key", F.get("fps", family).alias("fp"), "node", F.get("fps", (family + 1) % families).alias("more"))
     rows = rows.repartition("c", "key").sortWithinPartitions("c", "key")
-    most = None if similarity is None else int((1 - similarity) * 64 * families + 1e-9)
+    most = 128 if similarity is None else int((1 - similarity) * 128 + 1e-9)
 
-    def of_run(fp: np.ndarray, node: np.ndarray, fps: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    def of_run(fp: np.ndarray, node: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(gray_rank(fp))
-        fp, node = fp[order], node[order]
-        pairs = close_pairs(fp, radius)
-        if most is not None and fps is not None:
-            fps = fps[order]
-
-            def agreeing(found=pairs, all_bits=fps):
-                for a, b in found:
-                    ok = np.bitwise_count(all_bits[a] ^ all_bits[b]).sum(axis=1) <= most
-                    yield a[ok], b[ok]
-
-            pairs = agreeing()
-        root = roots(len(fp), pairs)
+        fp, node, more = fp[order], node[order], more[order]
+
+        def agreeing() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for a, b in close_pairs(fp, radius):
+                ok = np.bitwise_count(fp[a] ^ fp[b]) + np.bitwise_count(more[a] ^ more[b]) <= most
+                yield a[ok], b[ok]
+
+        root = roots(len(fp), agreeing())
         tied = root != np.arange(len(fp))
         return node[tied], node[root[tied]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def arrays(batch: pa.RecordBatch):
-            out = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
-            out[2] = out[2].view(np.uint64)
-            out.append(batch.column(4).flatten().to_numpy().view(np.uint64).reshape(-1, families) if wide else None)
-            return out
-
         def cut(held: list, closed: bool):
-            c, key, fp, node, fps = (None if x[0] is None else np.concatenate(x) for x in zip(*held, strict=True))
+            c, key, fp, node, more = (np.concatenate(x) for x in zip(*held, strict=True))
             border = np.flatnonzero((c[1:] != c[:-1]) | (key[1:] != key[:-1])) + 1
             begin = np.concatenate([[0], border])
             end = np.concatenate([border, [len(c)]])
             upto = len(begin) if closed else len(begin) - 1
-            many = np.flatnonzero(end[:upto] - begin[:upto] > 1)
+            size = end[:upto] - begin[:upto]
             a, b = [], []
-            for s, e in zip(begin[many], end[many], strict=True):
-                x, y = of_run(fp[s:e], node[s:e], None if fps is None else fps[s:e])
+            # runs of a leaf's size: each place against those after it, all runs at once
+            run_end = np.repeat(end[:upto], size)
+            place = np.flatnonzero(np.repeat((size > 1) & (size <= FANOUT), size))
+            for step in range(1, FANOUT):
+                place = place[place + step < run_end[place]]
+                x, y = place, place + step
+                far = np.bitwise_count(fp[x] ^ fp[y])
+                ok = (far <= radius) & (far + np.bitwise_count(more[x] ^ more[y]) <= most)
+                a.append(node[x[ok]])
+                b.append(node[y[ok]])
+            for s, e in zip(begin[:upto][size > FANOUT], end[:upto][size > FANOUT], strict=True):
+                x, y = of_run(fp[s:e], node[s:e], more[s:e])
                 a.append(x)
                 b.append(y)
             s = begin[-1]
-            rest = [] if closed else [[c[s:], key[s:], fp[s:], node[s:], None if fps is None else fps[s:]]]
-            empty = np.zeros(0, np.int64)
-            found = [np.concatenate(x) if x else empty for x in (a, b)]
-            return rest, pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
+            rest = [] if closed else [[x[s:] for x in (c, key, fp, node, more)]]
+            found = [pa.array(np.concatenate(x), pa.int64()) for x in (a, b)]
+            return rest, pa.RecordBatch.from_arrays(found, names=["a", "b"])
 
         held = []
         for batch in batches:
             if batch.num_rows:
-                new = arrays(batch)
+                new = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+                new[2], new[4] = new[2].view(np.uint64), new[4].view(np.uint64)
                 # a run that goes on is only added to, not searched
                 open_run = held and new[0][-1] == held[0][0][0] and new[1][-1] == held[0][1][0]
                 held.append(new)
@@ -252,7 +252,7 @@ def near_duplicates(
     families: int = 1,
     similarity: float | None = None,
 ) -> DataFrame:
-    """doc_id, fps, node, component_id (smallest doc_id that can be reached)."""
+    """doc_id, h, fps, node, component_id (smallest doc_id that can be reached)."""
     node: Column = F.get("fps", F.lit(0)) if families == 1 else F.xxhash64("fps")
     rows = materialise(fingerprints(docs, words, families).withColumn("node", node))
     nodes = materialise(rows.groupBy("node", "fps").agg(F.min("doc_id").alias("least")))
@@ -260,5 +260,21 @@ def near_duplicates(
     tied = components(found)
     joined = nodes.join(tied, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    joined = materialise(joined.join(least, "component").select("node", "component_id").distinct())
-    return rows.join(joined, "node").select("doc_id", "fps", "node", "component_id")
+    joined = materialise(joined.join(least, "component").select("node", "component", "component_id").distinct())
+    return rows.join(joined, "node").select("doc_id", "h", "fps", "node", "component", "component_id")
+
+
+def first_of_each(docs: DataFrame, **search) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: one for each component, that
+    of the smallest doc_id (then the smallest hash of the text), with all columns.
+    """
+    rows = near_duplicates(docs, **search)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "h"))
+    stay = materialise(rows.groupBy("component").agg(first.alias("first")).select("first.doc_id", "first.h"))
+    stay = stay.withColumnsRenamed({"doc_id": "_d", "h": "_h"})
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(row.alias("row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_x"))
+    rows = rows.join(stay, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_x") == F.col("_h")), "left_semi")
+    # a row that is there twice stays once
+    again = Window.partitionBy("_id", "_x").orderBy("_id")
+    return rows.withColumn("_n", F.row_number().over(again)).where("_n = 1").select("row.*")
