@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,12 +17,20 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, tidy: bool = False) -> DataFrame:
     """Write to the shared folder and read back: later steps no longer depend on
-    the work before, so a lost executor costs only its running tasks."""
-    path = shared_dir(df.sparkSession)
+    the work before, so a lost executor costs only its running tasks.
+
+    ``tidy``: let Spark's cleaner drop the shuffle files of the work before at
+    once.  It does so when the driver collects garbage, which may take long.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if tidy:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def words_of(text: Column) -> Column:

@@ -12,10 +12,13 @@ with a smaller id.  The steps:
    common prefixes have equal windows, and the smallest id among them decides.
 3. The windows found are cut from their documents.
 
+Copies: equal texts are one group of the smallest id, found by two hashes of 64
+bits; the others lose all their bytes, and only the first one is looked at.
+
 Hot passages: equal segments of one task travel once, for the smallest id; all
-others are known to go.  An anchor in more than a millionth of all places
-(``HOT``) has its windows dealt one by one, by their own content, so a short line
-in a third of all documents is no group either.
+others are known to go.  An anchor of very many texts (``HOT``) has its windows
+dealt one by one, by their own content, so a short line in a third of all
+documents is no group either.
 
 Defined cases: NULL and empty texts have no bytes; texts shorter than a window
 lose nothing; a NULL id is larger than all others; rows with equal ids don't
@@ -93,8 +96,8 @@ def segments(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return h[at[first]], first, count
 
 
-def all_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Anchor hash, document key, first window, number of windows; in pieces.
+def all_segments(rows: Iterator[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Anchor hash, text key, first window, number of windows; in pieces.
 
     Long texts are looked at in parts that overlap by all but one byte of a window.
     """
@@ -102,81 +105,88 @@ def all_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray
 
     def look() -> tuple[np.ndarray, ...]:
         raw = np.frombuffer(b"".join(texts), np.uint8)
-        ends = np.cumsum([len(t) for t in texts])
+        sizes = np.array([len(t) for t in texts])
+        ends = np.cumsum(sizes)
         h, first, count = segments(raw, ends)
         text = np.searchsorted(ends, first, side="right")
-        start = first - (ends - np.array([len(t) for t in texts]))[text] + np.array(begins)[text]
-        return h, np.array(keys, np.int64)[text], start, count
-
-    for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            raw = (text.as_py() or "").encode()
-            for begin in range(0, max(len(raw) - WINDOW + 1, 0), BUFFER - WINDOW + 1):
-                part = raw[begin : begin + BUFFER]
-                if size + len(part) > BUFFER:
-                    yield look()
-                    texts, keys, begins, size = [], [], [], 0
-                texts.append(part)
-                keys.append(key)
-                begins.append(begin)
-                size += len(part)
+        return h, np.array(keys, np.int64)[text], first - (ends - sizes)[text] + np.array(begins)[text], count
+
+    for key, raw in rows:
+        for begin in range(0, max(len(raw) - WINDOW + 1, 0), BUFFER - WINDOW + 1):
+            part = raw[begin : begin + BUFFER]
+            if size + len(part) > BUFFER:
+                yield look()
+                texts, keys, begins, size = [], [], [], 0
+            texts.append(part)
+            keys.append(key)
+            begins.append(begin)
+            size += len(part)
     if texts:
         yield look()
 
 
-ASK = "bucket int, key array<long>, low array<int>, start array<int>, count array<int>"
+def split_hash(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """An anchor's bucket and the rest of its hash."""
+    bucket = ((h & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+    return bucket, (h >> np.uint64(32)).astype(np.int64)
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """True at the first row of each run of equal rows."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+def lists(by: np.ndarray, *columns: tuple[np.ndarray, type]) -> tuple[np.ndarray, list[pa.ListArray]]:
+    """The different values of ``by``, and the others as a list for each."""
+    order = np.argsort(by, kind="stable")
+    by = by[order]
+    first = np.flatnonzero(changes(by)) if len(by) else np.zeros(0, np.int64)
+    cut = pa.array(np.append(first, len(by)), pa.int32())
+    return by[first], [pa.ListArray.from_arrays(cut, pa.array(c[order].astype(kind))) for c, kind in columns]
+
+
+ASK = "bucket int, key array<long>, low array<int>, texts array<int>"
 
 
 def questions(buckets: int):
-    """Which anchors there are, by bucket.
+    """Which anchors the texts (columns key, text) have, by bucket.
 
-    Entries: document, rest of the hash, first window, number of windows.  An
-    anchor that several documents of a block have is told once (no windows,
-    ``start``: how many segments); its segments need no answer and go out under
-    the negative number ``-1 - bucket``.
+    An anchor that several texts of a block have is told once, with their number;
+    these texts need no answer: theirs goes out under the bucket ``-1 - bucket``.
     """
 
+    def rows(bucket, key, low, texts) -> pa.RecordBatch:
+        bucket, columns = lists(bucket, (key, np.int64), (low.astype(np.uint32).view(np.int32), np.int32), (texts, np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), *columns], names=["bucket", "key", "low", "texts"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
-        def rows(bucket, key, low, start, count) -> pa.RecordBatch:
-            order = np.argsort(bucket, kind="stable")
-            bucket, key, low, start, count = (x[order] for x in (bucket, key, low, start, count))
-            cut = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
-            cut = cut if len(bucket) else np.array([0])
-            lists = [
-                pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x.astype(kind)))
-                for x, kind in ((key, np.int64), (low, np.int32), (start, np.int32), (count, np.int32))
-            ]
-            return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]].astype(np.int32)), *lists], names=["bucket", "key", "low", "start", "count"])
-
         def flush() -> Iterator[pa.RecordBatch]:
-            h, key, start, count = (np.concatenate(x) for x in zip(*held, strict=True))
-            bucket = ((h & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
-            low = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            # by anchor; the order inside is that of the texts
-            order = np.lexsort((low, bucket))
-            bucket, low, key, start, count = (x[order] for x in (bucket, low, key, start, count))
-            new = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1])])
-            group = np.cumsum(new) - 1
-            begin = np.flatnonzero(new)
-            mixed = np.maximum.reduceat(key, begin) != np.minimum.reduceat(key, begin)
-            known = mixed[group]
-            told = begin[mixed]
-            yield rows(
-                np.concatenate([bucket[~known], bucket[told]]),
-                np.concatenate([key[~known], np.zeros(len(told), np.int64)]),
-                np.concatenate([low[~known], low[told]]),
-                np.concatenate([start[~known], np.bincount(group)[mixed]]),
-                np.concatenate([count[~known], np.zeros(len(told), np.int64)]),
-            )
-            if known.any():
-                # marked by a negative bucket: no question, the answer
-                yield rows(-1 - bucket[known], key[known], low[known], start[known], count[known])
+            h, key = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-
-        for piece in all_segments(batches):
-            held.append(piece)
+            order = np.lexsort((key, h))
+            h, key = h[order], key[order]
+            once = changes(h, key)
+            h, key = h[once], key[once]
+            bucket, low = split_hash(h, buckets)
+            new = changes(h)
+            texts = np.bincount(np.cumsum(new) - 1)
+            many = np.repeat(texts > 1, texts)
+            told = new & many
+            # by text, which packs well
+            single = np.flatnonzero(~many)
+            single = single[np.argsort(key[single], kind="stable")]
+            at = np.concatenate([single, np.flatnonzero(told)])
+            number = np.concatenate([np.zeros(len(single), np.int64), texts[texts > 1]])
+            yield rows(bucket[at], key[at], low[at], number)
+            if many.any():
+                yield rows(-1 - bucket[many], key[many], low[many], np.zeros(int(many.sum()), np.int64))
+
+        for piece in all_segments((k, (t.as_py() or "").encode()) for b in batches for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True)):
+            held.append(piece[:2])
             n += len(piece[0])
             if n >= BLOCK:
                 yield from flush()
@@ -187,59 +197,47 @@ def questions(buckets: int):
     return run
 
 
-ANSWER = "key long, anchor array<long>, start array<int>, count array<int>, hot int"
+ANSWER = "key long, anchor array<long>, texts int"
 
 
 def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document and bucket, the segments whose anchor several documents have;
-    and, with ``hot``, how often an anchor is there.  Rows come by bucket."""
-
-    def rows(key, anchor, start, count) -> pa.RecordBatch:
-        order = np.argsort(key, kind="stable")
-        key, anchor, start, count = (x[order] for x in (key, anchor, start, count))
-        cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-        cut = cut if len(key) else np.array([0])
-        lists = [
-            pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x.astype(kind)))
-            for x, kind in ((anchor, np.int64), (start, np.int32), (count, np.int32))
-        ]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(key[cut[:-1]]), *lists, pa.nulls(len(cut) - 1, pa.int32())], names=["key", "anchor", "start", "count", "hot"]
-        )
+    """Per text and bucket, its anchors that other texts have; and, with
+    ``texts``, anchors of many texts.  Rows come by bucket."""
+
+    def rows(key, anchor) -> pa.RecordBatch:
+        key, columns = lists(key, (anchor, np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(key), *columns, pa.nulls(len(key), pa.int32())], names=["key", "anchor", "texts"])
 
     def decide(bucket: int, held: list) -> Iterator[pa.RecordBatch]:
-        key, low, start, count = (np.concatenate(x) for x in zip(*held, strict=True))
+        key, low, texts = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((key, low))
+        key, low, texts = key[order], low[order], texts[order]
         anchor = bucket * (1 << 32) + (low.astype(np.int64) & 0xFFFFFFFF)
-        order = np.argsort(low, kind="stable")
-        key, anchor, start, count, low = (x[order] for x in (key, anchor, start, count, low))
-        begin = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-        group = np.cumsum(np.concatenate([[True], low[1:] != low[:-1]])) - 1
-        told = count == 0
-        several = np.bitwise_or.reduceat(told, begin) | (np.maximum.reduceat(key, begin) != np.minimum.reduceat(key, begin))
-        sums = np.add.reduceat(np.where(told, start, 1), begin)
+        new = changes(low)
+        begin, group = np.flatnonzero(new), np.cumsum(new) - 1
+        told = texts > 0
+        several = np.logical_or.reduceat(told, begin) | (np.maximum.reduceat(key, begin) != np.minimum.reduceat(key, begin))
         shared = several[group] & ~told
-        yield rows(key[shared], anchor[shared], start[shared], count[shared])
-        hot = begin[sums >= HOT]
+        yield rows(key[shared], anchor[shared])
+        sums = np.add.reduceat(np.where(told, texts, 1), begin)
+        hot = np.flatnonzero(sums >= HOT)
         if len(hot):
-            one = pa.array(np.arange(len(hot) + 1), pa.int32())
-            lists = [pa.ListArray.from_arrays(one, pa.array(x)) for x in (anchor[hot], np.zeros(len(hot), np.int32), np.zeros(len(hot), np.int32))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(hot), pa.int64()), *lists, pa.array(np.minimum(sums[sums >= HOT], 2**31 - 1).astype(np.int32))],
-                names=["key", "anchor", "start", "count", "hot"],
-            )
+            one = pa.ListArray.from_arrays(pa.array(np.arange(len(hot) + 1), pa.int32()), pa.array(anchor[begin[hot]]))
+            number = pa.array(np.minimum(sums[hot], 2**31 - 1).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(hot), pa.int64()), one, number], names=["key", "anchor", "texts"])
 
     held, current = [], None
     for batch in batches:
         for k, bucket in enumerate(batch.column(0).to_pylist()):
-            key, low, start, count = (batch.column(c)[k].values.to_numpy() for c in range(1, 5))
+            key, low, texts = (batch.column(c)[k].values.to_numpy() for c in (1, 2, 3))
             if bucket < 0:
-                yield rows(key, (-1 - bucket) * (1 << 32) + (low.astype(np.int64) & 0xFFFFFFFF), start, count)
+                yield rows(key, (-1 - bucket) * (1 << 32) + (low.astype(np.int64) & 0xFFFFFFFF))
                 continue
             if bucket != current and held:
                 yield from decide(current, held)
                 held = []
             current = bucket
-            held.append((key, low, start, count))
+            held.append((key, low, texts))
     if held:
         yield from decide(current, held)
 
@@ -301,44 +299,67 @@ def runs_of(windows: np.ndarray) -> Iterator[tuple[int, int]]:
         yield int(part[0]), int(part[-1]) + WINDOW
 
 
-PIECE = "shard int, doc long, h long, start int, stop int, piece binary"
-PIECE_NAMES = ["shard", "doc", "h", "start", "stop", "piece"]
+PIECE = "shard int, doc long, h int, start int, stop int, piece binary"
+
 
+def merged(rows: list[tuple]) -> np.ndarray:
+    """Stretches (doc, h, start, stop) with those that touch made one."""
+    if not rows:
+        return np.zeros((0, 4), np.int64)
+    x = np.array(rows, np.int64)
+    doc, h, start, stop = x[np.lexsort((x[:, 2], x[:, 1], x[:, 0]))].T
+    shift = np.cumsum(changes(doc, h)) << 32  # so that texts lie apart
+    reach = np.maximum.accumulate(stop + shift)
+    new = np.ones(len(x), bool)
+    new[1:] = (start + shift)[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(x)) - 1
+    return np.stack([doc[first], h[first], start[first], (reach - shift)[last]], axis=1)
 
-def piece_rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    columns = zip(*rows, strict=True) if rows else [()] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=PIECE_NAMES)
 
+def piece_rows(rows: list[tuple], stretches: np.ndarray, shards: int = 1) -> Iterator[pa.RecordBatch]:
+    """Pieces, and stretches that are settled (no piece), spread by their text."""
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    names = ["shard", "doc", "h", "start", "stop", "piece"]
+    for at in range(0, len(rows), 50_000):
+        columns = zip(*rows[at : at + 50_000], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+    if len(stretches):
+        columns = [stretches[:, 1] % shards, *stretches.T]
+        columns = [pa.array(c).cast(k) for c, k in zip(columns, kinds, strict=False)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(stretches), pa.binary())], names=names)
 
-def cutter(shards: int, hot: set[int]):
-    """Cuts the shared segments out of the texts (columns doc, h, text, found)."""
+
+def cutter(buckets: int, shards: int, hot: set[int]):
+    """Cuts the shared segments out of the texts (columns doc, h, text, anchor)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = Shared()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = [(e[0], e[1], h, s, s + len(x), x) for x, e in shared.seen.items() for h, s in e[2]]
-            # settled windows need no shard; they are spread by their document
-            rows += [(h % shards, d, h, s, e, None) for d, h, s, e in shared.done]
-            for at in range(0, len(rows), 50_000):
-                yield piece_rows(rows[at : at + 50_000])
+            rows = [(e[0], e[1], h, s, 0, x) for x, e in shared.seen.items() for h, s in e[2]]
+            yield from piece_rows(rows, merged(shared.done), shards)
             shared.__init__()
 
         for batch in batches:
-            for doc, h, text, anchor, start, count in zip(*[c.to_pylist() if k != 2 else c for k, c in enumerate(batch.columns)], strict=True):
-                raw = text.as_py().encode()
-                doc = LAST_ID if doc is None else doc
-                for a, s, n in zip(anchor, start, count, strict=True):
-                    if s + n + WINDOW - 1 > len(raw):
-                        continue  # of another text with this key
+            docs, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            raws = [t.as_py().encode() for t in batch.column(2)]
+            wanted = batch.column(3)
+            owner = np.repeat(np.arange(len(docs)), wanted.value_lengths().to_numpy())
+            mark = lambda row, anchor: anchor ^ row << 20  # noqa: E731  chance matches only add candidates
+            wanted = np.unique(mark(owner, wanted.flatten().to_numpy()))
+            for h, row, start, count in all_segments(enumerate(raws)):
+                bucket, low = split_hash(h, buckets)
+                anchor = bucket * (1 << 32) + low
+                for j in np.flatnonzero(np.isin(mark(row, anchor), wanted)).tolist():
+                    k, a, s, n = int(row[j]), int(anchor[j]), int(start[j]), int(count[j])
                     if a in hot:
                         for w in range(s, s + n):
-                            x = raw[w : w + WINDOW]
-                            shared.add(x, xxhash.xxh32_intdigest(x) % shards, doc, h, w)
+                            x = raws[k][w : w + WINDOW]
+                            shared.add(x, xxhash.xxh32_intdigest(x) % shards, docs[k], hashes[k], w)
                     else:
-                        shared.add(raw[s : s + n + WINDOW - 1], a * 0x9E3779B1 % 2**61 % shards, doc, h, s)
-                if len(shared.seen) + len(shared.done) > 200_000:
+                        shared.add(raws[k][s : s + n + WINDOW - 1], a * 0x9E3779B1 % 2**61 % shards, docs[k], hashes[k], s)
+                if len(shared.seen) + len(shared.done) > 300_000:
                     yield from flush()
         yield from flush()
 
@@ -350,15 +371,13 @@ def shard_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     current, shared = None, Shared()
 
     def flush() -> Iterator[pa.RecordBatch]:
-        rows = [(None, d, h, s, e, None) for d, h, s, e in shared.done]
-        texts = sorted(shared.seen)
+        rows, texts = shared.done, sorted(shared.seen)
         if texts:
             docs = np.array([shared.seen[x][1] for x in texts], np.int64)
             for x, windows in zip(texts, windows_to_cut(texts, docs), strict=True):
                 for begin, end in runs_of(windows):
-                    rows += [(None, shared.seen[x][1], h, s + begin, s + end, None) for h, s in shared.seen[x][2]]
-        for at in range(0, len(rows), 50_000):
-            yield piece_rows(rows[at : at + 50_000])
+                    rows += [(shared.seen[x][1], h, s + begin, s + end) for h, s in shared.seen[x][2]]
+        yield from piece_rows([], merged(rows))
         shared.__init__()
 
     for batch in batches:
@@ -373,32 +392,39 @@ def shard_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def key_columns() -> list:
-    return [F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("h")]
+def hashes_of(text) -> list:
+    """Two hashes that equal texts share."""
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit("second")).alias("h2")]
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """doc, h (hash of the text), start, stop: stretches of bytes to remove; they
-    may overlap."""
+    """h1, h2 (of the text), first (smallest id of the text), runs (start, stop:
+    stretches of bytes to remove from its first document; they may overlap)."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") >= WINDOW)
-    keyed = rows.select(F.xxhash64("doc_id").alias("key"), "text")
-    asked = keyed.mapInArrow(questions(parts), ASK)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.where(F.octet_length("text") >= WINDOW).select("doc", "text", *hashes_of(F.col("text")))
+    asked = rows.select("h1", "text").mapInArrow(questions(parts), ASK)
     replies = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(answers, ANSWER)
-    replies = materialise(replies)
-    total, hottest = replies.agg(F.sum(F.size("anchor")), F.max("hot")).first()
+    replies = materialise(replies, tidy=True)
+    total, hottest = replies.agg(F.sum(F.size("anchor")), F.max("texts")).first()
     hot: set[int] = set()
     if hottest:
-        limit = max(HOT, int(total) // HOT_ANCHORS)  # so at most HOT_ANCHORS reach it
-        hot = {r[0] for r in replies.where(F.col("hot") >= limit).select(F.get("anchor", F.lit(0))).collect()}
-    found = replies.where("hot IS NULL").groupBy("key")
-    found = found.agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("anchor", "start", "count")])
-    texts = rows.select(*key_columns(), "text", F.xxhash64("doc_id").alias("key")).join(found, "key")
-    pieces = texts.select("doc", "h", "text", "anchor", "start", "count")
-    pieces = pieces.mapInArrow(cutter(SHARDS_PER_PARTITION * parts, hot), PIECE)
+        limit = max(HOT, int(total) // HOT_ANCHORS)  # so about HOT_ANCHORS reach it at most
+        hot = {r[0] for r in replies.where(F.col("texts") >= limit).select(F.get("anchor", F.lit(0))).collect()}
+    first = F.coalesce(F.min("doc"), F.lit(int(LAST_ID)))
+    groups = materialise(rows.groupBy("h1", "h2").agg(first.alias("first"), F.count(F.lit(1)).alias("n")))
+    found = replies.where("texts IS NULL").groupBy(F.col("key").alias("h1")).agg(F.flatten(F.collect_list("anchor")).alias("anchor"))
+    found = groups.select("h1", "h2", "first").join(found, "h1")
+    pieces = rows.select("h1", "h2", "text").join(found, ["h1", "h2"])
+    short = F.col("h1").bitwiseAND(F.lit(2**31 - 1)).cast("int")
+    pieces = pieces.select(F.col("first").alias("doc"), short.alias("h"), "text", "anchor")
+    pieces = pieces.mapInArrow(cutter(parts, SHARDS_PER_PARTITION * parts, hot), PIECE)
     runs = pieces.repartition("shard").sortWithinPartitions("shard").mapInArrow(shard_runs, PIECE)
-    return materialise(runs.select(F.when(F.col("doc") != int(LAST_ID), F.col("doc")).alias("doc"), "h", "start", "stop"))
+    runs = materialise(runs.select("doc", "h", "start", "stop"), tidy=True)
+    runs = runs.groupBy(F.col("doc").alias("first"), "h").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
+    texts = groups.withColumn("h", short).join(runs, ["first", "h"], "left").where("n > 1 OR runs IS NOT NULL")
+    return materialise(texts.select("h1", "h2", "first", "runs"))
 
 
 CUT = "n_bytes long, spans array<struct<start:int,stop:int>>, kept binary"
@@ -409,13 +435,14 @@ def without_repeats(docs: DataFrame, columns: list[str] | None = None, whole_cha
     kept (the other bytes).  With ``whole_characters`` a character of several
     bytes stays if not all of them are to go."""
     columns = columns or ["doc_id"]
-    runs = removals(docs)
-    spans = runs.groupBy("doc", "h").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
-    spans = spans.withColumnsRenamed({"doc": "_doc", "h": "_h"})
+    found = removals(docs).withColumnsRenamed({"h1": "_h1", "h2": "_h2", "first": "_first", "runs": "_runs"})
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(*columns, text.alias("_t"), F.col("doc_id").cast("long").alias("_d"), F.xxhash64(text).alias("_x"))
-    rows = rows.join(spans, F.col("_d").eqNullSafe(F.col("_doc")) & (F.col("_x") == F.col("_h")), "left")
-    rows = rows.select(*columns, "_t", "runs")
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST_ID)))
+    rows = docs.select(*columns, text.alias("_t"), doc.alias("_d"), *[h.alias(f"_x{k}") for k, h in enumerate(hashes_of(text))])
+    rows = rows.join(found, (F.col("_x0") == F.col("_h1")) & (F.col("_x1") == F.col("_h2")), "left")
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.octet_length("_t").alias("stop")))
+    runs = F.when(F.col("_d") > F.col("_first"), whole).otherwise(F.col("_runs"))
+    rows = rows.select(*columns, "_t", runs.alias("_runs"))
     n = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
