@@ -231,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, table, sample: int = SAMPLE) -> Netw
 
     seen = texts.mapInArrow(run, "doc_id long, y int, x binary").dropDuplicates(["doc_id", "x"]).toPandas()
     seen = seen.assign(h=[xxhash.xxh64_intdigest(str(d), 5) for d in seen["doc_id"]]).sort_values(["h", "x"])
-    x = np.array([np.frombuffer(b, np.float32) for b in seen["x"]], float).reshape(len(seen), -1)
+    x = np.array([np.frombuffer(b, np.float32) for b in seen["x"]], float).reshape(len(seen), 2 * WIDTH + 2)
     return Network(x, seen["y"].to_numpy(float))
 
 
