@@ -10,7 +10,7 @@ A page is blocked if the posterior bound says so: its host's bad rate is over
 
 Defined cases: a NULL url or one without ``://`` has an empty host and path, and
 is judged as the host of that name; hosts without labels get their domain's
-prior; outcomes count once per page row, NULL outcomes not at all; repeated rows
+prior, and no label at all lets all pass; outcomes count once per page row, NULL outcomes not at all; repeated rows
 are judged alike; only page_id and url are read; empty tables give empty results.
 """
 
@@ -33,6 +33,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MAX_BAD = 0.4
 CONFIDENCE = 0.95
 LEVELS = ("suffix", "domain", "host")
+#: The overall bad rate before any label is seen; it counts for one page.
+AT_FIRST = 0.1
 #: The strength of a prior stays between these numbers of pages.
 WEAKEST, STRONGEST = 0.1, 1e5
 
@@ -114,7 +116,7 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, max_bad: float = MAX_
     suffix, domain = registered(F.col("host"))
     hosts = materialise(rows.withColumns({"suffix": suffix, "domain": domain}))
     n, k = hosts.agg(F.sum("n"), F.sum("k")).first()
-    overall = ((k or 0) + 0.5) / ((n or 0) + 1)
+    overall = ((k or 0) + AT_FIRST) / ((n or 0) + 1)
     above = None
     for level in LEVELS:
         keys = list(LEVELS[: LEVELS.index(level) + 1])
