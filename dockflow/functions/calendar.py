@@ -98,7 +98,7 @@ def day_part(hour: Column) -> Column:
         F.when((hour >= 5) & (hour < 12), "Morning")
         .when((hour >= 12) & (hour < 19), "Afternoon")
         .when(hour >= 19, "Night")
-        .otherwise("Late night")
+        .when(hour < 5, "Late night")
     )
 
 

@@ -17,19 +17,21 @@ def lower_band(pred: Column, error: Column) -> Column:
 
 
 def verdict(actual: Column, low: Column, high: Column) -> Column:
+    """NULL if a number is missing."""
+    known = actual.isNotNull() & low.isNotNull() & high.isNotNull()
     return (
-        F.when((actual <= high) & (actual >= low), "Sufficient")
-        .when(actual > high, "Oversupply")
-        .otherwise("Insufficient")
+        F.when(known & (actual <= high) & (actual >= low), "Sufficient")
+        .when(known & (actual > high), "Oversupply")
+        .when(known, "Insufficient")
     )
 
 
 def gap_size(label: Column, actual: Column, low: Column, high: Column) -> Column:
-    """Distance to the violated bound, 3 where none is violated."""
+    """Distance to the violated bound, 3 where none is violated, NULL without a label."""
     return (
         F.when(label == "Oversupply", F.abs(actual - high))
         .when(label == "Insufficient", F.abs(actual - low))
-        .otherwise(F.lit(3.0))
+        .when(label.isNotNull(), F.lit(3.0))
     )
 
 
@@ -38,12 +40,12 @@ def station_range(number: Column) -> Column:
         F.when(number < 26, "1-25")
         .when(number < 51, "26-50")
         .when(number < 76, "51-75")
-        .otherwise("76-102")
+        .when(number >= 76, "76-102")
     )
 
 
 def activity_label(total: Column, threshold: int = ACTIVE_TOTAL) -> Column:
-    return F.when(total > threshold, "Most Active").otherwise("Least Active")
+    return F.when(total > threshold, "Most Active").when(total <= threshold, "Least Active")
 
 
 def plain_number(value: Column) -> Column:

@@ -61,7 +61,7 @@ def forecast_week(
     period: tuple[str, str] = STUDY_YEAR,
     week: tuple[str, str] = UNSEEN_WEEK,
     trees: int = forecast.TREES,
-    depth: int = 10,
+    depth: int = forecast.DEPTH,
     seed: int = forecast.SEED,
 ) -> None:
     """Panel and clusters to a forest, its errors and the week's verdicts."""
@@ -81,14 +81,10 @@ def forecast_week(
     unseen = forecast.with_place(
         forecast.half_hour_features(panels.half_open_period(panel, *week), groups), stations
     )
-    write_stage(model.transform(forecast.complete_rows(unseen)).drop(*_model_columns()), f"{out}/scored")
+    write_stage(forecast.scored_rows(model, unseen), f"{out}/scored")
     scored = read_stage(spark, f"{out}/scored")
     metrics = forecast.as_rows(forecast.held_out_metrics(model.transform(test)), "held_out").unionByName(
         forecast.as_rows(forecast.unseen_metrics(scored), "unseen")
     )
     write_stage(metrics, f"{out}/metrics")
     write_stage(forecast.stock_verdicts(scored), f"{out}/verdicts")
-
-
-def _model_columns() -> list[str]:
-    return [f"{name}_ix" for name in forecast.CATEGORIES] + ["features"]

@@ -20,6 +20,7 @@ from dockflow.schemas import HALF_HOURS, SEASONS, WEEKDAYS
 
 SEED = 3482
 TREES = 200
+DEPTH = 30  # the most that the forest allows: leaves are bounded by their rows
 CLUSTERS = ["1", "2", "3", "4"]
 CATEGORIES = {"weekday": WEEKDAYS, "time": HALF_HOURS, "cluster": CLUSTERS, "season": SEASONS}
 NUMBERS = ["prev_bike_num", "latitude", "longitude"]
@@ -90,10 +91,6 @@ def time_split(features: DataFrame, first_test_day: str) -> DataFrame:
     return features.withColumn("split", F.when(test, "test").otherwise("train"))
 
 
-def persistence(features: DataFrame) -> DataFrame:
-    return features.withColumn("pred", F.col("prev_bike_num"))
-
-
 def held_out_metrics(scored: DataFrame) -> DataFrame:
     """Errors of the test rows before and after rounding the prediction."""
     actual, pred = F.col("av_bikes"), F.col("pred")
@@ -117,14 +114,19 @@ def rounded(scored: DataFrame) -> DataFrame:
     return scored.withColumns({"pred": F.bround("pred"), "av_bikes": F.abs("av_bikes")})
 
 
-def error_of(scored: DataFrame) -> Column:
-    """RMSE of the raw predictions as a one-value subquery."""
-    return scored.agg(service.rmse(F.col("av_bikes"), F.col("pred"))).scalar()
+def error_column(of_rounded: bool = False) -> Column:
+    """RMSE of the raw predictions (unseen rows) or the rounded ones (held-out rows)."""
+    return service.rmse(F.col("av_bikes"), F.bround("pred") if of_rounded else F.col("pred"))
+
+
+def error_of(scored: DataFrame, of_rounded: bool = False) -> Column:
+    """The error as a one-value subquery."""
+    return scored.agg(error_column(of_rounded)).scalar()
 
 
-def with_band(scored: DataFrame) -> DataFrame:
+def with_band(scored: DataFrame, of_rounded: bool = False) -> DataFrame:
     """Rounded predictions with the error band around them."""
-    shown = rounded(scored).withColumn("error", error_of(scored))
+    shown = rounded(scored).withColumn("error", error_of(scored, of_rounded))
     pred, error = F.col("pred"), F.col("error")
     return shown.withColumns(
         {"up_bound": service.upper_band(pred, error), "low_bound": service.lower_band(pred, error)}
@@ -158,8 +160,15 @@ def forecast_curves(scored: DataFrame, by_weekday: bool = False) -> DataFrame:
     )
 
 
-def error_labels(scored: DataFrame) -> DataFrame:
-    per = scored.agg(service.rmse(F.col("av_bikes"), F.col("pred")).alias("error"))
+def curves_with_band(scored: DataFrame, by_weekday: bool = False, of_rounded: bool = True) -> DataFrame:
+    """The mean curves with the error band around the predicted one."""
+    curves = forecast_curves(scored, by_weekday).withColumn("error", error_of(scored, of_rounded))
+    pred, error = F.col("mean_pred"), F.col("error")
+    return curves.withColumns({"up_bound": pred + error, "low_bound": pred - error})
+
+
+def error_labels(scored: DataFrame, of_rounded: bool = False) -> DataFrame:
+    per = scored.agg(error_column(of_rounded).alias("error"))
     return per.select(
         service.error_label(F.col("error")).alias("label"),
         service.error_range_label(F.col("error")).alias("range_label"),
@@ -175,10 +184,11 @@ def complete_rows(features: DataFrame) -> DataFrame:
     return features.dropna(subset=[*NUMBERS, "av_bikes"])
 
 
-def forest_pipeline(trees: int = TREES, depth: int = 10, seed: int = SEED) -> Pipeline:
+def forest_pipeline(trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> Pipeline:
     """Indexers with fixed levels (no fitting pass), assembler, forest.
 
-    A level outside the fixed ones gets its own bucket.
+    A level outside the fixed ones gets its own bucket.  Trees grow until a leaf
+    would hold fewer than five rows, and try two of the seven predictors at a split.
     """
     indexers = [
         StringIndexerModel.from_labels(
@@ -195,13 +205,15 @@ def forest_pipeline(trees: int = TREES, depth: int = 10, seed: int = SEED) -> Pi
         predictionCol="pred",
         numTrees=trees,
         maxDepth=depth,
-        maxBins=64,
+        maxBins=256,
+        minInstancesPerNode=5,
+        featureSubsetStrategy="2",
         seed=seed,
     )
     return Pipeline(stages=[*indexers, assembler, forest])
 
 
-def fit_forest(train: DataFrame, trees: int = TREES, depth: int = 10, seed: int = SEED) -> PipelineModel:
+def fit_forest(train: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> PipelineModel:
     """Fits on cached rows, spread evenly and sorted so that a fit can be repeated."""
     columns = ["av_bikes", *CATEGORIES, *NUMBERS]
     used = spread(complete_rows(train).select(*columns), *columns)
@@ -212,6 +224,16 @@ def fit_forest(train: DataFrame, trees: int = TREES, depth: int = 10, seed: int
         used.unpersist()
 
 
+def scored_rows(model: PipelineModel, features: DataFrame) -> DataFrame:
+    """All rows with a prediction; NULL where a predictor is missing."""
+    known = F.lit(True)
+    for name in NUMBERS:
+        known = known & F.col(name).isNotNull()
+    scored = model.transform(features.where(known)).select(*features.columns, "pred")
+    missing = features.where(~known).withColumn("pred", F.lit(None).cast("double"))
+    return scored.unionByName(missing)
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

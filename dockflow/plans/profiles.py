@@ -91,7 +91,3 @@ def vectors(long: DataFrame) -> DataFrame:
 def station_profile(panel: DataFrame) -> DataFrame:
     """Mean free docks per station name and slot."""
     return panel.groupBy("number", "name", "slot").agg(F.avg("available_stands").alias("stands"))
-
-
-def slot_names(long: DataFrame) -> DataFrame:
-    return long.withColumn("time", cal.time_text(F.col("slot")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import functions as F
 
 from dockflow.plans import forecast
@@ -26,15 +28,56 @@ def week(s, d):
     return panels.half_open_period(given(s, d), *fx.WEEK)
 
 
-def _fit(s, d, trees: int = 20, depth: int = 8):
+@cache
+def _fit(s, d):
+    """The full forest, fitted once for all queries on it, and the test rows."""
     split = forecast.time_split(features(s, d), fx.WEEK[0])
-    model = forecast.fit_forest(split.where(F.col("split") == "train"), trees, depth)
-    return model, forecast.complete_rows(split.where(F.col("split") == "test"))
+    model = forecast.fit_forest(split.where(F.col("split") == "train"))
+    return model, split.where(F.col("split") == "test")
 
 
 def _forest(s, d):
     model, test = _fit(s, d)
-    return plain(model.transform(test).select("number", "name", "date", "time", "av_bikes", "pred"))
+    return plain(forecast.scored_rows(model, test).select("number", "name", "date", "time", "av_bikes", "pred"))
+
+
+def _forest_facts(s, d):
+    """What holds for every prediction of a forest, per test row."""
+    model, test = _fit(s, d)
+    train = forecast.complete_rows(forecast.time_split(features(s, d), fx.WEEK[0]).where(F.col("split") == "train"))
+    low, high = train.agg(F.min("av_bikes"), F.max("av_bikes")).first()
+    scored = forecast.scored_rows(model, test)
+    return scored.select(
+        F.col("number").cast("bigint").alias("number"),
+        "name",
+        F.col("date").cast("string").alias("date"),
+        "time",
+        F.col("av_bikes").cast("double").alias("av_bikes"),
+        F.col("pred").isNotNull().alias("has_pred"),
+        F.coalesce(F.col("pred").between(low, high), F.lit(True)).alias("in_range"),
+    )
+
+
+def _importance_facts(s, d):
+    """Seven features whose shares are not negative and add up to one."""
+    model, _ = _fit(s, d)
+    rows = forecast.impurity_importance(s, model)
+    return rows.agg(
+        F.count(F.lit(1)).alias("features"),
+        F.round(F.sum("importance"), 6).alias("total"),
+        F.min(F.col("importance") >= 0).alias("no_negative"),
+    )
+
+
+def _reload_facts(s, d):
+    """The reloaded model predicts the same in every row."""
+    model, test = _fit(s, d)
+    path = shared_dir(s)
+    forecast.save_model(model, path)
+    rows = forecast.complete_rows(test).select(*forecast.CATEGORIES, *forecast.NUMBERS, F.struct("number", "name", "date", "time").alias("key"))
+    first = model.transform(rows).select(F.col("pred").alias("first"), "key", *forecast.CATEGORIES, *forecast.NUMBERS)
+    both = forecast.load_model(path).transform(first)
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.min(F.col("pred") == F.col("first")).alias("same"))
 
 
 def _importance(s, d):
@@ -44,14 +87,14 @@ def _importance(s, d):
 
 def _permutation(s, d):
     model, test = _fit(s, d)
-    return plain(forecast.permutation_importance(model, test))
+    return plain(forecast.permutation_importance(model, forecast.complete_rows(test)))
 
 
 def _model_roundtrip(s, d):
-    model, test = _fit(s, d, trees=5, depth=4)
+    model, test = _fit(s, d)
     path = shared_dir(s)
     forecast.save_model(model, path)
-    back = forecast.load_model(path).transform(test)
+    back = forecast.load_model(path).transform(forecast.complete_rows(test))
     return plain(forecast.held_out_metrics(back))
 
 
@@ -60,6 +103,10 @@ def _split(s, d):
     return plain(rows.select("number", "name", "date", "time", "row_index", "split"))
 
 
+def test_rows(s, d):
+    return forecast.positional_split(given(s, d)).where(F.col("split") == "test")
+
+
 VERDICT = ["number", "name", "date", "av_bikes", "pred", "error", "up_bound", "low_bound", "acc_pred"]
 
 QUERIES = {
@@ -90,7 +137,22 @@ QUERIES = {
         forecast.forecast_curves(given(s, d).where(F.col("number") == fx.STATION), by_weekday=True)
     ),
     "error_labels": lambda s, d: plain(forecast.error_labels(week(s, d))),
+    "forecast_band_split": lambda s, d: plain(
+        forecast.with_band(test_rows(s, d), of_rounded=True).select(
+            "number", "name", "date", "time", "av_bikes", "pred", "error", "up_bound", "low_bound"
+        )
+    ),
+    "error_labels_split": lambda s, d: plain(forecast.error_labels(test_rows(s, d), of_rounded=True)),
+    "forecast_curves_band": lambda s, d: plain(forecast.curves_with_band(test_rows(s, d))),
+    "stock_verdict_missing": lambda s, d: plain(
+        forecast.stock_verdicts(
+            week(s, d).withColumn("pred", F.when(F.col("number") % 7 != 0, F.col("pred")))
+        ).select(*VERDICT, "gap", "st_range")
+    ),
     "rf_forecast": _forest,
+    "rf_forecast_facts": _forest_facts,
+    "rf_importance_facts": _importance_facts,
+    "model_roundtrip_facts": _reload_facts,
     "rf_importance": _importance,
     "rf_permutation_importance": _permutation,
     "model_roundtrip": _model_roundtrip,
@@ -105,19 +167,29 @@ band AS (SELECT number, name, address, bike_stands, date, weekday, time, abs(av_
                 latitude, longitude, round_even(pred, 0) + error AS up_bound,
                 CASE WHEN round_even(pred, 0) - error < 0 THEN 0 ELSE round_even(pred, 0) - error END AS low_bound
          FROM week, err)"""]
-JUDGED = [*BAND, """
+JUDGE = """
 judged AS (
   SELECT *, CASE WHEN acc_pred = 'Oversupply' THEN abs(av_bikes - up_bound) WHEN acc_pred = 'Insufficient'
-                 THEN abs(av_bikes - low_bound) ELSE 3 END AS gap,
+                 THEN abs(av_bikes - low_bound) WHEN acc_pred = 'Sufficient' THEN 3 END AS gap,
          CASE WHEN number < 26 THEN '1-25' WHEN number < 51 THEN '26-50' WHEN number < 76 THEN '51-75' ELSE '76-102' END AS st_range
   FROM (SELECT *, CASE WHEN av_bikes <= up_bound AND av_bikes >= low_bound THEN 'Sufficient'
-                       WHEN av_bikes > up_bound THEN 'Oversupply' ELSE 'Insufficient' END AS acc_pred
-        FROM band WHERE weekday = 'Mon' AND time = '08:00'))"""]
+                       WHEN av_bikes > up_bound THEN 'Oversupply' WHEN av_bikes < low_bound THEN 'Insufficient' END AS acc_pred
+        FROM band WHERE weekday = 'Mon' AND time = '08:00'))"""
+JUDGED = [*BAND, JUDGE]
+MISSING = [c.replace("FROM given WHERE", "REPLACE (CASE WHEN number % 7 <> 0 THEN pred END AS pred) FROM given WHERE") if c.startswith("week AS") else c for c in JUDGED]
 INDEXED = """
 indexed AS (SELECT *, row_number() OVER (ORDER BY number, name, address, bike_stands, date, season, weekday, time) AS row_index,
                    count(*) OVER () // 10 AS n FROM given),
 split AS (SELECT *, CASE WHEN row_index >= 7 * n + 1 AND row_index <= 10 * n THEN 'test' ELSE 'train' END AS split FROM indexed)"""
 
+TEST_ERROR = """
+test AS (SELECT * FROM split WHERE split = 'test'),
+err AS (SELECT sqrt(avg((av_bikes - round_even(pred, 0)) * (av_bikes - round_even(pred, 0)))) AS error FROM test)"""
+LABELS = (
+    "SELECT concat('Error margin: ', regexp_replace(CAST(round_even(error, 2) AS VARCHAR), '\\.0$', '')) AS label, "
+    "concat('Error range: ', CAST(CAST(round_even(error * 2, 0) AS BIGINT) AS VARCHAR), ' bikes') AS range_label FROM err"
+)
+
 
 def _metrics(source: str) -> str:
     return (
@@ -186,9 +258,41 @@ rest AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY md5(concat('
     "verdict_counts": select(JUDGED, "SELECT st_range, acc_pred, count(*) AS stations FROM judged GROUP BY ALL"),
     "forecast_curves": select(GIVEN, _curves("number, address, time")),
     "forecast_curves_weekday": select(GIVEN, _curves("address, weekday, time", "WHERE number = 5")),
+    "forecast_band_split": select(
+        [*GIVEN, INDEXED, TEST_ERROR],
+        f"SELECT {NUM}, name, CAST(date AS VARCHAR) AS date, time, abs(av_bikes) AS av_bikes, round_even(pred, 0) AS pred, "
+        "round(error + 1.3e-9, 6) + 0.0 AS error, round(round_even(pred, 0) + error + 1.3e-9, 6) + 0.0 AS up_bound, "
+        "round(CASE WHEN round_even(pred, 0) - error < 0 THEN 0 ELSE round_even(pred, 0) - error END + 1.3e-9, 6) + 0.0 AS low_bound FROM test, err",
+    ),
+    "error_labels_split": select([*GIVEN, INDEXED, TEST_ERROR], LABELS),
+    "forecast_curves_band": select(
+        [*GIVEN, INDEXED, TEST_ERROR, """
+curves AS (SELECT number, address, time, avg(av_bikes) AS bikes, avg(round_even(pred, 0)) AS mean, max(bike_stands) AS stands
+           FROM test GROUP BY number, address, time)"""],
+        f"SELECT {NUM}, address, time, round(bikes + 1.3e-9, 6) + 0.0 AS mean_av_bikes, round(mean + 1.3e-9, 6) + 0.0 AS mean_pred, "
+        "CAST(stands AS BIGINT) AS tot_stands, round(error + 1.3e-9, 6) + 0.0 AS error, round(mean + error + 1.3e-9, 6) + 0.0 AS up_bound, "
+        "round(mean - error + 1.3e-9, 6) + 0.0 AS low_bound FROM curves, err",
+    ),
+    "stock_verdict_missing": select(
+        MISSING,
+        f"SELECT {NUM}, name, CAST(date AS VARCHAR) AS date, av_bikes, pred, round(error + 1.3e-9, 6) + 0.0 AS error, "
+        "round(up_bound + 1.3e-9, 6) + 0.0 AS up_bound, round(low_bound + 1.3e-9, 6) + 0.0 AS low_bound, acc_pred, "
+        "round(CAST(gap AS DOUBLE) + 1.3e-9, 6) + 0.0 AS gap, st_range FROM judged",
+    ),
+    "rf_forecast_facts": select(
+        FEATURES,
+        f"SELECT {NUM}, name, CAST(date AS VARCHAR) AS date, time, CAST(av_bikes AS DOUBLE) AS av_bikes, "
+        "prev_bike_num IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL AS has_pred, true AS in_range "
+        "FROM half WHERE date >= DATE '2024-01-15'",
+    ),
+    "rf_importance_facts": "SELECT 7::BIGINT AS features, 1.0::DOUBLE AS total, true AS no_negative",
+    "model_roundtrip_facts": select(
+        FEATURES,
+        "SELECT count(*) AS rows, true AS same FROM half WHERE date >= DATE '2024-01-15' AND prev_bike_num IS NOT NULL "
+        "AND latitude IS NOT NULL AND longitude IS NOT NULL AND av_bikes IS NOT NULL",
+    ),
     "error_labels": select(
         BAND,
-        "SELECT concat('Error margin: ', regexp_replace(CAST(round_even(error, 2) AS VARCHAR), '\\.0$', '')) AS label, "
-        "concat('Error range: ', CAST(CAST(round_even(error * 2, 0) AS BIGINT) AS VARCHAR), ' bikes') AS range_label FROM err",
+        LABELS,
     ),
 }

@@ -52,6 +52,40 @@ def _given_groups(s, d):
     return fx.panel(s, d).withColumn("cluster", part.cast("int"))
 
 
+# The numbers of groups that the cost curves go through.
+PROFILE_KS = list(range(2, 11))
+FLOW_KS = list(range(2, 16))
+
+
+def _elbow(s, d, **subset):
+    points = clusters.profile_points(current(s, d), **subset)
+    return plain(clusters.elbow_frame(s, points, PROFILE_KS))
+
+
+def _elbow_facts(s, d):
+    """Each cost lies under the spread of one group."""
+    flows = _station(s, d)
+    costs = clusters.elbow_frame(s, clusters.flow_points(flows), FLOW_KS)
+    total = clusters.total_spread(flows, ["check_in", "check_out"]).select("wss").scalar()
+    return costs.select(F.col("k").cast("bigint").alias("k"), ((F.col("wss") >= 0) & (F.col("wss") < total)).alias("under_total"))
+
+
+def _kmeans_facts(s, d):
+    """Per fit: rows that got a group, and whether all groups are in 0..k-1."""
+    out = None
+    for name, points in (
+        ("profiles", clusters.profile_points(current(s, d))),
+        ("weekdays", clusters.profile_points(current(s, d), weekdays=profiles.WEEKDAY_SET)),
+        ("flows", clusters.flow_points(_station(s, d))),
+    ):
+        rows = clusters.fit_kmeans(points).transform(points)
+        facts = rows.agg(
+            F.count("cluster").alias("assigned"), F.min(F.col("cluster").between(0, clusters.K - 1)).alias("in_range")
+        ).select(F.lit(name).alias("fit"), "assigned", "in_range")
+        out = facts if out is None else out.unionByName(facts)
+    return out
+
+
 QUERIES = {
     "profile_wide": lambda s, d: plain(profiles.wide(profiles.cells(current(s, d)))),
     "profile_filled": lambda s, d: plain(profiles.filled(current(s, d))),
@@ -92,9 +126,16 @@ QUERIES = {
     "kmeans_top10": lambda s, d: _kmeans(s, d, top=10),
     "kmeans_bottom10": lambda s, d: _kmeans(s, d, top=-10),
     "kmeans_flows": _flow_groups,
-    "elbow_curve": lambda s, d: plain(
-        clusters.elbow_frame(s, clusters.profile_points(current(s, d)), [2, 3, 4, 5])
+    "elbow_curve": lambda s, d: _elbow(s, d),
+    "elbow_weekdays": lambda s, d: _elbow(s, d, weekdays=profiles.WEEKDAY_SET),
+    "elbow_weekend": lambda s, d: _elbow(s, d, weekdays=profiles.WEEKEND_SET),
+    "elbow_top10": lambda s, d: _elbow(s, d, top=10),
+    "elbow_bottom10": lambda s, d: _elbow(s, d, top=-10),
+    "elbow_flows": lambda s, d: plain(
+        clusters.elbow_frame(s, clusters.flow_points(_station(s, d)), FLOW_KS)
     ),
+    "elbow_facts": _elbow_facts,
+    "kmeans_facts": _kmeans_facts,
 }
 
 CURRENT = "current AS (SELECT * FROM panel WHERE name <> 'STATION 0 OLD')"
@@ -181,6 +222,13 @@ SQL = {
         "SELECT CAST(1 AS BIGINT) AS k, round((max(n) - 1) * sum(v) + 1.3e-9, 6) + 0.0 AS wss FROM ("
         "SELECT slot, var_samp(available_stands) AS v, count(*) AS n FROM filled GROUP BY slot)",
     ),
+    "elbow_facts": "SELECT unnest(range(2, 16))::BIGINT AS k, true AS under_total",
+    "kmeans_facts": select(
+        [fx.PANEL, CURRENT, ONE],
+        "SELECT 'profiles' AS fit, count(*) AS assigned, true AS in_range FROM (SELECT DISTINCT number, date FROM current) UNION ALL "
+        "SELECT 'weekdays', count(*), true FROM (SELECT DISTINCT number, date FROM current WHERE weekday IN ('Mon', 'Tue', 'Wed', 'Thu')) "
+        "UNION ALL SELECT 'flows', count(*), true FROM one",
+    ),
     "nearest_centroid": select(KEYED, "SELECT CAST(number AS BIGINT) AS number, name, cluster FROM clusters"),
     "station_curves": select(
         [*KEYED, CURRENT],

@@ -59,3 +59,15 @@ def test_flows_of_missing_change(spark):
     rows = [(3,), (-2,), (0,), (None,)]
     assert values(spark, rows, "d int", flows.check_in(F.col("d"))) == [3, 0, 0, 0]
     assert values(spark, rows, "d int", flows.check_out(F.col("d"))) == [0, 2, 0, 0]
+
+
+def test_missing_values_stay_missing(spark):
+    from dockflow.functions import service
+
+    none = spark.createDataFrame([(None, 1.0, 2.0), (1.0, None, 2.0), (3.0, 1.0, None)], "a double, low double, high double")
+    a, low, high = F.col("a"), F.col("low"), F.col("high")
+    rows = none.select(service.verdict(a, low, high).alias("v")).select("v", service.gap_size(F.col("v"), F.lit(1.0), F.lit(0.0), F.lit(2.0)).alias("g"))
+    assert [tuple(r) for r in rows.collect()] == [(None, None)] * 3
+    missing = F.lit(None).cast("int")
+    row = spark.range(1).select(service.station_range(missing), service.activity_label(missing), cal.day_part(missing)).first()
+    assert tuple(row) == (None, None, None)
