@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,19 +15,21 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
-def materialise(df: DataFrame, tidy: bool = False) -> DataFrame:
-    """Write to the shared folder and read back: later steps no longer depend on
-    the work before, so a lost executor costs only its running tasks.
+#: Drops the shuffle files of an execution at its end (Spark 4.1).
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    ``tidy``: let Spark's cleaner drop the shuffle files of the work before at
-    once.  It does so when the driver collects garbage, which may take long.
-    """
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and read back: later steps no longer depend on
+    the work before, so a lost executor costs only its running tasks, and the
+    shuffle files of that work can go at once."""
     spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    if tidy:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+    path, before = shared_dir(spark), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
