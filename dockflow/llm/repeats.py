@@ -44,7 +44,7 @@ ANCHOR = 20
 PLACES = WINDOW - ANCHOR + 1  # of an anchor in a window
 BUFFER = 1 << 20  # bytes looked at together
 BLOCK = 1 << 21  # segments asked for together
-HOT = 4096  # an anchor below this many segments never counts as hot
+HOT = 1 << 16  # an anchor in fewer texts never counts as hot: its group has some MB
 HOT_ANCHORS = 1_000_000  # at most so many are
 SHARDS_PER_PARTITION = 8
 LAST_ID = np.iinfo(np.int64).max  # a NULL id
@@ -406,7 +406,7 @@ def removals(docs: DataFrame) -> DataFrame:
     rows = rows.where(F.octet_length("text") >= WINDOW).select("doc", "text", *hashes_of(F.col("text")))
     asked = rows.select("h1", "text").mapInArrow(questions(parts), ASK)
     replies = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(answers, ANSWER)
-    replies = materialise(replies, tidy=True)
+    replies = materialise(replies)
     total, hottest = replies.agg(F.sum(F.size("anchor")), F.max("texts")).first()
     hot: set[int] = set()
     if hottest:
@@ -421,7 +421,7 @@ def removals(docs: DataFrame) -> DataFrame:
     pieces = pieces.select(F.col("first").alias("doc"), short.alias("h"), "text", "anchor")
     pieces = pieces.mapInArrow(cutter(parts, SHARDS_PER_PARTITION * parts, hot), PIECE)
     runs = pieces.repartition("shard").sortWithinPartitions("shard").mapInArrow(shard_runs, PIECE)
-    runs = materialise(runs.select("doc", "h", "start", "stop"), tidy=True)
+    runs = materialise(runs.select("doc", "h", "start", "stop"))
     runs = runs.groupBy(F.col("doc").alias("first"), "h").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
     texts = groups.withColumn("h", short).join(runs, ["first", "h"], "left").where("n > 1 OR runs IS NOT NULL")
     return materialise(texts.select("h1", "h2", "first", "runs"))
