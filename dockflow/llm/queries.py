@@ -131,4 +131,47 @@ QUERIES = {
     "op10_secrets": op10_secrets,
 }
 
-SQL: dict[str, str] = {}
+#: The words of a text, the measures and the certified cutoffs in DuckDB's dialect.
+RULES_SQL = ",\n".join(
+    f"('{name}', {j}, {cutoff})" for name, (_, grid) in quality.RULES.items() for j, cutoff in enumerate(grid)
+)
+VALUES_SQL = " UNION ALL ".join(
+    f"SELECT id, stratum, '{name}' AS rule, ({value.replace(' / ', ' / CAST(')} AS DOUBLE)) AS value FROM measured WHERE NOT base_failed"
+    for name, (value, _) in quality.RULES.items()
+)
+SQL: dict[str, str] = {
+    "op2_quality": rf"""
+WITH numbered AS (SELECT row_number() OVER () AS id, doc_id, lang AS stratum, coalesce(text, '') AS text FROM documents),
+split AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+                 list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM numbered),
+windows AS (SELECT id, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c
+            FROM (SELECT id, words, unnest(range(1, len(words) - 1)) AS i FROM split WHERE len(words) > 2)),
+twice AS (SELECT id, i FROM (SELECT id, i, count(*) OVER (PARTITION BY id, a, b, c) AS n FROM windows) WHERE n > 1),
+repeated AS (SELECT id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY id),
+measured AS (
+  SELECT s.id, doc_id, stratum, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+         (length(text) - length(regexp_replace(text, '{quality.SYMBOLS}', '', 'g')))::BIGINT AS n_symbols,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+         len(lines) AS n_lines, length(text) - length(regexp_replace(text, '[!?]', '', 'g')) AS n_marks,
+         len(words) < {quality.MIN_WORDS} OR 100 * coalesce(r.n, 0) > 50 * len(words) AS base_failed
+  FROM split s LEFT JOIN repeated r ON s.id = r.id),
+rules(rule, j, cutoff) AS (VALUES {RULES_SQL}),
+valued AS ({VALUES_SQL}),
+good AS (SELECT v.* FROM valued v JOIN measured m ON v.id = m.id
+         JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) l ON m.doc_id = l.doc_id),
+strata AS (SELECT count(*) AS n FROM (SELECT DISTINCT stratum FROM good)),
+counts AS (SELECT stratum, g.rule, j, cutoff, count(*) AS n, count(*) FILTER (value > cutoff) AS k
+           FROM good g JOIN rules r ON g.rule = r.rule GROUP BY ALL),
+tails AS (SELECT c.stratum, c.rule, c.j, c.cutoff, c.n, c.k, sum(exp(lgamma(c.n + 1) - (CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END)
+                 - lgamma(c.n - i + 1) + i * ln({quality.MAX_FALSE / len(quality.RULES)}) + (c.n - i) * ln(1 - {quality.MAX_FALSE / len(quality.RULES)}))) AS tail
+          FROM (SELECT *, unnest(range(0, k + 1)) AS i FROM counts WHERE k < n * {quality.MAX_FALSE / len(quality.RULES)}) c GROUP BY ALL),
+judged AS (SELECT c.stratum, c.rule, c.j, c.cutoff, coalesce(t.tail <= {quality.DELTA} / (s.n * {len(quality.RULES)}), false) AS stands
+           FROM counts c CROSS JOIN strata s LEFT JOIN tails t ON c.stratum IS NOT DISTINCT FROM t.stratum AND c.rule = t.rule AND c.j = t.j),
+cutoffs AS (SELECT stratum, rule, min(cutoff) AS cutoff
+            FROM (SELECT *, bool_and(stands) OVER (PARTITION BY stratum, rule ORDER BY j) AS holds FROM judged) WHERE holds GROUP BY ALL),
+failed AS (SELECT v.id, string_agg(v.rule, ',' ORDER BY list_position({list(quality.RULES)}, v.rule)) AS rules
+           FROM valued v JOIN cutoffs c ON v.stratum IS NOT DISTINCT FROM c.stratum AND v.rule = c.rule WHERE v.value > c.cutoff GROUP BY v.id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND f.rules IS NULL AS kept, coalesce(f.rules, '') AS failed_rules
+FROM measured m LEFT JOIN failed f ON m.id = f.id""",
+}
