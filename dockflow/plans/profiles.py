@@ -12,7 +12,6 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dockflow.functions import calendar as cal
 from dockflow.operators.series import fill_across, fill_within
 from dockflow.schemas import DAY_SLOTS
 
