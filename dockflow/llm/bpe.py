@@ -36,7 +36,7 @@ END = "</w>"
 ODD = regex.compile(r"[\x1c-\x1f]")
 
 LAST = 0xE000  # added to the code of a word's last symbol
-KEPT = 300_000  # entries of each half of a cache
+KEPT = 100_000  # entries of each half of a cache
 BATCH_BYTES = 8 << 20
 
 
@@ -95,7 +95,7 @@ class Codec:
         self._length = {i: len(key) for key, i in self._keys.items()}
         self._spines: dict[tuple[int, int], list] = {}
         self._find_own()
-        self._pairs = Recent(self._fits, 1 << 19)
+        self._pairs = Recent(self._fits)
         self._symbols = byte_symbols()
         self._special = regex.compile("|".join(map(regex.escape, specials))) if specials else None
         self._special_id = specials
@@ -233,6 +233,13 @@ class Codec:
             found = self._special.search(chunk, at)
         return b"".join([*out, self._encode_plain(chunk[at:])])
 
+    def forget(self) -> None:
+        """Empty the caches: a worker that turns to other work keeps its memory low."""
+        for cache in (self._pairs, self._piece, self._chunk):
+            cache.clear()
+            cache.old = {}
+        self._spines.clear()
+
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
@@ -278,6 +285,7 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
                     columns += [pa.array(ids, pa.binary()), pa.array(texts, pa.binary()).cast(pa.string())]
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "decoded"])
                     begin, size, ids, texts = k + 1, 0, [], []
+        coder.forget()
 
     rows = docs.select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
