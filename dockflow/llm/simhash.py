@@ -265,10 +265,14 @@ def near_duplicates(
 
 
 def first_of_each(docs: DataFrame, **search) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: one for each component, that
-    of the smallest doc_id (then the smallest hash of the text), with all columns.
+    """The rows of ``docs`` without near-duplicates, with all columns."""
+    return one_of_each(docs, near_duplicates(docs, **search))
+
+
+def one_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each component of ``rows`` (doc_id, h, component):
+    that of the smallest doc_id, then the smallest hash of the text.
     """
-    rows = near_duplicates(docs, **search)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "h"))
     stay = materialise(rows.groupBy("component").agg(first.alias("first")).select("first.doc_id", "first.h"))
     stay = stay.withColumnsRenamed({"doc_id": "_d", "h": "_h"})
