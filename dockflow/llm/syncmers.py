@@ -3,8 +3,10 @@
 A k-mer of words is an anchor if the smallest hash of its inner substrings lies
 at its first or last place.  Whether it is one depends on its own words only, so
 the same passage has the same anchors in any document, wherever it stands.  A
-fingerprint is the ``SKETCH`` smallest anchor hashes; two of them estimate which
-share of all anchors the documents have in common.  Only SQL functions are used.
+fingerprint is all anchors with their places, about one for two words.  Two of
+them are compared by position: the likeness is the share of all anchors that both
+have at an offset which another shared anchor has too, so a passage counts wherever
+it was moved to and a lone chance match does not.  Only SQL functions are used.
 
 Defined cases: NULL and empty texts have no anchors and an empty fingerprint;
 blank texts too; two fingerprints without anchors are alike (1.0), one without
@@ -24,7 +26,7 @@ from dockflow.llm.common import materialise, words_of
 
 K = 5  # words of a k-mer
 INNER = 2  # words of its inner substrings
-SKETCH = 32
+SKETCH = 32  # the fewest anchors of a long passage that tests expect; no bound
 ROWS_PER_CELL = 500
 
 
@@ -40,6 +42,10 @@ def inner_hashes(words: Column) -> Column:
     return F.transform(at, lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(INNER)]))
 
 
+def whole_text(words: Column) -> Column:
+    return F.xxhash64(F.array_join(words, " "))
+
+
 def anchors(words: Column, inner: Column) -> Column:
     """Hashes of the closed syncmers, NULL at places that have none.
 
@@ -54,32 +60,74 @@ def anchors(words: Column, inner: Column) -> Column:
         return F.when(closed, F.xxhash64(*h))
 
     many = F.transform(F.sequence(F.lit(0), n - K), anchor)
-    short = F.array(F.xxhash64(F.array_join(words, " ")))
+    short = F.array(whole_text(words))
     none = F.array().cast("array<bigint>")
     return F.when(n >= K, many).when(n > 0, short).otherwise(none)
 
 
-def sketch(text: Column) -> Column:
-    """The smallest anchor hashes of a text, in order."""
+def placed(text: Column) -> Column:
+    """All anchors of a text in order: structs of place and hash."""
 
     def of_words(words: Column) -> Column:
-        return once(inner_hashes(words), lambda inner: anchors(words, inner))
+        found = once(inner_hashes(words), lambda inner: anchors(words, inner))
+        found = F.transform(found, lambda h, i: F.struct(i.alias("place"), h.alias("hash")))
+        return F.filter(found, lambda s: s["hash"].isNotNull())
 
-    found = F.array_compact(once(words_of(text), of_words))
-    return F.slice(F.sort_array(F.array_distinct(found)), 1, SKETCH)
+    return once(words_of(text), of_words)
+
+
+def sketch(text: Column) -> Column:
+    """The hashes of all anchors, by place."""
+    return F.transform(placed(text), lambda s: s["hash"])
 
 
 def as_text(fingerprint: Column) -> Column:
-    """16 lowercase hexadecimal digits for each hash."""
-    return F.lower(F.array_join(F.transform(fingerprint, lambda h: F.lpad(F.hex(h), 16, "0")), ""))
+    """For each anchor 8 lowercase hexadecimal digits of the place and 16 of the hash."""
+    one = lambda s: F.concat(F.lpad(F.hex(s["place"]), 8, "0"), F.lpad(F.hex(s["hash"]), 16, "0"))
+    return F.lower(F.array_join(F.transform(fingerprint, one), ""))
+
+
+def offsets(a: Column, b: Column) -> Column:
+    """Place in ``b`` minus place in ``a`` of each shared anchor.  Of an anchor that
+    is there again, the first ones are a pair, then the second ones and so on."""
+
+    def tagged(of: Column, side: int) -> Column:
+        return F.transform(of, lambda s: F.struct(s["hash"].alias("hash"), F.lit(side).alias("side"), s["place"].alias("place")))
+
+    def pairs(s: Column) -> Column:
+        def same(x: Column, i: Column) -> Column:
+            return F.coalesce(F.get(s, i)["hash"] == x["hash"], F.lit(False))
+
+        def where(of) -> Column:
+            return F.array_compact(F.transform(s, lambda x, i: F.when(of(x, i), i)))
+
+        begins = where(lambda x, i: ~same(x, i - 1) & same(x, i + 1))
+        ends = where(lambda x, i: same(x, i - 1) & ~same(x, i + 1))
+
+        def of_run(q: Column) -> Column:
+            n = F.size(F.filter(q, lambda x: x["side"] == 0))
+            return once(n, lambda n: F.transform(F.slice(q, n + 1, F.least(n, F.size(q) - n)), lambda x, k: x["place"] - F.get(q, k)["place"]))
+
+        runs = F.arrays_zip(begins.alias("begin"), ends.alias("end"))
+        return F.flatten(F.transform(runs, lambda r: once(F.slice(s, r["begin"] + 1, r["end"] - r["begin"] + 1), of_run)))
+
+    return once(F.sort_array(F.concat(tagged(a, 0), tagged(b, 1))), pairs)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of common anchors, estimated on the smallest of both (0 to 1)."""
-    both = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    shared = F.size(F.array_intersect(F.array_intersect(a, b), both))
+    """Share of all anchors (0 to 1) that match by position: another shared anchor
+    has the same offset, or one of the texts has a single anchor."""
+    few = F.least(F.size(a), F.size(b)) < 2
+
+    def matched(d: Column) -> Column:
+        again = F.filter(d, lambda x, i: F.coalesce(F.get(d, i - 1) == x, F.lit(False)) | F.coalesce(F.get(d, i + 1) == x, F.lit(False)))
+        return F.when(few, F.size(d)).otherwise(F.size(again))
+
     none = (F.size(a) == 0) & (F.size(b) == 0)
-    return F.when(none, F.lit(1.0)).otherwise(shared / F.greatest(F.size(both), F.lit(1)))
+    apart = ~F.arrays_overlap(a["hash"], b["hash"])  # spares the sort
+    shared = once(F.sort_array(offsets(a, b)), matched)
+    share = once(shared, lambda n: n / F.greatest(F.size(a) + F.size(b) - n, F.lit(1)))
+    return F.when(none, F.lit(1.0)).when(apart, F.lit(0.0)).otherwise(share)
 
 
 def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -127,16 +175,17 @@ def edited(text: Column, following: Column) -> Column:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, text, n_chars, fingerprint, those of the edited text, and likeness."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("sketch", sketch(F.col("text")))
-    rows = with_next(rows, ["text", "sketch"])
-    rows = rows.withColumn("edited", edited(F.col("text"), F.col("next_text"))).drop("next_text")
-    rows = rows.withColumn("edited_sketch", sketch(F.col("edited")))
+    # anchors are found where they are compared: only texts move
+    rows = with_next(rows, ["text"])
+    rows = rows.withColumn("edited", edited(F.col("text"), F.col("next_text")))
+    texts = {"anchors": "text", "edited_anchors": "edited", "next_anchors": "next_text"}
+    rows = rows.withColumns({name: placed(F.col(c)) for name, c in texts.items()})
     return rows.select(
         "doc_id",
         "edited",
         F.length("text").cast("long").alias("n_chars"),
-        as_text(F.col("sketch")).alias("fingerprint"),
-        as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        as_text(F.col("anchors")).alias("fingerprint"),
+        as_text(F.col("edited_anchors")).alias("edited_fingerprint"),
+        likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
+        likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
     )

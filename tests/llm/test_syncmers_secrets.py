@@ -55,6 +55,30 @@ def test_neighbours_over_many_cells(spark, monkeypatch):
     assert got == {a: f"t{b}" for a, b in zip(order, order[1:] + order[:1], strict=True)}
 
 
+def plain_likeness(a, b):
+    """``a``, ``b``: (place, hash) of all anchors."""
+    places = [{h: [p for p, g in x if g == h] for _, h in x} for x in (a, b)]
+    found = [q - p for h in places[0].keys() & places[1].keys() for p, q in zip(places[0][h], places[1][h], strict=False)]
+    n = len(found) if min(len(a), len(b)) < 2 else sum(found.count(d) > 1 for d in found)
+    return n / max(1, len(a) + len(b) - n) if a or b else 1.0
+
+
+def test_likeness_is_that_of_all_anchors_by_position(spark):
+    word = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    passage = word(0, 60)
+    texts = [f"{word(1, 500)} {passage} {word(2, 440)}", f"{word(3, 100)} {passage} {word(4, 840)}", passage, "again and again " * 40, "again and again " * 9, "", None, "one"]
+    texts += [" ".join(texts[0].split()[::-1]), " ".join(texts[0].split()[500:] + texts[0].split()[:500])]
+    pairs = [(a, b) for a in texts for b in texts]
+    rows = spark.createDataFrame(pairs, "a string, b string")
+    rows = rows.select(*[syncmers.placed(F.col(c)).alias(c) for c in "ab"])
+    rows = rows.select("a", "b", syncmers.likeness(F.col("a"), F.col("b")).alias("n")).collect()
+    assert [r["n"] for r in rows] == [plain_likeness(r["a"], r["b"]) for r in rows]
+    by_pair = {p: r for p, r in zip(pairs, rows, strict=True)}
+    assert all(by_pair[t, t]["n"] == 1.0 for t in texts)
+    # no sample: a fingerprint grows with its text, and a passage of 60 in 1000 words is seen
+    assert len(by_pair[texts[0], texts[1]]["a"]) > 300 and 0.02 < by_pair[texts[0], texts[1]]["n"] < 0.04
+
+
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 
 
