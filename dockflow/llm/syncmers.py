@@ -10,8 +10,9 @@ it was moved to and a lone chance match does not.  Only SQL functions are used.
 
 Defined cases: NULL and empty texts have no anchors and an empty fingerprint;
 blank texts too; two fingerprints without anchors are alike (1.0), one without
-and one with are not (0.0); a text of fewer words than a k-mer has one anchor,
-all its words; equal texts have equal fingerprints.  Rows with equal ids follow
+and one with are not (0.0); a text with words but no closed syncmer (always one of
+fewer words than a k-mer) has one anchor, all its words, so an empty fingerprint
+means no words; equal texts have equal fingerprints.  Rows with equal ids follow
 each other in the order of their texts, rows with a NULL id come first; a single
 document is its own next one.  Only doc_id and text are read; empty tables give
 empty results.
@@ -71,7 +72,9 @@ def placed(text: Column) -> Column:
     def of_words(words: Column) -> Column:
         found = once(inner_hashes(words), lambda inner: anchors(words, inner))
         found = F.transform(found, lambda h, i: F.struct(i.alias("place"), h.alias("hash")))
-        return F.filter(found, lambda s: s["hash"].isNotNull())
+        whole = F.array(F.struct(F.lit(0).alias("place"), whole_text(words).alias("hash")))
+        found = F.filter(found, lambda s: s["hash"].isNotNull())
+        return once(found, lambda a: F.when((F.size(a) == 0) & (F.size(words) > 0), whole).otherwise(a))
 
     return once(words_of(text), of_words)
 

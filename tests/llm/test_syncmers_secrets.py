@@ -55,6 +55,11 @@ def test_neighbours_over_many_cells(spark, monkeypatch):
     assert got == {a: f"t{b}" for a, b in zip(order, order[1:] + order[:1], strict=True)}
 
 
+def pairwise(spark, pairs):
+    rows = spark.createDataFrame(pairs, "a string, b string")
+    return [r[0] for r in rows.select(syncmers.likeness(syncmers.placed(F.col("a")), syncmers.placed(F.col("b")))).collect()]
+
+
 def plain_likeness(a, b):
     """``a``, ``b``: (place, hash) of all anchors."""
     places = [{h: [p for p, g in x if g == h] for _, h in x} for x in (a, b)]
@@ -79,6 +84,14 @@ def test_likeness_is_that_of_all_anchors_by_position(spark):
     assert len(by_pair[texts[0], texts[1]]["a"]) > 300 and 0.02 < by_pair[texts[0], texts[1]]["n"] < 0.04
 
 
+def test_texts_of_a_few_words_have_an_anchor(spark):
+    texts = [" ".join(f"v{k}y{i}" for i in range(n)) for n in (1, 4, 5, 6) for k in range(30)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(F.size(syncmers.placed(F.col("t"))).alias("n"))
+    assert min(r["n"] for r in rows.collect()) >= 1
+    assert set(pairwise(spark, list(zip(texts, texts[1:], strict=False)))) == {0.0}
+    assert set(pairwise(spark, [*zip(texts, texts, strict=True), ("", " ")])) == {1.0}
+
+
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 
 
