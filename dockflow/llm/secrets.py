@@ -98,6 +98,9 @@ WORDS = reduce(Pattern.__or__, (lit(w, any_case=True) for w in ("password", "pas
 KEY = lit("api", any_case=True) + maybe(lit("_")) + lit("key", any_case=True)
 QUOTE = chars("[\"']?")
 
+#: All up to the END line; nothing if there is none before the next key begins.
+KEY_BODY = chars("(?:(?:[^-]|-(?!----(?:BEGIN |END [A-Z ]{0,40}PRIVATE KEY-----)))*+-----END [A-Z ]{0,40}PRIVATE KEY-----)?")
+
 #: The kinds in the order that breaks ties of a start; the first three are the base.
 #: Runs that are too short can't hold a longer match, so the lengths of ``access``
 #: and ``hex`` stand in their patterns.
@@ -105,7 +108,7 @@ RULES = (
     Rule("assign", group(WORDS | KEY) + QUOTE + chars(r"\x20*[:=]\x20*") + QUOTE + chars("([A-Za-z0-9+/_.=-]+)"), 2, 8),
     Rule("access", lit("AKIA") + chars("[A-Z0-9]{12,}")),
     Rule("hex", chars("[0-9a-f]{32,}")),
-    Rule("private", lit("-----BEGIN ") + chars("[A-Z ]{0,40}") + lit("PRIVATE KEY-----")),
+    Rule("private", lit("-----BEGIN ") + chars("[A-Z ]{0,40}") + lit("PRIVATE KEY-----") + KEY_BODY),
     Rule("github", group(lit("ghp_") | lit("gho_") | lit("ghs_") | lit("ghr_") | lit("ghu_"), kept=False) + chars("[A-Za-z0-9]{36,}")),
     Rule("slack", lit("xox") + chars("[abprs]-[A-Za-z0-9-]{10,}")),
     Rule("jwt", lit("eyJ") + chars(r"[A-Za-z0-9_-]{8,}\.") + lit("eyJ") + chars(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+")),

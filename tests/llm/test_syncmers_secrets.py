@@ -145,6 +145,16 @@ def test_masks(spark):
     assert {r["doc_id"]: r["text"] for r in got.collect()} == {1: "x [SECRET] y [SECRET] z", 2: None, 3: "[SECRET]", 4: "clean"}
 
 
+def test_private_keys_are_masked_whole(spark):
+    key = lambda k: f"-----BEGIN {k}PRIVATE KEY-----\nMIIEabc+/=\n{'Qx7/' * 2000}\n-----END {k}PRIVATE KEY-----"
+    head = "-----BEGIN PRIVATE KEY-----"
+    long = "-word" * 60_000  # no END line, and no stack that grows with the text
+    texts = [f"a {key('RSA ')} b {key('')} c", f"{head}{long}", f"{head} x {key('EC ')} y"]
+    docs = cases.frame(spark, [(i, t, *[None] * 8) for i, t in enumerate(texts)])
+    got = {r["doc_id"]: r["text"] for r in secrets.masked(docs).collect()}
+    assert got == {0: "a [SECRET] b [SECRET] c", 1: f"[SECRET]{long}", 2: "[SECRET] x [SECRET] y"}
+
+
 def test_empty_tables(spark):
     assert secrets.scan(cases.nothing(spark)).count() == 0
     assert syncmers.fingerprints(cases.nothing(spark)).count() == 0
