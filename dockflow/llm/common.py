@@ -30,7 +30,19 @@ def materialise(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    rows = spark.read.schema(df.schema).parquet(path)
+    rows._folder = path
+    return rows
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove the folders of frames from ``materialise`` that nothing reads any more;
+    other frames stay as they are."""
+    for df in frames:
+        if folder := vars(df).get("_folder"):
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def words_of(text: Column) -> Column:

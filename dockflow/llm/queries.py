@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from dockflow.llm import bpe, classifier, packing, quality, repeats, reputation, secrets, sharding, simhash, syncmers
+from dockflow.llm import bpe, classifier, packing, quality, repeats, reputation, secrets, sharding, simhash, substrings, syncmers
 from dockflow.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -118,6 +118,13 @@ def op10_secrets(spark, sf):
     )
 
 
+def op11_substrings(spark, sf):
+    rows = substrings.without_repeats(table(spark, sf, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    digest = F.sha2(F.col("kept").cast("binary"), 256)
+    return rows.select("doc_id", "n_words", removed.alias("n_removed"), digest.alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
@@ -129,6 +136,7 @@ QUERIES = {
     "op8_repeats": op8_repeats,
     "op9_syncmers": op9_syncmers,
     "op10_secrets": op10_secrets,
+    "op11_substrings": op11_substrings,
 }
 
 #: The words of a text, the measures and the certified cutoffs in DuckDB's dialect.
@@ -174,4 +182,20 @@ failed AS (SELECT v.id, string_agg(v.rule, ',' ORDER BY list_position({list(qual
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND f.rules IS NULL AS kept, coalesce(f.rules, '') AS failed_rules
 FROM measured m LEFT JOIN failed f ON m.id = f.id""",
+    "op11_substrings": rf"""
+WITH split AS (
+  SELECT row_number() OVER () AS id, doc_id,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+starts AS (
+  SELECT id, doc_id, i, list_slice(words, i, i + {substrings.WINDOW - 1}) AS window_words
+  FROM (SELECT *, unnest(range(1, len(words) - {substrings.WINDOW - 2})) AS i FROM split WHERE len(words) >= {substrings.WINDOW})),
+least AS (SELECT window_words, min(doc_id) AS low FROM starts GROUP BY window_words),
+gone AS (SELECT DISTINCT id, i + k AS i FROM starts s JOIN least l ON s.window_words = l.window_words,
+         (SELECT unnest(range({substrings.WINDOW})) AS k) WHERE low < doc_id OR (doc_id IS NULL AND low IS NOT NULL)),
+kept AS (
+  SELECT s.id, count(g.i) AS n, string_agg(CASE WHEN g.i IS NULL THEN word END, ' ' ORDER BY s.i) AS text
+  FROM (SELECT id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM split) s
+  LEFT JOIN gone g ON s.id = g.id AND s.i = g.i GROUP BY s.id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM split LEFT JOIN kept ON split.id = kept.id""",
 }
