@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from dockflow.llm import bpe, classifier, packing, quality, repeats, reputation, secrets, sharding, simhash, substrings, syncmers
+from dockflow.llm import bpe, classifier, conversations, packing, quality, repeats, reputation, secrets, sharding, simhash, substrings, syncmers, vectorcodes
 from dockflow.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -125,6 +125,16 @@ def op11_substrings(spark, sf):
     return rows.select("doc_id", "n_words", removed.alias("n_removed"), digest.alias("kept_sha256"))
 
 
+def op12_vectorcodes(spark, sf):
+    rows, books = vectorcodes.compress(table(spark, sf, "embeddings"))
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return rows.select("vec_id", code.alias("code"), "error", "label_error", F.lit(vectorcodes.digest(books)).alias("codebooks_sha256"))
+
+
+def op13_conversations(spark, sf):
+    return conversations.prefix_trie(table(spark, sf, "conversations"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
@@ -137,6 +147,8 @@ QUERIES = {
     "op9_syncmers": op9_syncmers,
     "op10_secrets": op10_secrets,
     "op11_substrings": op11_substrings,
+    "op12_vectorcodes": op12_vectorcodes,
+    "op13_conversations": op13_conversations,
 }
 
 #: The words of a text, the measures and the certified cutoffs in DuckDB's dialect.
@@ -147,7 +159,40 @@ VALUES_SQL = " UNION ALL ".join(
     f"SELECT id, stratum, '{name}' AS rule, ({value.replace(' / ', ' / CAST(')} AS DOUBLE)) AS value FROM measured WHERE NOT base_failed"
     for name, (value, _) in quality.RULES.items()
 )
+def codes_sql(parts=vectorcodes.PARTS, entries=vectorcodes.ENTRIES, rounds=vectorcodes.ROUNDS, scale=vectorcodes.SCALE):
+    """Rounds of nearest entry and mean; sorts by distance and entry."""
+    square = "list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(v, c)])"
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(
+            f"a{k} AS (SELECT id, p, any_value(v) AS v, min(({square}) * {entries} + entry)::BIGINT AS best"
+            f" FROM parts JOIN b{k} USING (p) GROUP BY id, p)"
+        )
+        if k < rounds:
+            steps.append(
+                f"m{k} AS (SELECT p, best % {entries} AS entry, i, floor(sum(v[i]) / count(*))::BIGINT AS x"
+                f" FROM (SELECT p, best, v, unnest(range(1, len(v) + 1)) AS i FROM a{k}) GROUP BY ALL)"
+            )
+            steps.append(
+                f"b{k + 1} AS (SELECT b.p, b.entry, coalesce(m.c, b.c) AS c FROM b{k} b LEFT JOIN"
+                f" (SELECT p, entry, list(x ORDER BY i) AS c FROM m{k} GROUP BY ALL) m ON b.p = m.p AND b.entry = m.entry)"
+            )
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS id, vec_id, label, [floor({scale} * x::DOUBLE)::BIGINT for x in embedding] AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+parts AS (SELECT id, p, w[1 + p * len(w) // {parts} : (p + 1) * len(w) // {parts}] AS v FROM (SELECT *, unnest(range({parts})) AS p FROM kept)),
+b0 AS (SELECT p, id - 1 AS entry, v AS c FROM parts WHERE id <= {entries}),
+{", ".join(steps)},
+books AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, entry, i)) AS digest
+          FROM (SELECT p, entry, unnest(c) AS x, unnest(range(len(c))) AS i FROM b{rounds})),
+coded AS (SELECT id, string_agg(lpad(printf('%x', best % {entries}), 2, '0'), '' ORDER BY p) AS code, sum(best // {entries})::BIGINT AS error FROM a{rounds} GROUP BY id)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, digest AS codebooks_sha256
+FROM kept JOIN coded USING (id), books"""
+
+
 SQL: dict[str, str] = {
+    "op12_vectorcodes": codes_sql(),
     "op2_quality": rf"""
 WITH numbered AS (SELECT row_number() OVER () AS id, doc_id, lang AS stratum, coalesce(text, '') AS text FROM documents),
 split AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
@@ -198,4 +243,35 @@ kept AS (
   LEFT JOIN gone g ON s.id = g.id AND s.i = g.i GROUP BY s.id)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM split LEFT JOIN kept ON split.id = kept.id""",
+    "op13_conversations": rf"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+           md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (SELECT conv_id, count(*) AS n FROM turns GROUP BY conv_id),
+convs AS (
+  SELECT c.conv_id, c.h, c.donor, least(c.h, coalesce(g.n, 0)) AS m FROM (
+    SELECT conv_id, conv_id - conv_id % {conversations.SPREAD} AS donor,
+           xor(list_reduce(list_concat([4294967295], [ascii(x)::BIGINT for x in string_split(conv_id::VARCHAR, '')]),
+             lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+               lambda a, z: xor(a >> 1, (a & 1) * 3988292384))), 4294967295) % {conversations.BORROW} AS h
+    FROM sizes) c LEFT JOIN sizes g ON g.conv_id = c.donor),
+rebuilt AS (
+  SELECT c.conv_id, i AS d, role, text FROM convs c JOIN turns t ON t.conv_id = c.donor WHERE i <= h
+  UNION ALL SELECT c.conv_id, m + i - h, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id WHERE i > h),
+keyed AS (SELECT conv_id, d, strlen(text) AS bytes,
+            string_agg(md5(strlen(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY d) AS path FROM rebuilt),
+members AS (
+  SELECT conv_id, d, bytes, path, coalesce(lag(path) OVER (PARTITION BY conv_id ORDER BY d), '') AS above FROM keyed
+  UNION ALL SELECT conv_id, 0, 0, '', NULL FROM sizes),
+nodes AS (SELECT path, min(above) AS above, min(conv_id) AS conv_id, min(d) AS depth, count(*) AS n_convs, (count(*) - 1) * min(bytes) AS saved FROM members GROUP BY path),
+grown AS (SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN (SELECT above, count(*) AS n FROM nodes GROUP BY above) c ON n.path = c.above),
+below AS (SELECT m.path, sum(g.saved) AS saved_tokens, count(*) FILTER (g.n_children = 0) AS n_leaves
+          FROM grown g JOIN members m ON m.conv_id = g.conv_id AND m.d <= g.depth GROUP BY m.path),
+ends AS (SELECT path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+         FROM (SELECT conv_id, arg_max(path, d) AS path FROM members GROUP BY conv_id) GROUP BY path)
+SELECT g.conv_id, g.depth, p.conv_id AS parent_conv_id, g.n_convs, g.n_children, b.n_leaves, b.saved_tokens::BIGINT AS saved_tokens,
+       sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM grown g JOIN below b ON g.path = b.path LEFT JOIN nodes p ON g.above = p.path LEFT JOIN ends e ON g.path = e.path""",
 }
