@@ -35,7 +35,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dockflow.llm.common import discard, materialise
-from dockflow.llm.repeats import changes
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 LIMIT = 1 << 17  # of a component, so that whole numbers stay under 2**27
@@ -139,6 +138,14 @@ def nearest(leaves: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return index, distance
 
 
+def leaves_of(raw: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different parts in lexicographic order, and the place of each given one."""
+    if not width:
+        return np.zeros((1, 0), np.int64), np.zeros(len(raw), np.int64)
+    leaves, back = np.unique(np.frombuffer(b"".join(raw), f"V{4 * width}"), return_inverse=True)
+    return unpacked(list(map(bytes, leaves)), width), back
+
+
 def sums_of(parts: DataFrame, books: list[np.ndarray]) -> DataFrame:
     """position, entry, n, sums of the components of the parts nearest to it."""
     widths = [b.shape[1] for b in books]
@@ -152,9 +159,9 @@ def sums_of(parts: DataFrame, books: list[np.ndarray]) -> DataFrame:
             raw, n = batch.column(1).to_pylist(), batch.column(2).to_numpy()
             for p in np.unique(position):
                 at = np.flatnonzero(position == p)
-                v = unpacked(raw[at[0] : at[-1] + 1], widths[p])
-                new = np.flatnonzero(changes(*v.T)) if widths[p] else np.zeros(1, np.int64)
-                v, weight = v[new], np.add.reduceat(n[at], new)
+                v, back = leaves_of([raw[k] for k in at.tolist()], widths[p])  # files may follow each other in any order
+                weight = np.zeros(len(v), np.int64)
+                np.add.at(weight, back, n[at])
                 index, _ = nearest(v, books[p])
                 np.add.at(total[p], (index, 0), weight)
                 np.add.at(total[p][:, 1 : widths[p] + 1], index, v * weight[:, None])
@@ -190,13 +197,13 @@ def encode(kept: DataFrame, dims: int, books: list[np.ndarray]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = np.frombuffer(b"".join(batch.column(2).to_pylist()), ">u4").reshape(batch.num_rows, dims)
+            raw = batch.column(2).to_pylist()
             codes, error = np.zeros((len(raw), len(books)), np.int32), np.zeros(len(raw), np.int64)
             for p, (a, b) in enumerate(places):
-                if a == b or not len(raw):
+                if not raw:
                     continue
-                leaves, back = np.unique(np.ascontiguousarray(raw[:, a:b]).view(f"V{4 * (b - a)}").ravel(), return_inverse=True)
-                index, distance = nearest(unpacked(list(map(bytes, leaves)), b - a), books[p])
+                leaves, back = leaves_of([r[4 * a : 4 * b] for r in raw], b - a)
+                index, distance = nearest(leaves, books[p])
                 codes[:, p] = index[back]
                 error += distance[back]
             lists = pa.FixedSizeListArray.from_arrays(pa.array(codes.ravel()), len(books)).cast(pa.list_(pa.int32()))
