@@ -42,11 +42,12 @@ from dockflow.llm.repeats import LAST_ID, changes, hashes_of, lists
 
 WINDOW = 13
 START = 4  # words of the first level
-BLOCK = 1 << 21  # windows compared inside a task
-BUCKETS_PER_PARTITION = 4
+BLOCK = 1 << 20  # windows compared inside a task
+TOGETHER = 1 << 18  # words whose candidates are looked up together
+BUCKETS_PER_PARTITION = 2
 SALTS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
-Pieces = Iterator[tuple[int, int, np.ndarray]]  # text key, document, hashes of neighbouring words
+Pieces = Iterator[tuple[int, int, list[np.ndarray]]]  # text key, document, hashes of stretches of words
 
 
 def lengths(window: int, start: int = START) -> list[int]:
@@ -90,7 +91,7 @@ def texts(batches: Iterator[pa.RecordBatch]) -> Pieces:
     """Whole texts (columns key, doc, text) as pieces."""
     for batch in batches:
         for key, doc, text in zip(*[c.to_pylist() for c in batch.columns[:3]], strict=True):
-            yield key, doc, word_hashes(text)
+            yield key, doc, [word_hashes(text)]
 
 
 STRETCHES = "key long, doc long, words array<long>, sizes array<int>"
@@ -102,17 +103,16 @@ def stretches(batches: Iterator[pa.RecordBatch]) -> Pieces:
         for k, (key, doc) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
             words = batch.column(2)[k].values.to_numpy().view(np.uint64)
             cuts = np.cumsum(batch.column(3)[k].values.to_numpy())[:-1]
-            for piece in np.split(words, cuts):
-                yield key, doc, piece
+            yield key, doc, np.split(words, cuts)
 
 
 def blocks(pieces: Pieces) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
     keys, docs, held, size = [], [], [], 0
-    for key, doc, words in pieces:
-        keys.append(key)
-        docs.append(doc)
-        held.append(words)
-        size += len(words)
+    for key, doc, several in pieces:
+        keys += [key] * len(several)
+        docs += [doc] * len(several)
+        held += several
+        size += sum(map(len, several))
         if size >= BLOCK:
             yield np.array(keys, np.int64), np.array(docs, np.int64), held
             keys, docs, held, size = [], [], [], 0
@@ -120,6 +120,10 @@ def blocks(pieces: Pieces) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.nda
         yield np.array(keys, np.int64), np.array(docs, np.int64), held
 
 
+def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    return (h % np.uint64(buckets)).astype(np.int64)
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
@@ -136,30 +140,35 @@ ASK_NAMES = ["bucket", "key", "h", "told"]
 
 def asker(read: Callable, length: int, buckets: int):
     """Which windows the texts have, by bucket.  Windows that several texts of a
-    block have are told once; these texts' replies go out at once, as bucket -1 - key."""
+    block have are told once; these texts' replies go out at once, as bucket
+    -1 - target."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, _, pieces in blocks(read(batches)):
             h, of = windows(pieces, length)
             if not len(h):
                 continue
+            key = keys[of]
             order = np.argsort(h)
-            h, key = h[order], keys[of[order]]
-            new = changes(h)
+            new = changes(h[order])
             begin = np.flatnonzero(new)
-            several = np.maximum.reduceat(key, begin) != np.minimum.reduceat(key, begin)
-            bucket = (h[begin] % np.uint64(buckets)).astype(np.int64)
-            yield rows_of(bucket, ASK_NAMES, key[begin], signed(h[begin]), several)
-            settled = several[np.cumsum(new) - 1]
-            if settled.any():
-                place = (key[settled].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-                yield rows_of(-1 - place, ASK_NAMES, key[settled], signed(h[settled]), np.zeros(int(settled.sum())))
+            sorted_key = key[order]
+            several = np.maximum.reduceat(sorted_key, begin) != np.minimum.reduceat(sorted_key, begin)
+            first, told = order[begin], several
+            settled = order[several[np.cumsum(new) - 1]]
+            back = np.argsort(first)  # by text, which packs well
+            first, told = first[back], told[back]
+            yield rows_of(bucket_of(h[first], buckets), ASK_NAMES, key[first], signed(h[first]), told)
+            if len(settled):
+                settled = np.sort(settled)
+                target = bucket_of(key[settled].view(np.uint64), buckets)
+                yield rows_of(-1 - target, ASK_NAMES, key[settled], signed(h[settled]), np.zeros(len(settled)))
 
     return run
 
 
-REPLY = "key long, h array<long>"
-REPLY_NAMES = ["key", "h"]
+REPLY = "target long, key array<long>, h array<long>"
+REPLY_NAMES = ["target", "key", "h"]
 
 
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -176,55 +185,83 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.nda
         yield current, [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text, its windows that another text has too."""
-    for bucket, (key, h, told) in groups(batches):
-        if bucket >= 0:
-            order = np.argsort(h)
-            key, h, told = key[order], h[order], told[order]
-            new = changes(h)
-            begin = np.flatnonzero(new)
-            several = np.maximum.reduceat(key, begin) != np.minimum.reduceat(key, begin)
-            several |= np.maximum.reduceat(told, begin) > 0
-            open_ = several[np.cumsum(new) - 1] & (told == 0)
-            key, h = key[open_], h[open_]
-        if len(key):
-            yield rows_of(key, REPLY_NAMES, h)
+def answers(buckets: int):
+    """The windows of texts that another text has too, by target of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, (key, h, told) in groups(batches):
+            if bucket >= 0:
+                order = np.argsort(h)
+                key, h, told = key[order], h[order], told[order]
+                new = changes(h)
+                begin = np.flatnonzero(new)
+                several = np.maximum.reduceat(key, begin) != np.minimum.reduceat(key, begin)
+                several |= np.maximum.reduceat(told, begin) > 0
+                open_ = several[np.cumsum(new) - 1] & (told == 0)
+                key, h = key[open_], h[open_]
+            if len(key):
+                yield rows_of(bucket_of(key.view(np.uint64), buckets), REPLY_NAMES, key, h)
+
+    return run
+
 
+def by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per text with all its windows, from replies that come by target."""
+    for _, (key, h) in groups(batches):
+        yield rows_of(key, ["key", "h"], h)
 
-def candidates(pieces: list[np.ndarray], repeated: np.ndarray, length: int, longer: int) -> list[np.ndarray]:
+
+def candidates(pieces: list[np.ndarray], of: np.ndarray, repeated: list[np.ndarray], length: int, longer: int):
     """The stretches whose windows of ``longer`` words may be repeated: at both
-    their ends those of ``length`` words are."""
-    found = []
-    for words in pieces:
-        known = np.isin(doubled(words, length), repeated)
-        n = len(words) - longer + 1
-        if n <= 0:
-            continue
-        at = np.flatnonzero(known[:n] & known[longer - length :])
-        for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else ():
-            found.append(words[run[0] : run[-1] + longer])
-    return found
+    their ends those of ``length`` words are.  ``of``: the text of each piece,
+    ``repeated``: the windows of each text.  Gives the words of the stretches one
+    after another, their sizes and texts."""
+    words = np.concatenate(pieces)
+    piece = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
+    n = len(words) - longer + 1
+    if n <= 0:
+        return words[:0], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    salt = lambda texts: (texts + 1).astype(np.uint64) * np.uint64(SALTS[1])  # noqa: E731  so that all texts are looked up at once
+    wanted = np.sort(np.concatenate(repeated) ^ salt(np.repeat(np.arange(len(repeated)), [len(r) for r in repeated])))
+    h = doubled(words, length) ^ salt(of[piece[: len(words) - length + 1]])
+    known = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
+    good = known[:n] & known[longer - length : longer - length + n] & (piece[:n] == piece[longer - 1 :])
+    edge = np.diff(np.concatenate([[0], good.astype(np.int8), [0]]))
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + longer - 1
+    sizes = end - begin
+    at = np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+    return words[at], sizes, of[piece[begin]]
 
 
 def narrower(read: Callable, length: int, longer: int):
     """Candidates of the next level; rows have the repeated windows in the last column."""
 
+    def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        pieces = [p for _, _, ps, _ in rows for p in ps]
+        of = np.repeat(np.arange(len(rows)), [len(ps) for _, _, ps, _ in rows])
+        words, sizes, texts_ = candidates(pieces, of, [r for *_, r in rows], length, longer)
+        if not len(sizes):
+            return
+        first = np.flatnonzero(changes(texts_))
+        cut = np.append(first, len(sizes))
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        row = texts_[first]
+        columns = [pa.array(np.array([rows[r][c] for r in row.tolist()], np.int64)) for c in (0, 1)]
+        columns.append(pa.ListArray.from_arrays(pa.array(ends[cut], pa.int32()), pa.array(signed(words))))
+        columns.append(pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(sizes, pa.int32())))
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "doc", "words", "sizes"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            repeated = {key: h.values.to_numpy().view(np.uint64) for key, h in zip(batch.column(0).to_pylist(), batch.columns[-1], strict=True)}
-            by_key: dict[int, tuple[int, list]] = {}
-            for key, doc, words in read(iter([batch])):
-                by_key.setdefault(key, (doc, []))[1].append(words)
-            out = []
-            for key, (doc, pieces) in by_key.items():
-                found = candidates(pieces, repeated[key], length, longer)
-                if found:
-                    out.append((key, doc, signed(np.concatenate(found)), [len(x) for x in found]))
-            if out:
-                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "doc", "words", "sizes"])
+            rows, size = [], 0
+            for (key, doc, pieces), repeated in zip(read(iter([batch])), batch.columns[-1], strict=True):
+                rows.append((key, doc, pieces, repeated.values.to_numpy().view(np.uint64)))
+                size += sum(map(len, pieces))
+                if size >= TOGETHER:
+                    yield from flush(rows)
+                    rows, size = [], 0
+            if rows:
+                yield from flush(rows)
 
     return run
 
@@ -253,29 +290,36 @@ def claimer(read: Callable, length: int, buckets: int):
             other, _ = windows(pieces, length, 1)
             gone, columns = later(signed(h), signed(other), docs[of], keys[of])
             once = changes(*columns)
-            h, key = columns[0].view(np.uint64), columns[3].view(np.uint64)
-            place = np.where(gone, key % np.uint64(buckets), h % np.uint64(buckets)).astype(np.int64)
-            yield rows_of(np.where(gone, -1 - place, place)[once], CLAIM_NAMES, *[c[once] for c in columns])
+            place = np.where(gone, -1 - bucket_of(columns[3].view(np.uint64), buckets), bucket_of(columns[0].view(np.uint64), buckets))
+            yield rows_of(place[once], CLAIM_NAMES, *[c[once] for c in columns])
 
     return run
 
 
-def losers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text, the windows that a smaller document has."""
-    for bucket, columns in groups(batches):
-        if bucket >= 0:
-            gone, columns = later(*columns)
-            columns = [c[gone] for c in columns]
-        if len(columns[0]):
-            yield rows_of(columns[3], REPLY_NAMES, columns[0])
+def losers(buckets: int):
+    """The windows of texts that a smaller document has, by target of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, columns in groups(batches):
+            if bucket >= 0:
+                gone, columns = later(*columns)
+                columns = [c[gone] for c in columns]
+            h, _, _, key = columns
+            if len(key):
+                yield rows_of(bucket_of(key.view(np.uint64), buckets), REPLY_NAMES, key, h)
+
+    return run
 
 
-def by_bucket(rows: DataFrame) -> DataFrame:
-    return rows.repartition("bucket").sortWithinPartitions("bucket")
+def grouped(rows: DataFrame) -> DataFrame:
+    """Rows dealt by their first column and in its order."""
+    first = rows.columns[0]
+    return rows.repartition(first).sortWithinPartitions(first)
 
 
-def by_key(replies: DataFrame) -> DataFrame:
-    return replies.groupBy("key").agg(F.flatten(F.collect_list("h")).alias("h"))
+def per_text(replies: DataFrame) -> DataFrame:
+    """key, h: one row per text."""
+    return grouped(replies).mapInArrow(by_text, "key long, h array<long>")
 
 
 def gone_windows(docs: DataFrame, window: int = WINDOW, start: int = START) -> DataFrame:
@@ -288,19 +332,20 @@ def gone_windows(docs: DataFrame, window: int = WINDOW, start: int = START) -> D
     levels = lengths(window, start)
     source, read = rows.select(F.col("h1").alias("key"), "doc", "text"), texts
     for length, longer in zip(levels, levels[1:], strict=False):
-        replies = materialise(by_bucket(source.mapInArrow(asker(read, length, parts), ASK)).mapInArrow(answers, REPLY))
+        asked = grouped(source.mapInArrow(asker(read, length, parts), ASK))
+        replies = materialise(asked.mapInArrow(answers(parts), REPLY))
         if read is texts:  # of a group of copies, only the first document stays
-            known = firsts.join(by_key(replies).withColumnRenamed("key", "h1"), "h1")
+            known = firsts.join(per_text(replies).withColumnRenamed("key", "h1"), "h1")
             left = rows.join(known, ["h1", "h2"]).where("doc = first").select(F.col("h1").alias("key"), "doc", "text", "h")
         else:
-            left = source.join(by_key(replies), "key")
+            left = source.join(per_text(replies), "key")
         before, source, read = source, materialise(left.mapInArrow(narrower(read, length, longer), STRETCHES)), stretches
         discard(replies, before)
     if read is texts:
         source = rows.join(firsts, ["h1", "h2"]).where("doc = first").select(F.col("h1").alias("key"), "doc", "text")
-    claims = by_bucket(source.mapInArrow(claimer(read, window, parts), CLAIM))
-    lost = materialise(claims.mapInArrow(losers, REPLY))
-    found = firsts.join(by_key(lost).select(F.col("key").alias("h1"), F.col("h").alias("gone")), "h1", "left")
+    claims = grouped(source.mapInArrow(claimer(read, window, parts), CLAIM))
+    lost = materialise(claims.mapInArrow(losers(parts), REPLY))
+    found = firsts.join(per_text(lost).select(F.col("key").alias("h1"), F.col("h").alias("gone")), "h1", "left")
     found = materialise(found.where("n > 1 OR gone IS NOT NULL").select("h1", "h2", "first", "gone"))
     discard(lost, source, firsts)
     return found
