@@ -31,7 +31,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dockflow.llm.bpe import Recent
 
 ROWS = 1 << 13
 WIDTH = 48
@@ -46,6 +45,24 @@ SLICE = 1 << 20
 PARTS = regex.compile(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+")
 
 
+
+class Recent(dict):
+    """A cache in two halves: when the young one is full, the old one goes."""
+
+    def __init__(self, make, size: int):
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
 def rows_of(word: str) -> tuple[int, ...]:
     """Table rows of a word's parts: letters without case, digits as one sign,
     other signs by kind and number, and a sign for capitals throughout."""

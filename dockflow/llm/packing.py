@@ -46,8 +46,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
         coder = codec(tokenizer)
         for batch in batches:
             row, piece, length, crc = [], [], [], []
-            for k, text in enumerate(batch.column(1)):
-                ids = coder.encode(text.as_py()) + closing
+            for k, found in enumerate(coder.encode_all(batch.column(1).to_pylist())):
+                ids = found + closing
                 for p, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     row.append(k)
@@ -58,7 +58,6 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
             columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(number)]
             columns += [pa.array(number.astype(np.int64) * capacity), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
-        coder.forget()
 
     rows = docs.select("doc_id", "text")
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {PIECE}")
