@@ -44,7 +44,6 @@ WINDOW = 13
 START = 4  # words of the first level
 BLOCK = 1 << 20  # windows compared inside a task
 TOGETHER = 1 << 18  # words whose candidates are looked up together
-BUCKETS_PER_PARTITION = 2
 SALTS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 Pieces = Iterator[tuple[int, int, list[np.ndarray]]]  # text key, document, hashes of stretches of words
@@ -138,7 +137,7 @@ ASK = "bucket long, key array<long>, h array<long>, told array<long>"
 ASK_NAMES = ["bucket", "key", "h", "told"]
 
 
-def asker(read: Callable, length: int, buckets: int):
+def asker(read: Callable, length: int, buckets: int, targets: int):
     """Which windows the texts have, by bucket.  Windows that several texts of a
     block have are told once; these texts' replies go out at once, as bucket
     -1 - target."""
@@ -161,7 +160,7 @@ def asker(read: Callable, length: int, buckets: int):
             yield rows_of(bucket_of(h[first], buckets), ASK_NAMES, key[first], signed(h[first]), told)
             if len(settled):
                 settled = np.sort(settled)
-                target = bucket_of(key[settled].view(np.uint64), buckets)
+                target = bucket_of(key[settled].view(np.uint64), targets)
                 yield rows_of(-1 - target, ASK_NAMES, key[settled], signed(h[settled]), np.zeros(len(settled)))
 
     return run
@@ -185,7 +184,7 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.nda
         yield current, [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-def answers(buckets: int):
+def answers(targets: int):
     """The windows of texts that another text has too, by target of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +199,7 @@ def answers(buckets: int):
                 open_ = several[np.cumsum(new) - 1] & (told == 0)
                 key, h = key[open_], h[open_]
             if len(key):
-                yield rows_of(bucket_of(key.view(np.uint64), buckets), REPLY_NAMES, key, h)
+                yield rows_of(bucket_of(key.view(np.uint64), targets), REPLY_NAMES, key, h)
 
     return run
 
@@ -278,7 +277,7 @@ def later(h, other, doc, key) -> tuple[np.ndarray, list[np.ndarray]]:
     return doc > doc[new][np.cumsum(new) - 1], [h, other, doc, key]
 
 
-def claimer(read: Callable, length: int, buckets: int):
+def claimer(read: Callable, length: int, buckets: int, targets: int):
     """The windows of the last length with their documents, by bucket; of a block
     only the smallest document's.  The others' go out at once, as bucket -1 - place."""
 
@@ -290,13 +289,13 @@ def claimer(read: Callable, length: int, buckets: int):
             other, _ = windows(pieces, length, 1)
             gone, columns = later(signed(h), signed(other), docs[of], keys[of])
             once = changes(*columns)
-            place = np.where(gone, -1 - bucket_of(columns[3].view(np.uint64), buckets), bucket_of(columns[0].view(np.uint64), buckets))
+            place = np.where(gone, -1 - bucket_of(columns[3].view(np.uint64), targets), bucket_of(columns[0].view(np.uint64), buckets))
             yield rows_of(place[once], CLAIM_NAMES, *[c[once] for c in columns])
 
     return run
 
 
-def losers(buckets: int):
+def losers(targets: int):
     """The windows of texts that a smaller document has, by target of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +305,7 @@ def losers(buckets: int):
                 columns = [c[gone] for c in columns]
             h, _, _, key = columns
             if len(key):
-                yield rows_of(bucket_of(key.view(np.uint64), buckets), REPLY_NAMES, key, h)
+                yield rows_of(bucket_of(key.view(np.uint64), targets), REPLY_NAMES, key, h)
 
     return run
 
@@ -325,15 +324,17 @@ def per_text(replies: DataFrame) -> DataFrame:
 def gone_windows(docs: DataFrame, window: int = WINDOW, start: int = START) -> DataFrame:
     """h1, h2 (of the text), first (smallest id of the text), gone (hashes of the
     windows that its first document loses)."""
-    parts = BUCKETS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a row goes from each bucket to each target: more of the ones, fewer of the others
+    buckets, targets = 2 * parts, parts // 2 + 1
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST_ID)))
     rows = docs.where(F.length("text") >= 2 * window - 1).select(doc.alias("doc"), "text", *hashes_of(F.col("text")))
     firsts = materialise(rows.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")))
     levels = lengths(window, start)
     source, read = rows.select(F.col("h1").alias("key"), "doc", "text"), texts
     for length, longer in zip(levels, levels[1:], strict=False):
-        asked = grouped(source.mapInArrow(asker(read, length, parts), ASK))
-        replies = materialise(asked.mapInArrow(answers(parts), REPLY))
+        asked = grouped(source.mapInArrow(asker(read, length, buckets, targets), ASK))
+        replies = materialise(asked.mapInArrow(answers(targets), REPLY))
         if read is texts:  # of a group of copies, only the first document stays
             known = firsts.join(per_text(replies).withColumnRenamed("key", "h1"), "h1")
             left = rows.join(known, ["h1", "h2"]).where("doc = first").select(F.col("h1").alias("key"), "doc", "text", "h")
@@ -343,8 +344,8 @@ def gone_windows(docs: DataFrame, window: int = WINDOW, start: int = START) -> D
         discard(replies, before)
     if read is texts:
         source = rows.join(firsts, ["h1", "h2"]).where("doc = first").select(F.col("h1").alias("key"), "doc", "text")
-    claims = grouped(source.mapInArrow(claimer(read, window, parts), CLAIM))
-    lost = materialise(claims.mapInArrow(losers(parts), REPLY))
+    claims = grouped(source.mapInArrow(claimer(read, window, buckets, targets), CLAIM))
+    lost = materialise(claims.mapInArrow(losers(targets), REPLY))
     found = firsts.join(per_text(lost).select(F.col("key").alias("h1"), F.col("h").alias("gone")), "h1", "left")
     found = materialise(found.where("n > 1 OR gone IS NOT NULL").select("h1", "h2", "first", "gone"))
     discard(lost, source, firsts)

@@ -80,7 +80,7 @@ def test_hashes_of_a_window_depend_on_its_words_alone():
 def test_a_passage_in_many_documents_is_sent_once_per_block():
     passage = [f"p{i}" for i in range(20)]
     pieces = [substrings.word_hashes(" ".join([*passage, f"own{k}"])) for k in range(500)]
-    run = substrings.claimer(lambda _: ((k, k, [p]) for k, p in enumerate(pieces)), 13, 4)
+    run = substrings.claimer(lambda _: ((k, k, [p]) for k, p in enumerate(pieces)), 13, 4, 2)
     sent = [(b, len(h)) for batch in run(iter([])) for b, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if b >= 0]
     assert sum(n for _, n in sent) == 8 + 500  # the passage's windows once, and each document's own
 
