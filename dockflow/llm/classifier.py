@@ -1,16 +1,24 @@
 """Quality classifier on random-indexing word vectors.
 
-Words are hashed into a fixed number of rows.  Each row has a sparse random index
-vector, and its word vector is the sum of the index vectors of its neighbours
-over the whole corpus, in whole numbers, so that it does not depend on the
-partitions.  A document is the weighted mean of its unit word vectors (rare
-words weigh more), with the spread around it and two numbers on its length and
-variety.  A network of two layers in numpy, fitted on a bounded sample of
-labelled documents, makes it a score; the temperature that makes scores
-probabilities is fitted on a part of the sample that the network has not seen.
-
-Bounds: the word table has ROWS x WIDTH numbers (1.6 MB), the training sample at
-most ``sample`` documents (smallest hashes of their ids).
+Each word has a sparse random index vector, made from its hash.  A word's vector is
+the sum of the index vectors of its neighbours, in whole numbers, so that it does
+not depend on the partitions.  Words of at least one in ``1 / SHARE`` occurrences
+(there are at most that many) have a vector summed over the whole corpus; a rarer
+word, of which the corpus says little, has one summed over the document at hand.
+Each word has a vector of its own, and no word is left out.
+
+A document is the weighted mean of its unit word vectors (rare words weigh more),
+with the spread around it and two numbers on its length and variety.  A network of
+two layers in numpy, fitted on a bounded sample of labelled documents, makes it a
+score; the temperature that makes scores probabilities is fitted on a part of the
+sample that the network has not seen.
+
+Words: runs of letters without case, runs of numerals as one word, runs of other
+signs whole; a run of capitals is preceded by a word that says so.
+
+Bounds: the table of frequent words has at most 1 / SHARE rows of WIDTH numbers
+(19 MB), the training sample at most ``sample`` documents (smallest hashes of their
+ids).
 
 Defined cases: NULL and empty texts get the score of an empty document; a NULL
 id counts as held out; of several labels for a document the largest counts, NULL
@@ -22,156 +30,234 @@ and only doc_id and quality of the labels; empty tables give empty results.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dockflow.llm.automaton import Table
+from dockflow.llm.bpe import LETTER, NUMERAL, kinds, word_hashes
+from dockflow.llm.common import discard, materialise
 
-ROWS = 1 << 13
+SHARE = 1e-5  # of all occurrences, from which a word has a vector of the corpus
 WIDTH = 48
-NONZERO = 4  # of an index vector
+NONZERO = 4  # of an index vector, one in each of as many stretches
 REACH = 2  # neighbours on each side
 RARE = 1e-3  # words of this frequency weigh half
 SAMPLE = 20_000
 HIDDEN = 32
 EPOCHS = 30
 FOLDS = 5
-SLICE = 1 << 20
-PARTS = regex.compile(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+")
-
-
-
-class Recent(dict):
-    """A cache in two halves: when the young one is full, the old one goes."""
-
-    def __init__(self, make, size: int):
-        super().__init__()
-        self.make, self.size, self.old = make, size, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-def rows_of(word: str) -> tuple[int, ...]:
-    """Table rows of a word's parts: letters without case, digits as one sign,
-    other signs by kind and number, and a sign for capitals throughout."""
-    out = []
-    for part in PARTS.findall(word):
-        if part.isnumeric():
-            part = "0"
-        elif part.isalpha():
-            if len(part) > 1 and part.isupper():
-                out.append("\0upper")
-            part = part.lower()
-        else:
-            part = part[:3]
-        out.append(part)
-    return tuple(xxhash.xxh32_intdigest(p.encode(), 7) % ROWS for p in out)
-
-
-class Reader:
-    """Texts as table rows, with a cache of words."""
-
-    def __init__(self):
-        self.known = Recent(rows_of, 200_000)
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int64)
-        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, text.split())), np.int64)
-
-
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of each row's index vector."""
-    rng = np.random.default_rng(11)
-    places = np.argsort(rng.random((ROWS, WIDTH)), axis=1)[:, :NONZERO]
-    return places, np.resize([1, -1], NONZERO)
-
-
-def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of this partition: row, count, vector."""
-    read, (places, signs) = Reader(), index_vectors()
-    sums, counts = np.zeros(ROWS * WIDTH, np.int64), np.zeros(ROWS, np.int64)
+SLICE = 1 << 18  # words looked at together
+COUNTED = 1 << 20  # different words of a task that are counted before they are sent
+SEEN = 2 * WIDTH + 2  # numbers that the network sees
+NUMBER, CAPITALS = 1, 2  # stand for runs of numerals and before runs of capitals
+
+
+@lru_cache(maxsize=1)
+def lower_case() -> np.ndarray:
+    """The small letter of each code point that is one."""
+    table = np.arange(0x110000, dtype=np.uint32)
+    for c in range(0x110000):
+        small = chr(c).lower()
+        if len(small) == 1:
+            table[c] = ord(small)
+    return table
+
+
+def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one after another, and how many each has."""
+    whole = "\n".join(t or "" for t in texts)
+    code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
+    if not len(code):
+        return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+    kind, small = kinds()[code], lower_case()[code]
+    border = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
+    end = np.append(border[1:], len(code))
+    real = kind[border] != 0
+    begin, end = border[real], end[real]
+    h = word_hashes(small, begin, end)
+    h[kind[begin] == NUMERAL] = NUMBER
+    capital = np.concatenate([[0], np.cumsum(small != code)])
+    loud = (kind[begin] == LETTER) & (end - begin > 1) & (capital[end] - capital[begin] == end - begin)
+    h = np.insert(h, np.flatnonzero(loud), CAPITALS)
+    ends = np.cumsum([len(t or "") + 1 for t in texts])
+    upto = np.concatenate([[0], np.cumsum(1 + loud)])[np.searchsorted(begin, ends)]
+    return h, np.diff(upto, prepend=0)
+
+
+def slices(texts: Iterator[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words and sizes of about SLICE words at a time, in whole texts."""
     held, size = [], 0
-    apart = np.full(REACH, -1)  # texts don't neighbour each other
-
-    def add() -> None:
-        t = np.concatenate(held) if held else apart
-        counts[:] += np.bincount(t[t >= 0], minlength=ROWS)
-        for step in range(1, REACH + 1):
-            a, b = t[:-step], t[step:]
-            both = (a >= 0) & (b >= 0)
-            a, b = a[both], b[both]
-            for word, near in ((a, b), (b, a)):
-                for k in range(NONZERO):
-                    sums[:] += signs[k] * np.bincount(word * WIDTH + places[near, k], minlength=ROWS * WIDTH)
-        held.clear()
-
-    for batch in batches:
-        for text in batch.column(0):
-            held += [read(text.as_py()), apart]
-            size += len(held[-2])
-            if size >= SLICE:
-                add()
+    for text in texts:
+        held.append(text)
+        size += len(text or "") + 1
+        if size >= 6 * SLICE:
+            yield words_of(held)
+            held, size = [], 0
+    if held:
+        yield words_of(held)
+
+
+def index_vectors(h: np.ndarray) -> np.ndarray:
+    """The sparse vector of each word: one sign in each of NONZERO stretches."""
+    part = WIDTH // NONZERO
+    index = np.zeros((len(h), WIDTH), np.int8)
+    row, bits = np.arange(len(h)), h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for k in range(NONZERO):
+        own = (bits >> np.uint64(8 + 12 * k)) & np.uint64(0xFFF)
+        sign = 1 - 2 * ((own >> np.uint64(11)) & np.uint64(1)).astype(np.int8)
+        index[row, k * part + (own % np.uint64(part)).astype(np.int64)] = sign
+    return index
+
+
+def neighbour_sums(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each occurrence, the sum of its neighbours' index vectors in its text."""
+    index = index_vectors(h)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    out = np.zeros_like(index)
+    for step in range(1, REACH + 1):
+        same = (of[step:] == of[:-step]).astype(np.int8)[:, None]
+        out[step:] += index[:-step] * same
+        out[:-step] += index[step:] * same
+    return out
+
+
+def added_by(group: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The groups, how many rows each has, and the sums of their rows."""
+    order = np.argsort(group, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], np.diff(group[order]) != 0])) if len(group) else np.zeros(0, np.int64)
+    sums = np.add.reduceat(rows[order].astype(np.int64), first, axis=0) if len(first) else np.zeros((0, rows.shape[1]), np.int64)
+    return group[order[first]], np.diff(np.append(first, len(group))), sums
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """h, n: the occurrences of every word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            h, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            h, back = np.unique(h, return_inverse=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.bincount(back, n, len(h)).astype(np.int64))], names=["h", "n"])
+
+        for h, _ in slices(t for b in batches for t in b.column(0).to_pylist()):
+            held.append(np.unique(h, return_counts=True))
+            size += len(held[-1][0])
+            if size >= COUNTED:
+                yield flush()
                 size = 0
-    add()
-    used = np.flatnonzero(counts)
-    vectors = pa.FixedSizeListArray.from_arrays(pa.array(sums.reshape(ROWS, WIDTH)[used].ravel()), WIDTH).cast(pa.list_(pa.int64()))
-    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used]), vectors], names=["row", "n", "vector"])
-
-
-def added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums, counts = np.zeros((ROWS, WIDTH), np.int64), np.zeros(ROWS, np.int64)
-    for batch in batches:
-        row = batch.column(0).to_numpy()
-        np.add.at(counts, row, batch.column(1).to_numpy())
-        np.add.at(sums, row, batch.column(2).flatten().to_numpy().reshape(-1, WIDTH))
-    used = np.flatnonzero(counts)
-    vectors = pa.FixedSizeListArray.from_arrays(pa.array(sums[used].ravel()), WIDTH).cast(pa.list_(pa.int64()))
-    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used]), vectors], names=["row", "n", "vector"])
-
-
-def word_vectors(docs: DataFrame) -> DataFrame:
-    """row, n, vector: sums over all texts, at most ROWS rows."""
-    schema = "row int, n long, vector array<long>"
-    return docs.select("text").mapInArrow(contexts, schema).repartition("row").mapInArrow(added_up, schema)
-
-
-def word_table(vectors: DataFrame) -> np.ndarray:
-    """Unit vectors times weights, as one bounded table."""
-    table = np.zeros((ROWS, WIDTH), np.float32)
-    found = vectors.collect()  # at most ROWS rows
-    total = sum(r["n"] for r in found) or 1
-    for r in found:
-        v = np.array(r["vector"], float)
-        weight = RARE / (RARE + r["n"] / total)
-        table[r["row"]] = weight * v / (np.linalg.norm(v) or 1.0)
-    return table
+        if held:
+            yield flush()
+
+    return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def pooled(rows: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """What the network sees of a document."""
-    out = np.zeros(2 * WIDTH + 2, np.float32)
-    if len(rows):
-        counts = np.bincount(rows, minlength=ROWS)
-        used = np.flatnonzero(counts)
-        share = (counts[used] / len(rows)).astype(np.float32)
-        words = table[used]
-        mean = share @ words
-        out[:WIDTH] = mean
-        out[WIDTH : 2 * WIDTH] = np.sqrt(np.maximum(share @ words**2 - mean**2, 0))
-        out[-2:] = np.log1p(len(rows)), np.log1p(len(used)) - np.log1p(len(rows))
+def word_vectors(docs: DataFrame, frequent) -> DataFrame:
+    """row, vector: sums over all texts, for the rows of a table of frequent words
+    (a broadcast array of hashes, sorted)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = frequent.value
+        sums = np.zeros((len(known), WIDTH), np.int64)
+        for h, sizes in slices(t for b in batches for t in b.column(0).to_pylist()):
+            row = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+            there = np.flatnonzero(known[row] == h) if len(known) else np.zeros(0, np.int64)
+            used, _, found = added_by(row[there], neighbour_sums(h, sizes)[there])
+            sums[used] += found
+        used = np.flatnonzero(sums.any(axis=1))
+        if len(used):
+            vectors = pa.FixedSizeListArray.from_arrays(pa.array(sums[used].ravel()), WIDTH).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), vectors], names=["row", "vector"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: dict[int, np.ndarray] = {}
+        for batch in batches:
+            v = batch.column(1).flatten().to_numpy().reshape(-1, WIDTH)
+            for k, row in enumerate(batch.column(0).to_pylist()):
+                rows[row] = rows[row] + v[k] if row in rows else v[k]
+        if rows:
+            vectors = pa.array([v.tolist() for v in rows.values()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), vectors], names=["row", "vector"])
+
+    schema = "row int, vector array<long>"
+    return docs.select("text").mapInArrow(run, schema).repartition("row").mapInArrow(add, schema)
+
+
+class Words:
+    """The frequent words' hashes, and their unit vectors times weights."""
+
+    def __init__(self, hashes: np.ndarray, table: np.ndarray):
+        self.hashes, self.table = hashes, table
+
+    def __getstate__(self) -> tuple:
+        return self.hashes, self.table
+
+    def __setstate__(self, state: tuple) -> None:
+        self.__init__(*state)
+        self.rows = Table(max(4, (2 * len(self.hashes)).bit_length()))
+        self.rows.add(self.hashes, np.arange(len(self.hashes), dtype=np.int32))
+
+
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length one; rows of zeros stay."""
+    size = np.sqrt((vectors.astype(np.float32) ** 2).sum(axis=1, keepdims=True))
+    return vectors / np.where(size > 0, size, 1)
+
+
+def learnt(docs: DataFrame) -> Words:
+    """The words of a corpus."""
+    counts = materialise(word_counts(docs))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.where(F.col("n") >= SHARE * total).toPandas().sort_values("h")  # at most 1 / SHARE
+    discard(counts)
+    hashes, n = found["h"].to_numpy(np.int64), found["n"].to_numpy(float)
+    frequent = docs.sparkSession.sparkContext.broadcast(hashes)
+    vectors = np.zeros((len(hashes), WIDTH))
+    for r in word_vectors(docs, frequent).collect():  # the same rows
+        vectors[r["row"]] = r["vector"]
+    weight = RARE / (RARE + n / max(total, 1))
+    return Words(hashes, (unit(vectors) * weight[:, None]).astype(np.float32))
+
+
+def pooled(texts: list[str | None], words: Words) -> np.ndarray:
+    """What the network sees of each document."""
+    out = [pooled_slice(h, sizes, words) for h, sizes in slices(iter(texts))]
+    return np.concatenate(out) if out else np.zeros((0, SEEN), np.float32)
+
+
+def pooled_slice(h: np.ndarray, sizes: np.ndarray, words: Words) -> np.ndarray:
+    out = np.zeros((len(sizes), SEEN), np.float32)
+    if not len(h):
+        return out
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    # the different words of each text, by text
+    order = np.lexsort((h, of))
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(h[order]) != 0) | (np.diff(of[order]) != 0)]))
+    word, text, n = h[order[first]], of[order[first]], np.diff(np.append(first, len(h)))
+    row = words.rows.find(word)
+    vectors = np.zeros((len(word), WIDTH), np.float32)
+    known = row >= 0
+    vectors[known] = words.table[row[known]]
+    rare = np.flatnonzero(~known)
+    if len(rare):
+        place = np.repeat(np.arange(len(word)), n)  # of each occurrence, in this order
+        mine = ~known[place]
+        _, _, sums = added_by(place[mine], neighbour_sums(h, sizes)[order[mine]])
+        vectors[rare] = unit(sums)
+    share = (n / sizes[text]).astype(np.float32)[:, None]
+    begin = np.flatnonzero(np.concatenate([[True], np.diff(text) != 0]))
+    full = text[begin]
+    mean = np.add.reduceat(share * vectors, begin, axis=0)
+    out[full, :WIDTH] = mean
+    out[full, WIDTH : 2 * WIDTH] = np.sqrt(np.maximum(np.add.reduceat(share * vectors**2, begin, axis=0) - mean**2, 0))
+    different = np.diff(np.append(begin, len(text)))
+    out[full, -2], out[full, -1] = np.log1p(sizes[full]), np.log1p(different) - np.log1p(sizes[full])
     return out
 
 
@@ -233,22 +319,22 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(text.cast("binary")), F.lit(FOLDS)) == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, table, sample: int = SAMPLE) -> Network:
-    """The network for a word table (a broadcast value)."""
+def fit(docs: DataFrame, labels: DataFrame, words, sample: int = SAMPLE) -> Network:
+    """The network for known words (a broadcast value)."""
     known = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # the documented bound
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    chosen = chosen.select(F.col("doc_id").cast("string").alias("key"), F.col("quality").cast("int").alias("y"))
+    texts = docs.select(F.col("doc_id").cast("string").alias("key"), "text").join(F.broadcast(chosen), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = Reader()
         for batch in batches:
-            x = [pooled(read(t.as_py()), table.value).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.binary())], names=["doc_id", "y", "x"])
+            x = [v.tobytes() for v in pooled(batch.column(1).to_pylist(), words.value)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.binary())], names=["key", "y", "x"])
 
-    seen = texts.mapInArrow(run, "doc_id long, y int, x binary").dropDuplicates(["doc_id", "x"]).toPandas()
-    seen = seen.assign(h=[xxhash.xxh64_intdigest(str(d), 5) for d in seen["doc_id"]]).sort_values(["h", "x"])
-    x = np.array([np.frombuffer(b, np.float32) for b in seen["x"]], float).reshape(len(seen), 2 * WIDTH + 2)
+    seen = texts.mapInArrow(run, "key string, y int, x binary").dropDuplicates(["key", "x"]).toPandas()
+    seen = seen.assign(h=[xxhash.xxh64_intdigest(d, 5) for d in seen["key"]]).sort_values(["h", "x"])
+    x = np.array([np.frombuffer(b, np.float32) for b in seen["x"]], float).reshape(len(seen), SEEN)
     return Network(x, seen["y"].to_numpy(float))
 
 
@@ -256,14 +342,12 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     """doc_id, held_out, score."""
     docs = docs.select("doc_id", "text")
     context = docs.sparkSession.sparkContext
-    table = context.broadcast(word_table(word_vectors(docs)))
-    network = context.broadcast(fit(docs, labels, table, sample))
+    words = context.broadcast(learnt(docs))
+    network = context.broadcast(fit(docs, labels, words, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = Reader()
         for batch in batches:
-            x = np.array([pooled(read(t.as_py()), table.value) for t in batch.column(1)], float)
-            y = network.value.scores(x.reshape(batch.num_rows, 2 * WIDTH + 2))
+            y = network.value.scores(pooled(batch.column(1).to_pylist(), words.value).astype(float))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(y, pa.float64())], names=["doc_id", "score"])
 
     rows = docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")

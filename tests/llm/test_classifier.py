@@ -1,4 +1,5 @@
 import numpy as np
+import regex
 from dockflow.llm import classifier
 from pyspark.sql import functions as F
 
@@ -27,21 +28,74 @@ def test_held_out_accuracy_and_no_leak(spark):
     assert sorted(map(tuple, classifier.score(docs, turned).collect())) == sorted(map(tuple, got.collect()))
 
 
+TEXTS = ["a b c a", "b b", None, "", "c Été ÉTÉ 12 3,4", "news!!! NEWS!! no!!! b", " \n", "中文 b a", "A b Ab 7"]
+
+
+def plain_words(text):
+    out = []
+    for part in regex.findall(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+", text or ""):
+        if part[0].isalpha():
+            if len(part) > 1 and part.isupper():
+                out.append("CAPITALS")
+            part = part.lower()
+        out.append("NUMBER" if part[0].isnumeric() else part)
+    return out
+
+
+def test_words_have_hashes_of_their_own():
+    h, sizes = classifier.words_of(TEXTS)
+    want = [plain_words(t) for t in TEXTS]
+    assert sizes.tolist() == [len(w) for w in want]
+    flat = [w for ws in want for w in ws]
+    pairs = set(zip(flat, h.tolist(), strict=True))
+    assert len(pairs) == len(set(flat)) == len(set(h.tolist()))
+    signs, _ = classifier.words_of(["! !! !!! !!!! !!!!! ****** *****"])
+    assert len(set(signs.tolist())) == 7  # runs of different length are different words
+    many, _ = classifier.words_of([" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(15_000))])
+    assert len(set(many.tolist())) == 15_000
+
+
+def plain_contexts(h, near=classifier.REACH):
+    index = classifier.index_vectors(h).astype(int)
+    assert (np.abs(index).sum(axis=1) == classifier.NONZERO).all() if len(h) else True
+    return [sum((index[j] for j in range(max(0, i - near), min(len(h), i + near + 1)) if j != i), np.zeros(classifier.WIDTH, int)) for i in range(len(h))]
+
+
 def test_word_vectors_are_sums_over_neighbours(spark):
-    texts = ["a b c a", "b b", None, "", "c"]
-    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
-    got = {r["row"]: (r["n"], r["vector"]) for r in classifier.word_vectors(docs).collect()}
-    places, signs = classifier.index_vectors()
-    want: dict = {}
-    for t in texts:
-        rows = [x for w in (t or "").split() for x in classifier.rows_of(w)]
-        for i, x in enumerate(rows):
-            n, v = want.setdefault(x, [0, np.zeros(classifier.WIDTH, int)])
-            want[x][0] += 1
-            for j in range(max(0, i - classifier.REACH), min(len(rows), i + classifier.REACH + 1)):
-                if j != i:
-                    v[places[rows[j]]] += signs
-    assert got == {k: (n, v.tolist()) for k, (n, v) in want.items()}
+    docs = spark.createDataFrame([(t,) for t in TEXTS], "text string").repartition(3)
+    counts = {r["h"]: r["n"] for r in classifier.word_counts(docs).collect()}
+    want, n = {}, {}
+    for t in TEXTS:
+        h, _ = classifier.words_of([t])
+        for x, v in zip(h.tolist(), plain_contexts(h), strict=True):
+            want[x], n[x] = want.get(x, 0) + v, n.get(x, 0) + 1
+    assert counts == n
+    hashes = np.array(sorted(want))[::2]
+    got = {int(hashes[r["row"]]): r["vector"] for r in classifier.word_vectors(docs, spark.sparkContext.broadcast(hashes)).collect()}
+    assert got == {int(x): want[x].tolist() for x in hashes.tolist() if want[x].any()}
+
+
+def test_documents_are_pooled_from_all_their_words():
+    h, _ = classifier.words_of(TEXTS)
+    frequent = np.unique(h)[::2]
+    table = np.random.default_rng(1).normal(size=(len(frequent), classifier.WIDTH)).astype(np.float32)
+    words = classifier.Words.__new__(classifier.Words)
+    words.__setstate__((frequent, table))
+    got = classifier.pooled(TEXTS, words)
+    place = {x: k for k, x in enumerate(frequent.tolist())}
+    for text, row in zip(TEXTS, got, strict=True):
+        own, _ = classifier.words_of([text])
+        around, vectors = plain_contexts(own), []
+        for x in own.tolist():
+            local = sum(v for y, v in zip(own.tolist(), around, strict=True) if y == x)
+            vectors.append(table[place[x]] if x in place else local / (np.linalg.norm(local) or 1))
+        if not vectors:
+            assert not row.any()
+            continue
+        v = np.array(vectors)
+        assert np.allclose(row[: classifier.WIDTH], v.mean(axis=0), atol=1e-5)
+        assert np.allclose(row[classifier.WIDTH : -2], v.std(axis=0), atol=1e-3)
+        assert np.allclose(row[-2:], [np.log1p(len(own)), np.log1p(len(set(own.tolist()))) - np.log1p(len(own))])
 
 
 def test_odd_tables(spark):
