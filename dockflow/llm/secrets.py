@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dockflow.llm.common import materialise
+from dockflow.llm.syncmers import once
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -98,6 +99,8 @@ WORDS = reduce(Pattern.__or__, (lit(w, any_case=True) for w in ("password", "pas
 KEY = lit("api", any_case=True) + maybe(lit("_")) + lit("key", any_case=True)
 QUOTE = chars("[\"']?")
 
+ROUNDS = 28  # of running totals: more matches than a text of 2 GB can hold
+
 #: All up to the END line; nothing if there is none before the next key begins.
 KEY_BODY = chars("(?:(?:[^-]|-(?!----(?:BEGIN |END [A-Z ]{0,40}PRIVATE KEY-----)))*+-----END [A-Z ]{0,40}PRIVATE KEY-----)?")
 
@@ -155,22 +158,51 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 # --- verification -------------------------------------------------------------
 
 
+def running(values: Column, combine) -> Column:
+    """An array of running totals by an associative ``combine``.
+
+    Each round reaches twice as far back, so the work grows with n log n and no
+    array is copied per element; rounds beyond the array's size do nothing.
+    """
+
+    def reaching(reach: int):
+        def doubled(a: Column) -> Column:
+            with_earlier = lambda x, i: F.when(i < reach, x).otherwise(combine(x, F.get(a, i - reach)))
+            return F.when(F.size(a) > reach, F.transform(a, with_earlier)).otherwise(a)
+
+        return doubled
+
+    for k in range(ROUNDS):
+        values = once(values, reaching(1 << k))
+    return values
+
+
 def spans_of(text: Column, rule: Rule) -> Column:
     """Array of (kind, begin, end) of the rule's matches, in code points."""
     regex = rule.pattern.regex
     found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
     part = found if rule.part == 0 else F.regexp_extract_all(text, F.lit(regex), F.lit(rule.part))
     between = F.split(text, regex, -1)  # the texts around the matches give their places
-    pairs = F.transform(found, lambda m, i: F.struct(F.length(F.get(between, i)).alias("gap"), F.length(m).alias("size"), F.length(F.get(part, i)).alias("part")))
-    kind = "array<struct<kind:string,begin:int,end:int,part:int>>"
+    read = F.struct(
+        F.transform(found, F.length).alias("size"), F.transform(part, F.length).alias("part"), F.transform(between, F.length).alias("gap")
+    )
+
+    def placed(x: Column) -> Column:
+        steps = F.transform(x["size"], lambda size, i: size + F.get(x["gap"], i))
+
+        def of_ends(ends: Column) -> Column:
+            spans = F.transform(
+                ends,
+                lambda end, i: F.when(
+                    F.get(x["part"], i) >= rule.least,
+                    F.struct(F.lit(rule.kind).alias("kind"), (end - F.get(x["size"], i)).alias("begin"), end.alias("end")),
+                ),
+            )
+            return F.array_compact(spans)
 
-    def step(done: Column, p: Column) -> Column:
-        begin = F.coalesce(F.get(done, F.size(done) - 1)["end"], F.lit(0)) + p["gap"]
-        return F.concat(done, F.array(F.struct(F.lit(rule.kind).alias("kind"), begin.alias("begin"), (begin + p["size"]).alias("end"), p["part"].alias("part"))))
+        return once(running(steps, lambda a, b: a + b), of_ends)
 
-    placed = F.aggregate(pairs, F.array().cast(kind), step)
-    kept = F.filter(placed, lambda s: s["part"] >= rule.least)
-    return F.transform(kept, lambda s: F.struct(s["kind"].alias("kind"), s["begin"].alias("begin"), s["end"].alias("end")))
+    return once(read, placed)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -201,19 +233,45 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return rows.select("doc_id", "text", "row", F.array_sort(F.concat(*parts), earlier).alias("spans"))
 
 
+def without_spans(text: Column, spans: Column, mask: str) -> Column:
+    """The text with each stretch of overlapping spans (in order, at least one)
+    replaced; each character is moved once."""
+
+    def of_reach(reach: Column, spans: Column) -> Column:
+        def opens(s: Column, i: Column) -> Column:
+            return (i == 0) | (s["begin"] >= F.get(reach, i - 1))
+
+        first = F.array_compact(F.transform(spans, lambda s, i: F.when(opens(s, i), i)))
+
+        def of_first(f: Column) -> Column:
+            stretch = lambda i, k: F.struct(
+                F.get(spans, i)["begin"].alias("begin"), F.get(reach, F.coalesce(F.get(f, k + 1), F.size(spans)) - 1).alias("end")
+            )
+            return F.transform(f, stretch)
+
+        return once(first, of_first)
+
+    def of_both(x: Column) -> Column:
+        at, chars = x["at"], x["chars"]
+
+        def piece(s: Column, k: Column) -> Column:
+            begin = F.coalesce(F.get(at, k - 1)["end"], F.lit(0))
+            return F.concat(F.array_join(F.slice(chars, begin + 1, s["begin"] - begin), ""), F.lit(mask))
+
+        end = F.get(at, F.size(at) - 1)["end"]
+        rest = F.array_join(F.slice(chars, end + 1, F.size(chars)), "")
+        return F.concat(F.array_join(F.transform(at, piece), ""), rest)
+
+    def of_spans(spans: Column) -> Column:
+        ends = running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+        at = once(ends, lambda reach: of_reach(reach, spans))
+        return once(F.struct(at.alias("at"), F.split(text, "").alias("chars")), of_both)
+
+    return once(spans, of_spans)
+
+
 def masked(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]") -> DataFrame:
     """The rows of ``docs`` with each stretch of overlapping secrets replaced."""
     rows = scan(docs, rules)
-
-    def step(done: Column, s: Column) -> Column:
-        apart = s["begin"] >= done["at"]
-        before = F.substring(F.col("text"), done["at"] + 1, s["begin"] - done["at"])
-        return F.struct(
-            F.when(apart, F.concat(done["out"], before, F.lit(mask))).otherwise(done["out"]).alias("out"),
-            F.greatest(done["at"], s["end"]).alias("at"),
-        )
-
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    rest = F.aggregate("spans", start, step, lambda d: F.concat(d["out"], F.substring(F.col("text"), d["at"] + 1, F.length("text"))))
-    text = F.when(F.size("spans") > 0, rest).otherwise(F.col("row.text"))
+    text = F.when(F.size("spans") > 0, without_spans(F.col("text"), F.col("spans"), mask)).otherwise(F.col("row.text"))
     return rows.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 from dockflow.llm import secrets, syncmers
 from pyspark.sql import functions as F
@@ -145,6 +147,36 @@ def test_masks(spark):
     assert {r["doc_id"]: r["text"] for r in got.collect()} == {1: "x [SECRET] y [SECRET] z", 2: None, 3: "[SECRET]", 4: "clean"}
 
 
+def test_many_matches_in_one_text(spark):
+    """The work grows with the matches, not with their square."""
+    digests = [f"{k:032x}" for k in range(100_000)]
+    text = " x ".join(digests)
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    begin = time.time()
+    got = secrets.scan(docs).select("spans").first()["spans"]
+    assert len(got) == 100_000 and all((s["begin"], s["end"]) == (35 * k, 35 * k + 32) for k, s in enumerate(got))
+    assert secrets.masked(docs).first()["text"] == " x ".join(["[SECRET]"] * 100_000)
+    assert time.time() - begin < 120
+
+
+def test_overlapping_spans_are_masked_as_one(spark):
+    r, rows = random.Random(3), []
+    for k in range(200):
+        parts = [r.choice(["token=", "secret: ", "AKIA" + "Q" * 14, "0f" * 20, " é中 ", "abcdefgh12", "word ", "password='"]) for _ in range(r.randint(0, 40))]
+        rows.append((k, "".join(parts), *[None] * 8))
+    docs = cases.frame(spark, rows)
+    spans = {r["doc_id"]: r["spans"] for r in secrets.scan(docs).select("doc_id", "spans").collect()}
+    want = {}
+    for k, text, *_ in rows:
+        out, at = "", 0
+        for s in spans[k]:
+            if s["begin"] >= at:
+                out += text[at : s["begin"]] + "[SECRET]"
+            at = max(at, s["end"])
+        want[k] = out + text[at:]
+    assert {r["doc_id"]: r["text"] for r in secrets.masked(docs).collect()} == want
+
+
 def test_private_keys_are_masked_whole(spark):
     key = lambda k: f"-----BEGIN {k}PRIVATE KEY-----\nMIIEabc+/=\n{'Qx7/' * 2000}\n-----END {k}PRIVATE KEY-----"
     head = "-----BEGIN PRIVATE KEY-----"
