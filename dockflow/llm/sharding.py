@@ -6,7 +6,9 @@ needs no more than the given number of shards, found by binary search.  The
 groups never meet on the driver: running sums are made per range of groups, and
 the search sees only one sum per cell of a fixed number of cells.  Where a cell
 hides a cut, the cells that can hold it are looked up again in finer ones, until
-both bounds of the search agree; so the capacity is exact.
+both bounds of the search agree; so the capacity is exact.  Of the cuts that keep
+to this capacity those are taken that are nearest to equal shares: bounds from the
+right say how far a shard must reach, the capacity how far it may.
 
 Defined cases: NULL texts have no bytes and belong to the group of the empty
 text; repeated rows belong to one group; rows with a NULL id come first; only
@@ -116,6 +118,65 @@ class Ends:
             cuts.append(at)
         return cuts
 
+    def least_ends(self, capacity: int, shards: int) -> list[int]:
+        """For each shard but the last, the smallest known end from which the rest
+        still fits into the shards that follow."""
+        total, out = int(self.known[-1]), []
+        at = total
+        for _ in range(shards - 1):
+            at = int(self.known[np.searchsorted(self.known, max(at - capacity, 0), side="left")])
+            out.append(at)
+        return out[::-1]
+
+    def levelled(self, shards: int) -> np.ndarray:
+        """The known ends on a scale on which a group that is larger than an equal
+        share of all others counts as such a share: it has a shard of its own."""
+        sizes = np.diff(self.known)
+        large = np.zeros(len(sizes), bool)
+        while True:
+            share = sizes[~large].sum() / max(1, shards - int(large.sum()))
+            more = ~large & ~self.hides & (sizes > share)
+            if not more.any():
+                return np.concatenate([[0], np.cumsum(np.where(large, share, sizes))])
+            large |= more
+
+    def even(self, capacity: int, shards: int) -> tuple[list[int], set[int]]:
+        """The ends nearest to equal shares of what is left, no shard over the
+        capacity; and the stretches that hide ends where one was looked for."""
+        total, at, cuts, unsure = int(self.known[-1]), 0, [], set()
+        level = self.levelled(shards)
+
+        def note(k: int) -> None:
+            if 0 <= k < len(self.hides) and self.hides[k]:
+                unsure.add(k)
+
+        def place(x: int, side: str) -> int:
+            k = int(np.searchsorted(self.known, x, side=side))
+            if side == "right":
+                k -= 1
+            if self.known[min(k, len(self.known) - 1)] != x:
+                note(k if side == "right" else k - 1)
+            return k
+
+        back = total
+        for _ in range(shards - 1):  # where the smallest ends were looked for
+            back = int(self.known[place(max(back - capacity, 0), "left")])
+        for left, least in zip(range(shards, 1, -1), self.least_ends(capacity, shards), strict=True):
+            here = int(np.searchsorted(self.known, at, side="left"))
+            low = int(np.searchsorted(self.known, max(at, least), side="left"))
+            high = place(at + capacity, "right")
+            if low <= here < high:  # no shard stays empty while groups are left
+                low = here + 1
+                note(here)
+            goal = level[here] + (level[-1] - level[here]) / left
+            k = int(np.searchsorted(level, goal, side="left"))
+            if level[min(k, len(level) - 1)] != goal:
+                note(k - 1)
+            near = [min(max(x, low), high) for x in (k - 1, k)]
+            at = int(self.known[min(near, key=lambda x: (abs(level[x] - goal), x))])
+            cuts.append(at)
+        return [*cuts, total], unsure
+
     def smallest(self, low: int, high: int, shards: int, hopeful: bool) -> int:
         """The smallest capacity with which the walk gets to the end."""
         while low < high:
@@ -128,7 +189,8 @@ class Ends:
 
 
 def minimax_cuts(groups: DataFrame, shards: int) -> list[int]:
-    """The ends of the shards, as sums of sizes, of the smallest capacity."""
+    """The ends of the shards, as sums of sizes, of the smallest capacity; of all
+    such cuts one that deals what is left evenly at each shard."""
     total, largest = groups.agg(F.sum("size"), F.max("size")).first()
     if total is None:
         return []
@@ -141,7 +203,7 @@ def minimax_cuts(groups: DataFrame, shards: int) -> list[int]:
         a, b = ends.walk(low, shards, hopeful=False), ends.walk(high, shards, hopeful=True)
         b += [total] * (len(a) - len(b))
         if low == high and a == b[: len(a)] and a[-1] == total:
-            return a
+            return even_cuts(groups, ends, low, shards)
         # stretches with a hidden end that a cut may fall into, at any capacity left
         wanted = set()
         for x, y in zip(a, b, strict=False):
@@ -149,12 +211,21 @@ def minimax_cuts(groups: DataFrame, shards: int) -> list[int]:
             j = np.searchsorted(ends.known, max(x, y), side="left")
             wanted |= {int(s) for s in range(i, min(j + 1, len(ends.hides))) if ends.hides[s]}
         if not wanted:
-            return ends.walk(high, shards, hopeful=False)
+            return even_cuts(groups, ends, high, shards)
         # many at first: the widest ones, the others follow
         widest = sorted(wanted, key=lambda s: ends.known[s] - ends.known[s + 1])[: 3 * shards]
         ends.refine(groups, np.array(sorted(widest)))
 
 
+def even_cuts(groups: DataFrame, ends: Ends, capacity: int, shards: int) -> list[int]:
+    """Looks into stretches that hide ends until the even cuts are sure."""
+    while True:
+        cuts, unsure = ends.even(capacity, shards)
+        if not unsure:
+            return cuts
+        ends.refine(groups, np.array(sorted(unsure)))
+
+
 def assign(docs: DataFrame, shards: int) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot (position in the shard)."""
     rows = materialise(sized(docs))

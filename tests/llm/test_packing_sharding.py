@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter
 
@@ -84,6 +85,26 @@ def test_smallest_capacity(spark, monkeypatch, shards, cells):
     assert all(len(s) == 1 for s in by_text.values())
 
 
+@pytest.mark.parametrize("cells", [8, 1 << 16])
+def test_shards_are_even_and_all_used(spark, monkeypatch, cells):
+    monkeypatch.setattr(sharding, "CELLS", cells)
+    r = random.Random(cells)
+    rows = [(i, "x" * r.randint(0, 900) + str(i)) for i in range(1500)]
+    held = Counter()
+    for x in sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), 40).collect():
+        held[x["shard"]] += x["size"]
+    mean = sum(held.values()) / 40
+    assert sorted(held) == list(range(40)) and min(held.values()) > 0.9 * mean and max(held.values()) < 1.1 * mean
+    # one group of a third of all bytes takes a shard of its own, the others share the rest
+    rows += [(2000 + i, "same " * 900) for i in range(80)]
+    total = sum(len(t) + 16 for _, t in rows)
+    held = Counter()
+    for x in sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), 40).collect():
+        held[x["shard"]] += x["size"]
+    rest = sorted(held.values())[:-1]
+    assert len(held) == 40 and max(held.values()) >= 0.3 * total and min(rest) > 0.8 * sum(rest) / 39
+
+
 def test_empty_tables(spark):
     assert packing.pack(cases.nothing(spark), PATH).count() == 0
     assert sharding.assign(cases.nothing(spark), 40).count() == 0
