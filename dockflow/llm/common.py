@@ -53,13 +53,14 @@ def words_of(text: Column) -> Column:
 def number_within(df: DataFrame, key: str, order: list[str], out: str, rows_per_cell: int = 20_000) -> DataFrame:
     """Positions 0, 1, 2... inside each key, without one task per key.
 
-    Rows are dealt into cells by a hash of their order columns; counts per cell
-    give offsets, and only a cell is sorted.  ``key`` is not NULL.  Rows that tie
-    in every order column share a cell and are numbered in any order.
+    Rows are dealt into cells by a hash of their order columns and of their place
+    in ``df``, a written table; counts per cell give offsets, and only a cell is
+    sorted, also where many rows are equal.  ``key`` is not NULL.
     """
     cells = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / rows_per_cell)).cast("int")
     n = df.agg(cells.alias("n")).first()["n"]
-    placed = df.withColumn("_cell", F.pmod(F.xxhash64(*order), F.lit(n)))
+    placed = df.withColumn("_row", F.monotonically_increasing_id())
+    placed = placed.withColumn("_cell", F.pmod(F.xxhash64(*order, "_row"), F.lit(n)))
     by_key = Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         placed.groupBy(key, "_cell")
@@ -67,10 +68,10 @@ def number_within(df: DataFrame, key: str, order: list[str], out: str, rows_per_
         .withColumn("_before", F.coalesce(F.sum("_n").over(by_key), F.lit(0)))
         .drop("_n")
     )
-    inside = Window.partitionBy(key, "_cell").orderBy(*order)
+    inside = Window.partitionBy(key, "_cell").orderBy(*order, "_row")
     return (
         placed.withColumn("_rank", F.row_number().over(inside) - 1)
         .join(offsets, [key, "_cell"])
         .withColumn(out, F.col("_before") + F.col("_rank"))
-        .drop("_cell", "_rank", "_before")
+        .drop("_cell", "_rank", "_before", "_row")
     )

@@ -35,6 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dockflow.llm.common import materialise
 from dockflow.llm.suffixes import permuted_common_prefixes, suffix_array
@@ -427,12 +428,12 @@ def removals(docs: DataFrame) -> DataFrame:
     return materialise(texts.select("h1", "h2", "first", "runs"))
 
 
-CUT = "n_bytes long, spans array<struct<start:int,stop:int>>, kept binary"
+SPAN = T.StructType().add("start", T.IntegerType()).add("stop", T.IntegerType())
 
 
 def without_repeats(docs: DataFrame, columns: list[str] | None = None, whole_characters: bool = False) -> DataFrame:
-    """doc_id (or ``columns``), n_bytes, spans (what is removed, in order) and
-    kept (the other bytes).  With ``whole_characters`` a character of several
+    """doc_id (or ``columns``, whose names are none of the others), n_bytes, spans
+    (what is removed, in order) and kept (the other bytes).  With ``whole_characters`` a character of several
     bytes stays if not all of them are to go."""
     columns = columns or ["doc_id"]
     found = removals(docs).withColumnsRenamed({"h1": "_h1", "h2": "_h2", "first": "_first", "runs": "_runs"})
@@ -474,5 +475,5 @@ def without_repeats(docs: DataFrame, columns: list[str] | None = None, whole_cha
             columns_ = [*batch.columns[:n], pa.array(sizes, pa.int64()), pa.array(cuts, kind), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns_, names=[*batch.schema.names[:n], "n_bytes", "spans", "kept"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    return rows.mapInArrow(run, f"{schema}, {CUT}")
+    schema = T.StructType(docs.select(*columns).schema.fields)
+    return rows.mapInArrow(run, schema.add("n_bytes", "long").add("spans", T.ArrayType(SPAN)).add("kept", "binary"))

@@ -28,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dockflow.llm.common import materialise
@@ -277,8 +277,12 @@ def one_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
     stay = materialise(rows.groupBy("component").agg(first.alias("first")).select("first.doc_id", "first.h"))
     stay = stay.withColumnsRenamed({"doc_id": "_d", "h": "_h"})
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    known = rows
     rows = docs.select(row.alias("row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_x"))
     rows = rows.join(stay, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_x") == F.col("_h")), "left_semi")
-    # a row that is there twice stays once
-    again = Window.partitionBy("_id", "_x").orderBy("_id")
-    return rows.withColumn("_n", F.row_number().over(again)).where("_n = 1").select("row.*")
+    # of a row that is there more than once one stays; only such rows are looked through
+    twice = known.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"))
+    twice = materialise(twice)
+    same = F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_x") == F.col("_h"))
+    once = rows.join(twice, same, "left_anti").unionByName(rows.join(twice, same, "left_semi").dropDuplicates(["_id", "_x"]))
+    return once.select("row.*")

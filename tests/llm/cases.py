@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, words string, h long, row string, key int, shard int"
 
 
@@ -30,9 +32,14 @@ def sample(seed: int = 1) -> list[tuple]:
     return rows
 
 
+def more(df):
+    """Further columns, with names of results and with a dot."""
+    return df.withColumns({"kept": F.lit("k"), "spans": F.lit(1), "n_bytes": F.lit(2.5), "x.y": F.lit("z")})
+
+
 def frame(spark, rows=None):
-    return spark.createDataFrame(sample() if rows is None else rows, SCHEMA).repartition(3)
+    return more(spark.createDataFrame(sample() if rows is None else rows, SCHEMA)).repartition(3)
 
 
 def nothing(spark):
-    return spark.createDataFrame([], SCHEMA)
+    return more(spark.createDataFrame([], SCHEMA))
