@@ -75,6 +75,71 @@ def fill_across(
     )
 
 
+def each_known(value: str, size: int, known) -> Column:
+    """An array from an expression per element of the array ``value``."""
+    return F.array(*[known(F.get(value, F.lit(i))) for i in range(size)])
+
+
+def first_known(*arrays: Column | str) -> Column:
+    """Element by element the first value that is not NULL."""
+    first, *rest = [F.col(a) if isinstance(a, str) else a for a in arrays]
+    for other in rest:
+        first = F.zip_with(first, other, lambda x, y: F.coalesce(x, y))
+    return first
+
+
+def fill_arrays_within(rows: DataFrame, value: str, size: int, outer: str, inner: str) -> DataFrame:
+    """Gap fill in arrays of ``size``, element by element down the rows of an outer
+    key: the previous known element; a leading gap takes the next one."""
+    ordered = W.partitionBy(outer).orderBy(inner)
+    so_far = ordered.rowsBetween(W.unboundedPreceding, 0)
+    whole = ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    own = each_known(value, size, lambda x: F.last(x, ignorenulls=True).over(so_far))
+    head = each_known(value, size, lambda x: F.first(x, ignorenulls=True).over(whole))
+    return rows.withColumns({"_own": own, "_head": head}).withColumn(value, first_known("_own", "_head")).drop("_own", "_head")
+
+
+def fill_arrays_across(rows: DataFrame, value: str, size: int, outer: str, inner: str, block: int = 4096) -> DataFrame:
+    """The same over rows sorted by (outer, inner): the fill runs on from one outer
+    key into the next, and a gap at the top takes the element's first value.
+
+    An array of last known elements is carried inside an outer key, over the outer
+    keys of a block, and over the blocks; no task sees all rows.
+    """
+    past = (W.unboundedPreceding, -1)
+    ordered = W.partitionBy(outer).orderBy(inner)
+    so_far = ordered.rowsBetween(W.unboundedPreceding, 0)
+    last_of = lambda name, over: each_known(name, size, lambda x: F.last(x, ignorenulls=True).over(over))
+    filled = rows.withColumns(
+        {
+            "_own": last_of(value, so_far),
+            "_row": F.row_number().over(ordered),
+            "_block": F.floor(F.col(outer) / F.lit(block)),
+        }
+    )
+    # one row per outer key: its last known and its first known elements
+    first_at = lambda x: F.min_by(x, F.when(x.isNotNull(), F.col("_row")))
+    tails = filled.groupBy("_block", outer).agg(
+        F.max_by("_own", "_row").alias("_tail"), each_known("_own", size, first_at).alias("_head")
+    )
+    in_block = W.partitionBy("_block").orderBy(outer).rowsBetween(*past)
+    near = tails.select("_block", outer, last_of("_tail", in_block).alias("_near"))
+    key = F.col(outer)
+    blocks = tails.groupBy("_block").agg(
+        each_known("_tail", size, lambda x: F.max_by(x, F.when(x.isNotNull(), key))).alias("_tail"),
+        each_known("_head", size, lambda x: F.min_by(x, F.when(x.isNotNull(), key))).alias("_head"),
+    )
+    over = W.partitionBy(F.lit(0)).orderBy("_block")
+    first = each_known("_head", size, lambda x: F.first(x, ignorenulls=True).over(over.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    far = blocks.select("_block", last_of("_tail", over.rowsBetween(*past)).alias("_far"), first.alias("_top"))
+    carry = near.join(far, "_block").select(outer, first_known("_near", "_far", "_top").alias("_carry"))
+    return (
+        filled.join(carry, outer)
+        .withColumn(value, first_known("_own", "_carry"))
+        .drop("_own", "_row", "_block", "_carry")
+    )
+
+
 def reset_sum(value: str, keys: Sequence[str], order: Sequence[str]) -> tuple[Column, Column]:
     """(island, running sum) expressions; use through :func:`with_reset_sum`."""
     rows = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -16,6 +17,7 @@ from dockflow.schemas import CENTRES, DAY_SLOTS
 
 K = 4
 SEED = 3482
+ROUNDS = 200  # at most; a fit ends when no centre moves
 
 
 def column_spread(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -71,21 +73,59 @@ def total_spread_long(long: DataFrame) -> DataFrame:
     return per.agg(((F.max("n") - 1) * F.sum("v")).alias("wss")).select(F.lit(1).alias("k"), "wss")
 
 
+def kmeans(k: int, seed: int = SEED) -> KMeans:
+    return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster")
+
+
 def fit_kmeans(points: DataFrame, k: int = K, seed: int = SEED) -> KMeansModel:
-    """Fits on cached points: the fit reads its input more than once."""
+    """Fits on cached points until no centre moves: the fit reads its input more
+    than once, and each centre ends as the mean of its rows."""
     used = points.select("features").persist()
     try:
-        return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(used)
+        return kmeans(k, seed).setMaxIter(ROUNDS).setTol(0.0).fit(used)
     finally:
         used.unpersist()
 
 
+def fit_facts(assigned: DataFrame, centres: Sequence[Sequence[float]], near: float = 1e-9) -> DataFrame:
+    """What a k-means fit must satisfy, recomputed from the published centres.
+
+    ``assigned``: features and cluster of every row.  One row: ``rows``, ``groups``
+    (with a row), ``misplaced`` (rows to which another centre is nearer),
+    ``shifted`` (centres that are not the mean of their rows), ``within`` (sum of
+    squared distances to the own centre) and ``between`` (of the rows' centres to
+    the mean of all).  A right fit has no row misplaced and no centre shifted, and
+    within + between is the total spread.  The centres are k x dims numbers.
+    """
+    listed = F.array(*[F.array(*[F.lit(float(x)) for x in centre]) for centre in centres])
+    square = lambda a, b: F.aggregate(
+        F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x
+    )
+    rows = assigned.select(vector_to_array("features").alias("_x"), F.col("cluster").alias("_c"), listed.alias("_centres"))
+    rows = rows.withColumn("_d", F.transform("_centres", lambda c: square(F.col("_x"), c)))
+    own = F.get("_d", F.col("_c"))
+    per = rows.groupBy("_c").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.coalesce((own > F.array_min("_d") + near * (1 + own)).cast("long"), F.lit(1))).alias("misplaced"),
+        F.sum(own).alias("within"),
+        F.array(*[F.avg(F.get("_x", F.lit(i))) for i in range(len(centres[0]))]).alias("mean"),
+    )
+    whole = per.agg(
+        F.sum("n").alias("rows"), F.count(F.lit(1)).alias("groups"), F.sum("misplaced").alias("misplaced"), F.sum("within").alias("within"),
+        F.array(*[F.sum(F.col("n") * F.get("mean", F.lit(i))) / F.sum("n") for i in range(len(centres[0]))]).alias("_mean"),
+        F.collect_list(F.struct("_c", "n", "mean")).alias("_groups"),  # k of them
+    )
+    centre = lambda g: F.get(listed, g["_c"])
+    off = F.filter("_groups", lambda g: F.coalesce(square(g["mean"], centre(g)) > near * (1 + square(g["mean"], F.col("_mean"))), F.lit(True)))
+    between = F.aggregate("_groups", F.lit(0.0), lambda s, g: s + g["n"] * square(centre(g), F.col("_mean")))
+    return whole.select("rows", "groups", "misplaced", F.size(off).cast("long").alias("shifted"), "within", between.alias("between"))
+
+
 def elbow(points: DataFrame, ks: Sequence[int], seed: int = SEED) -> list[tuple[int, float]]:
     """(k, within-cluster sum of squares); the points are cached for the fits."""
     cached = points.select("features").persist()
-    kmeans = KMeans(seed=seed, featuresCol="features", predictionCol="cluster")
     try:
-        return [(k, float(kmeans.setK(k).fit(cached).summary.trainingCost)) for k in ks]
+        return [(k, float(kmeans(k, seed).fit(cached).summary.trainingCost)) for k in ks]
     finally:
         cached.unpersist()
 
@@ -111,18 +151,19 @@ def profile_points(
         chosen = profiles.on_weekdays(chosen, weekdays)
     if top is not None:
         chosen = explore.rows_of(chosen, explore.top_by_activity(panel, top, "number"), "number")
-    return profiles.vectors(profiles.filled(chosen))
+    return profiles.vectors(profiles.filled_days(chosen))
 
 
-def centres_frame(spark: SparkSession, model: KMeansModel) -> DataFrame:
+def centres_frame(spark: SparkSession, model: KMeansModel, slots: Sequence[int] = tuple(DAY_SLOTS)) -> DataFrame:
     """Centres of a profile model: cluster (from 1), slot, available_stands.
 
+    ``slots`` names the slots of the fitted vectors, if some are missing in all rows.
     k x 144 numbers: model parameters, already on the driver.
     """
     rows = [
         (i + 1, slot, float(x))
         for i, centre in enumerate(model.clusterCenters())
-        for slot, x in zip(DAY_SLOTS, centre)
+        for slot, x in zip(slots, centre, strict=True)
     ]
     return spark.createDataFrame(rows, CENTRES)
 

@@ -219,3 +219,17 @@ def slot_dimension(panel: DataFrame) -> DataFrame:
     """The time-of-day texts present, with their order and full-hour label."""
     label = F.when(cal.minute_of(F.col("slot")) == 0, cal.hour_label(F.col("time")))
     return panel.select("time", "slot").distinct().withColumn("label", label)
+
+
+def ordered_weekdays(panel: DataFrame) -> DataFrame:
+    """Activity by weekday and season with their places in the ordered categories."""
+    season = cal.season(F.col("date"))
+    per = panel.groupBy("weekday", season.alias("season")).agg(F.sum(activity()).alias("tot_act"))
+    return per.withColumns({"weekday_place": cal.weekday_ord(F.col("weekday")), "season_place": cal.season_ord(F.col("season"))})
+
+
+def between_times(panel: DataFrame, begin: str, end: str) -> DataFrame:
+    """Rows whose time of day, read from its text, lies in [begin, end)."""
+    at = cal.slot_of_text(F.col("time"))
+    ends = [cal.slot_of_text(F.lit(t)) for t in (begin, end)]
+    return panel.where((at >= ends[0]) & (at < ends[1]))

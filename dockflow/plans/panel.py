@@ -3,11 +3,14 @@
 ``snapshots``: number, name, address, bike_stands, available_bike_stands,
 last_update (TIMESTAMP_NTZ) and any tiebreak columns.
 
-Skew: after ``dedupe`` a station holds at most a handful of rows per
-millisecond, so (station, 10-minute slot) is a bounded window partition however
-many rows the station has in all.  The change into a slot comes from the slot
-before; it is added on the rolled-up rows, of which a station has at most 144 a
-day.
+One exchange of raw rows: each station's 10-minute slot becomes one row with its
+snapshots as a sorted array.  Copies collapse in the map side, where the arrays
+begin as sets, and again where the sets meet.
+
+Skew: without copies a station holds at most a handful of rows per millisecond,
+so a slot is bounded however many rows the station has in all.  The change into a
+slot comes from the slot before; it is added on the rolled-up rows, of which a
+station has at most 144 a day.
 """
 
 from __future__ import annotations
@@ -56,6 +59,49 @@ def hour_order(hour: Column, order: str) -> Column:
     raise ValueError(f"unknown order {order!r}")
 
 
+SLOT = ("number", "date", "slot")
+
+
+def slots(snapshots: DataFrame, tiebreak: Sequence[str] = TIEBREAK, distinct: bool = True) -> DataFrame:
+    """One row per station, date and slot with its snapshots (``rows``) in order."""
+    rows, _ = quarantine(with_slot(snapshots))
+    # stated here, not left to be inferred from a join: plans that read the
+    # slots twice then have equal filters and share the shuffle
+    rows = rows.where(F.col("date").isNotNull() & F.col("slot").isNotNull())
+    first = ["last_update", *tiebreak]
+    row = F.struct(*first, *[c for c in snapshots.columns if c not in (*first, "number")])
+    held = F.collect_set(row) if distinct else F.collect_list(row)
+    return rows.groupBy(*SLOT).agg(F.sort_array(held).alias("rows"))
+
+
+def inside(slotted: DataFrame) -> DataFrame:
+    """The snapshots again, with ``seat`` (place in the slot), ``change`` (since the
+    one before in the slot; NULL for the first) and the slot's ``closing`` stock."""
+    element = slotted.schema["rows"].dataType.elementType.names
+    stock = "available_bike_stands"
+
+    def row(x: Column, i: Column) -> Column:
+        change = x[stock] - F.get("rows", i - 1)[stock]
+        return F.struct(*[x[c].alias(c) for c in element], (i + 1).alias("seat"), change.alias("change"))
+
+    closing = F.element_at("rows", -1)[stock].alias("closing")
+    return slotted.select(*SLOT, closing, F.inline(F.transform("rows", row)))
+
+
+def station_order(order: str) -> list[Column]:
+    """Rolled-up rows of a station; the row that holds a slot's opening snapshot
+    comes first within the slot."""
+    hour = hour_order(cal.hour_of(F.col("slot")), order)
+    return [F.col("date"), hour, F.col("slot"), F.col("opening").isNull(), F.col("name"), F.col("address")]
+
+
+def entry(order: str) -> Column:
+    """The change into a slot, on the row that holds its opening snapshot: the
+    opening against the closing stock of the slot before."""
+    station = W.partitionBy("number").orderBy(*station_order(order))
+    return F.coalesce(F.col("opening") - F.lag("closing").over(station), F.lit(0))
+
+
 def activity_panel(
     snapshots: DataFrame,
     order: str = CHRONOLOGICAL,
@@ -63,39 +109,18 @@ def activity_panel(
     distinct: bool = True,
 ) -> DataFrame:
     """One row per station name, address, date and 10-minute slot."""
-    rows = with_slot(dedupe(snapshots) if distinct else snapshots)
-    rows, _ = quarantine(rows)
-    stock = F.col("available_bike_stands")
-    slot_rows = W.partitionBy("number", "date", "slot").orderBy("last_update", *tiebreak)
-    whole = slot_rows.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-
-    # inside the slot; the first row of the slot has no change yet
-    changed = rows.withColumns(
-        {
-            "_seat": F.row_number().over(slot_rows),
-            "_change": stock - F.lag(stock).over(slot_rows),
-            "_closing": F.last(stock).over(whole),
-        }
-    )
-    change = F.col("_change")
-    rolled = changed.groupBy("number", "name", "address", "date", "slot").agg(
+    rows = inside(slots(snapshots, tiebreak, distinct))
+    change, stock = F.col("change"), F.col("available_bike_stands")
+    rolled = rows.groupBy("number", "name", "address", "date", "slot").agg(
         F.min("bike_stands").alias("bike_stands"),
-        F.coalesce(F.sum(change), F.lit(0)).alias("_diff"),
+        F.coalesce(F.sum("change"), F.lit(0)).alias("_diff"),
         F.sum(check_in(change)).alias("_in"),
         F.sum(check_out(change)).alias("_out"),
-        F.max_by(stock, F.col("_seat")).alias("available_stands"),
-        F.max(F.when(F.col("_seat") == 1, stock)).alias("_opening"),
-        F.max("_closing").alias("_closing"),
-    )
-
-    # into the slot: previous slot's closing stock against this opening stock;
-    # the row that holds the opening snapshot comes first within its slot
-    hour = hour_order(cal.hour_of(F.col("slot")), order)
-    station = W.partitionBy("number").orderBy(
-        "date", hour, "slot", F.col("_opening").isNull(), "name", "address"
+        F.max_by(stock, "seat").alias("available_stands"),
+        F.max(F.when(F.col("seat") == 1, stock)).alias("opening"),
+        F.max("closing").alias("closing"),
     )
-    entry = F.coalesce(F.col("_opening") - F.lag("_closing").over(station), F.lit(0))
-    return rolled.withColumn("_entry", entry).select(
+    return rolled.withColumn("_entry", entry(order)).select(
         "number",
         "name",
         "address",
@@ -119,42 +144,30 @@ def snapshot_changes(
 ) -> DataFrame:
     """Every snapshot with its change, check-in, check-out and the station's first time.
 
-    ``seat`` is its place within the station's hour.
-    Rows are windowed per (station, hour), bounded after dedupe; the stock
-    carried into an hour comes from a table of at most 24 rows per station and
-    day.  Both inputs read one shuffle of the deduplicated rows.
+    ``seat`` is its place within the station's slot.  The stock carried into a slot
+    comes from a table of at most 144 rows per station and day, joined on the keys
+    by which the slots already lie.
     """
-    rows = with_slot(dedupe(snapshots) if distinct else snapshots)
-    rows, _ = quarantine(rows)
-    # stated here, not left to be inferred from the join below: both inputs then
-    # scan with equal filters and share the shuffle of the deduplicated rows
-    known = F.col("date").isNotNull() & F.col("hour").isNotNull()
-    rows = rows.withColumn("hour", F.hour("last_update")).where(known)
-    bucket = ["number", "date", "hour"]
-    stock, moment = F.col("available_bike_stands"), F.struct("last_update", *tiebreak)
-    inside = W.partitionBy(*bucket).orderBy("last_update", *tiebreak)
-    within = rows.withColumns(
-        {"_prev": F.lag(stock).over(inside), "seat": F.row_number().over(inside)}
-    )
-
+    slotted = slots(snapshots, tiebreak, distinct)
     station = W.partitionBy("number")
-    previous = station.orderBy("date", hour_order(F.col("hour"), order))
-    carried = (
-        rows.groupBy(*bucket)
-        .agg(F.max_by(stock, moment).alias("_closing"), F.min("last_update").alias("_first"))
-        .select(
-            *bucket,
-            F.lag("_closing").over(previous).alias("_carried"),
-            F.min("_first").over(station).alias("first_update"),
-        )
-    )
-    change = F.coalesce(stock - F.coalesce("_prev", "_carried"), F.lit(0)).cast("bigint")
+    edge = lambda i, c: F.element_at("rows", i)[c]
+    hour = hour_order(cal.hour_of(F.col("slot")), order)
+    carried = slotted.select(
+        *SLOT, edge(1, "last_update").alias("_first"), edge(1, "available_bike_stands").alias("_opening"),
+        edge(-1, "available_bike_stands").alias("_closing"),
+    ).select(
+        *SLOT,
+        (F.col("_opening") - F.lag("_closing").over(station.orderBy("date", hour, "slot"))).alias("_entry"),
+        F.min("_first").over(station).alias("first_update"),
+    )
+    change = F.coalesce("change", "_entry", F.lit(0)).cast("bigint")
     return (
-        within.join(carried, bucket)
+        inside(slotted)
+        .join(carried, list(SLOT))
         .withColumn("prev_period_diff", change)
         .withColumn("check_in", check_in(F.col("prev_period_diff")))
         .withColumn("check_out", check_out(F.col("prev_period_diff")))
-        .drop("_prev", "_carried")
+        .drop("change", "closing", "_entry")
     )
 
 

@@ -1,7 +1,8 @@
-"""Daily station profiles: long grid, gap fill, wide form, vectors.
+"""Daily station profiles: gap fill, wide form, vectors.
 
-The long form (number, date, slot, available_stands) is the working form; 144
-columns appear only where a caller asks for the wide table.
+The working form is one row per station and date with an array of the 144 slots'
+free docks (``stands``, NULL where a slot is missing).  The long form (number,
+date, slot, available_stands) and 144 columns appear only where a caller asks.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dockflow.operators.series import fill_across, fill_within
+from dockflow.operators.series import fill_arrays_across, fill_arrays_within
 from dockflow.schemas import DAY_SLOTS
 
 WEEKDAY_SET = ("Mon", "Tue", "Wed", "Thu")
@@ -44,20 +45,41 @@ def cells(panel: DataFrame) -> DataFrame:
     )
 
 
-def grid(panel: DataFrame) -> DataFrame:
-    """Cells plus a NULL cell for every slot a station's day lacks."""
-    known = cells(panel)
-    slots = F.array(*[F.lit(s) for s in DAY_SLOTS])
-    days = known.select("number", "date").distinct()
-    return days.withColumn("slot", F.explode(slots)).join(known, ["number", "date", "slot"], "left")
+def days(panel: DataFrame) -> DataFrame:
+    """number, date, stands: the cells of a day as an array over all slots."""
+    cell = F.collect_list(F.struct("slot", "available_stands"))
+    rows = panel.groupBy("number", "date").agg(cell.alias("_cells"))
+    slots_ = F.transform("_cells", lambda c: c["slot"])
+    repeated = F.size(F.array_distinct(slots_)) < F.size(slots_)
+    known = F.map_from_entries(
+        F.when(repeated, F.raise_error(F.lit(REPEATED)).cast(rows.schema["_cells"].dataType)).otherwise(F.col("_cells"))
+    )
+    rows = rows.withColumn("_cells", known)
+    stands = F.transform(F.array(*map(F.lit, DAY_SLOTS)), lambda slot: F.try_element_at("_cells", slot))
+    return rows.select("number", "date", stands.alias("stands"))
+
+
+def filled_days(panel: DataFrame, across_stations: bool = True) -> DataFrame:
+    """Days without gaps; by default the fill runs on from station to station."""
+    fill = fill_arrays_across if across_stations else fill_arrays_within
+    return fill(days(panel), "stands", len(DAY_SLOTS), "number", "date")
+
+
+def long_of(daily: DataFrame) -> DataFrame:
+    """number, date, slot, available_stands: a row per slot, missing ones too."""
+    cells_ = F.arrays_zip(F.array(*map(F.lit, DAY_SLOTS)).alias("slot"), F.col("stands").alias("available_stands"))
+    cell = lambda c: F.struct(c["slot"].alias("slot"), c["available_stands"].alias("available_stands"))
+    return daily.select("number", "date", F.inline(F.transform(cells_, cell)))
 
 
 def filled(panel: DataFrame, across_stations: bool = True) -> DataFrame:
-    """Grid without gaps; by default the fill runs on from station to station."""
-    full = grid(panel)
-    if across_stations:
-        return fill_across(full, "available_stands", "slot", "number", "date")
-    return fill_within(full, "available_stands", ["slot", "number"], "date")
+    """The gap-filled profiles in long form."""
+    return long_of(filled_days(panel, across_stations))
+
+
+def wide_of(daily: DataFrame) -> DataFrame:
+    """One row per station and date, one column per slot."""
+    return daily.select("number", "date", *[F.get("stands", F.lit(i)).alias(slot_column(s)) for i, s in enumerate(DAY_SLOTS)])
 
 
 def slot_column(slot: int) -> str:
@@ -77,14 +99,14 @@ def long_from_wide(table: DataFrame, slots: Sequence[int] = tuple(DAY_SLOTS)) ->
     return melted.withColumn("time", F.translate("time", "_", ":"))
 
 
-def vectors(long: DataFrame) -> DataFrame:
+def vectors(daily: DataFrame) -> DataFrame:
     """One ML vector per station and date, slots in order.
 
-    A column that is empty in all rows has no value to fill; such slots are 0.
+    A slot that no station ever has stays NULL in every row of a fill across
+    stations; it has no value to compare and is left out.
     """
-    pairs = F.array_sort(F.collect_list(F.struct("slot", "available_stands")))
-    values = F.transform(pairs, lambda p: F.coalesce(p["available_stands"].cast("double"), F.lit(0.0)))
-    return long.groupBy("number", "date").agg(array_to_vector(values).alias("features"))
+    known = F.filter("stands", lambda x: x.isNotNull())
+    return daily.select("number", "date", array_to_vector(F.transform(known, lambda x: x.cast("double"))).alias("features"))
 
 
 def station_profile(panel: DataFrame) -> DataFrame:

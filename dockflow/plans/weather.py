@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from dockflow.operators.ranking import exact_quantiles
 
 MEASURES = ("rain", "temp", "wetb", "dewpt", "vappr", "rhum", "msl")
-INDICATORS = ("ind", "ind_1", "ind_2")
+# of files with every element; 999 stands for no cloud ceiling
+FURTHER = ("wdsp", "wddir", "ww", "w", "sun", "vis", "clht", "clamt")
+NO_CEILING = 999
+INDICATORS = ("ind", "ind_1", "ind_2", "ind_3", "ind_4")
 
 
 def flagged(weather: DataFrame) -> DataFrame:
@@ -41,6 +44,11 @@ def clean(weather: DataFrame) -> DataFrame:
     )
 
 
+def without_ceiling_code(weather: DataFrame) -> DataFrame:
+    """The code for no cloud ceiling is no height."""
+    return weather.withColumn("clht", F.when(F.col("clht") != NO_CEILING, F.col("clht")))
+
+
 def daily_rain(cleaned: DataFrame) -> DataFrame:
     return cleaned.groupBy("year", "month", "day").agg(F.avg("rain").alias("rain"))
 

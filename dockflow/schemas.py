@@ -64,5 +64,23 @@ WEATHER_CSV = _schema(
     msl=T.DoubleType(),
 )
 
+# The elements that follow in files with all of the code book.  Wind
+# speed and direction have an indicator each; the weather codes ww and w do not.
+WEATHER_EVERY_CSV = T.StructType(
+    WEATHER_CSV.fields
+    + _schema(
+        ind_3=T.IntegerType(),
+        wdsp=T.DoubleType(),
+        ind_4=T.IntegerType(),
+        wddir=T.DoubleType(),
+        ww=T.IntegerType(),
+        w=T.IntegerType(),
+        sun=T.DoubleType(),
+        vis=T.DoubleType(),
+        clht=T.DoubleType(),
+        clamt=T.IntegerType(),
+    ).fields
+)
+
 CLUSTERS = _schema(number=T.IntegerType(), name=T.StringType(), cluster=T.StringType())
 CENTRES = _schema(cluster=T.IntegerType(), slot=T.IntegerType(), available_stands=T.DoubleType())

@@ -39,6 +39,8 @@ QUERIES = {
     "hourly_mean_sd": lambda s, d: plain(explore.hourly_spread(fx.panel(s, d), fx.STATION)),
     "slot_variability": lambda s, d: plain(explore.slot_variability(fx.panel(s, d))),
     "slot_variability_top_per_station": lambda s, d: plain(explore.most_variable_slots(fx.panel(s, d))),
+    "ordered_weekdays": lambda s, d: plain(explore.ordered_weekdays(fx.panel(s, d))),
+    "between_times": lambda s, d: plain(explore.between_times(fx.panel(s, d), "7:20", "10:00:00")),
     "monday_by_hour": lambda s, d: plain(explore.weekday_profile(fx.panel(s, d), "Mon", "hour")),
     "monday_by_slot": lambda s, d: plain(explore.weekday_profile(fx.panel(s, d), "Mon", "slot")),
     "pair_curve": lambda s, d: plain(explore.compare_stations(fx.panel(s, d), fx.PAIR, False)),
@@ -164,6 +166,14 @@ SQL = {
         f"SELECT {VARIABILITY_OUT} FROM (SELECT *, rank() OVER (PARTITION BY number, name ORDER BY sd_in DESC) AS rk "
         "FROM vari WHERE slot // 60 >= 5 AND sd_in IS NOT NULL) WHERE rk <= 10",
     ),
+    "ordered_weekdays": select(
+        [fx.PANEL],
+        "SELECT weekday, season, CAST(sum(check_in + check_out) AS BIGINT) AS tot_act, CAST(isodow AS BIGINT) - 1 AS weekday_place, "
+        "CAST(list_position(['Winter', 'Spring', 'Summer', 'Autumn'], season) AS BIGINT) - 1 AS season_place FROM ("
+        "SELECT *, isodow(date) AS isodow, CASE WHEN month(date) IN (11, 12, 1) THEN 'Winter' WHEN month(date) IN (2, 3, 4) THEN 'Spring' "
+        "WHEN month(date) IN (5, 6, 7) THEN 'Summer' ELSE 'Autumn' END AS season FROM panel) GROUP BY weekday, season, isodow",
+    ),
+    "between_times": select([fx.PANEL], f"SELECT {fx.PANEL_OUT} FROM panel WHERE slot >= 440 AND slot < 600"),
     "monday_by_hour": _profile("hour", "slot // 60"),
     "monday_by_slot": _profile("slot", "slot"),
     "pair_curve": select(

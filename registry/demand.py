@@ -58,6 +58,30 @@ def _forest_facts(s, d):
     )
 
 
+def _forest_skill(s, d):
+    """The forest against two plain predictors on the same test rows: the station's
+    mean of the training rows, and the previous half hour.  The given stock is
+    random, so no predictor gets under the mean by much; a constant would not lose
+    by a shuffled predictor, and would not vary."""
+    model, test = _fit(s, d)
+    rows = forecast.complete_rows(test)
+    known = forecast.complete_rows(forecast.time_split(features(s, d), fx.WEEK[0]).where(F.col("split") == "train"))
+    means = known.groupBy("number").agg(F.avg("av_bikes").alias("mean"))
+    scored = model.transform(rows.join(means, "number"))
+    square = lambda name: F.sqrt(F.avg((F.col(name) - F.col("av_bikes")) ** 2))
+    found = scored.agg(
+        F.count(F.lit(1)).alias("rows"), square("mean").alias("rmse_mean"), square("prev_bike_num").alias("rmse_previous"), square("pred").alias("_forest"), F.count_distinct(F.round("pred", 3)).alias("_values")
+    )
+    rises = forecast.permutation_importance(model, rows)
+    rise = rises.agg(F.max(F.when(F.col("feature") == "prev_bike_num", F.col("increase"))).alias("_rise"))
+    found = found.crossJoin(rise)  # one row each
+    return found.select(
+        "rows", F.round("rmse_mean", 6).alias("rmse_mean"), F.round("rmse_previous", 6).alias("rmse_previous"),
+        (F.col("_forest") < 1.1 * F.col("rmse_mean")).alias("near_mean"), (F.col("_forest") < F.col("rmse_previous")).alias("beats_previous"),
+        (F.col("_rise") > 0).alias("previous_matters"), (F.col("_values") > F.col("rows") / 2).alias("varies"),
+    )
+
+
 def _importance_facts(s, d):
     """Seven features whose shares are not negative and add up to one."""
     model, _ = _fit(s, d)
@@ -152,6 +176,7 @@ QUERIES = {
     "rf_forecast": _forest,
     "rf_forecast_facts": _forest_facts,
     "rf_importance_facts": _importance_facts,
+    "rf_forecast_skill": _forest_skill,
     "model_roundtrip_facts": _reload_facts,
     "rf_importance": _importance,
     "rf_permutation_importance": _permutation,
@@ -285,6 +310,14 @@ curves AS (SELECT number, address, time, avg(av_bikes) AS bikes, avg(round_even(
         "prev_bike_num IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL AS has_pred, true AS in_range "
         "FROM half WHERE date >= DATE '2024-01-15'",
     ),
+    "rf_forecast_skill": select(
+        [*FEATURES, """
+known AS (SELECT * FROM half WHERE prev_bike_num IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL AND av_bikes IS NOT NULL),
+means AS (SELECT number, avg(av_bikes) AS mean FROM known WHERE date < DATE '2024-01-15' GROUP BY number)"""],
+        "SELECT count(*) AS rows, round(sqrt(avg(pow(mean - av_bikes, 2))), 6) AS rmse_mean, "
+        "round(sqrt(avg(pow(prev_bike_num - av_bikes, 2))), 6) AS rmse_previous, true AS near_mean, true AS beats_previous, "
+        "true AS previous_matters, true AS varies FROM known JOIN means ON known.number = means.number WHERE date >= DATE '2024-01-15'",
+    ),
     "rf_importance_facts": "SELECT 7::BIGINT AS features, 1.0::DOUBLE AS total, true AS no_negative",
     "model_roundtrip_facts": select(
         FEATURES,

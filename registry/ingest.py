@@ -35,6 +35,50 @@ def json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return plain(back)
 
 
+def json_arrays(spark: SparkSession, sf: str) -> DataFrame:
+    """One file per hour, each an array of station objects with a nested position."""
+    path = shared_dir(spark)
+    position = F.struct((F.lit(53.3) + F.col("number") * 0.002).alias("lat"), (F.lit(-6.3) + F.col("number") * 0.003).alias("lng"))
+    poll = F.floor(F.col("last_update") / 3_600_000)
+    stations = F.collect_list(F.struct(*FILE_COLUMNS, position.alias("position")))
+    arrays = raw_rows(spark, sf).groupBy(poll).agg(F.to_json(stations).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return plain(readers.snapshots_json(spark, path))
+
+
+FAULTY = 100  # events under this id make the dump that is left out
+
+
+def csv_without_first(spark: SparkSession, sf: str) -> DataFrame:
+    """Two dumps; the first by name is left out."""
+    path = shared_dir(spark)
+    rows = raw_rows(spark, sf)
+    for name, part in (("dump0", rows.where(F.col("event_id") < FAULTY).coalesce(1)), ("dump1", rows.where(F.col("event_id") >= FAULTY))):
+        part.select(*FILE_COLUMNS).write.option("header", True).csv(f"{path}/{name}")
+    return plain(readers.snapshots_csv(spark, f"{path}/*", skip_first=True))
+
+
+def csv_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """Every 50th line holds a word where a number belongs; such lines are told
+    apart, the others read as they are."""
+    path = shared_dir(spark)
+    stock = F.when(F.col("event_id") % 50 == 0, F.concat(F.lit("none"), F.col("event_id").cast("string")))
+    rows = raw_rows(spark, sf).withColumn("available_bike_stands", F.coalesce(stock, F.col("available_bike_stands").cast("string")))
+    rows.select(*FILE_COLUMNS).write.option("header", True).csv(path)
+    good, bad = readers.split_corrupt(readers.snapshots_csv(spark, path, keep_corrupt=True))
+    word = F.regexp_extract("record", "none[0-9]+", 0).alias("word")
+    counted = good.groupBy("number").agg(F.count(F.lit(1)).alias("rows"), F.sum("available_bike_stands").alias("stock"))
+    listed = bad.groupBy(word).agg(F.count(F.lit(1)).alias("rows"))
+    return plain(counted.select("number", F.lit("").alias("word"), "rows", "stock").unionByName(
+        listed.select(F.lit(None).cast("int").alias("number"), "word", "rows", F.lit(None).cast("bigint").alias("stock"))))
+
+
+def station_file(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_dir(spark)
+    fx.stations(spark, sf).toDF("Number", "Name", "Address", "Latitude", "Longitude").write.option("header", True).csv(path)
+    return plain(readers.stations(spark, path))
+
+
 def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_dir(spark)
     raw_rows(spark, sf).select(*FILE_COLUMNS).write.option("header", True).csv(path)
@@ -62,6 +106,10 @@ def queue_order_changes(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "source_json_roundtrip": json_roundtrip,
     "source_csv_roundtrip": csv_roundtrip,
+    "source_json_arrays": json_arrays,
+    "source_csv_without_first": csv_without_first,
+    "source_csv_quarantine": csv_quarantine,
+    "source_stations": station_file,
     "stage_table_roundtrip": stage_roundtrip,
     "dedupe_snapshots": lambda s, d: plain(panels.dedupe(fx.snapshots(s, d))),
     "duplicate_rows": lambda s, d: plain(
@@ -118,6 +166,24 @@ SQL = {
         "round(CAST(-6.3 AS DOUBLE) + number * CAST(0.003 AS DOUBLE) + 1.3e-9, 6) + 0.0 AS position_lng FROM files",
     ),
     "source_csv_roundtrip": select([fx.SNAP, FILE_MILLIS], f"SELECT {FILE_OUT} FROM files"),
+    "source_json_arrays": select(
+        [fx.SNAP, FILE_MILLIS],
+        f"SELECT {FILE_OUT}, round(CAST(53.3 AS DOUBLE) + number * CAST(0.002 AS DOUBLE) + 1.3e-9, 6) + 0.0 AS position_lat, "
+        "round(CAST(-6.3 AS DOUBLE) + number * CAST(0.003 AS DOUBLE) + 1.3e-9, 6) + 0.0 AS position_lng FROM files",
+    ),
+    "source_csv_without_first": select(
+        [fx.SNAP, f"late AS (SELECT * FROM snap WHERE event_id >= {FAULTY})", FILE_MILLIS.replace("FROM snap", "FROM late")],
+        f"SELECT {FILE_OUT} FROM files",
+    ),
+    "source_csv_quarantine": select(
+        [fx.SNAP],
+        "SELECT CAST(number AS BIGINT) AS number, '' AS word, count(*) AS rows, CAST(sum(available_bike_stands) AS BIGINT) AS stock "
+        "FROM snap WHERE event_id % 50 <> 0 GROUP BY number UNION ALL "
+        "SELECT NULL, concat('none', CAST(event_id AS VARCHAR)), count(*), NULL FROM snap WHERE event_id % 50 = 0 GROUP BY event_id",
+    ),
+    "source_stations": select(
+        [fx.GEO], "SELECT CAST(number AS BIGINT) AS number, name, address, " + fx.reals("latitude", "longitude") + " FROM geo"
+    ),
     "stage_table_roundtrip": select(
         [fx.PANEL],
         "SELECT CAST(number AS BIGINT) AS number, count(*) AS rows, CAST(sum(check_in) AS BIGINT) AS check_in, "

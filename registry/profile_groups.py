@@ -86,8 +86,63 @@ def _kmeans_facts(s, d):
     return out
 
 
+def _series(s, d):
+    """The fits: name, points and the numbers of groups of the cost curve."""
+    rows = current(s, d)
+    subsets = {
+        "profiles": {}, "weekdays": {"weekdays": profiles.WEEKDAY_SET}, "weekend": {"weekdays": profiles.WEEKEND_SET},
+        "top10": {"top": 10}, "bottom10": {"top": -10},
+    }
+    for name, subset in subsets.items():
+        yield name, clusters.profile_points(rows, **subset), PROFILE_KS
+    yield "flows", clusters.flow_points(_station(s, d)), FLOW_KS
+
+
+def _union(rows):
+    out = None
+    for row in rows:
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _kmeans_fit_facts(s, d):
+    """All six fits, held against their own published centres: no row has a nearer
+    centre, each centre is the mean of its rows, within + between is the total."""
+
+    def facts():
+        for name, points, _ in _series(s, d):
+            model = clusters.fit_kmeans(points)
+            facts = clusters.fit_facts(model.transform(points), [c.tolist() for c in model.clusterCenters()])
+            total = F.round(F.col("within") + F.col("between"), 3)
+            yield facts.select(F.lit(name).alias("fit"), "rows", "groups", "misplaced", "shifted", total.alias("total"))
+
+    return _union(facts())
+
+
+def ends_of(ks):
+    """First, middle and last of the numbers of groups."""
+    return [ks[0], ks[len(ks) // 2], ks[-1]]
+
+
+def _elbow_fit_facts(s, d):
+    """All six cost curves, at both ends and in the middle: each cost is the within
+    sum recomputed from the centres, and lies under the total."""
+
+    def facts():
+        for name, points, ks in _series(s, d):
+            cached = points.select("features").persist()
+            for k in ends_of(ks):
+                model = clusters.kmeans(k).fit(cached)
+                facts = clusters.fit_facts(model.transform(cached), [c.tolist() for c in model.clusterCenters()]).first()
+                total, cost = facts["within"] + facts["between"], model.summary.trainingCost
+                yield name, k, facts["misplaced"], abs(cost - facts["within"]) <= 1e-6 * total, cost < total
+            cached.unpersist()
+
+    return s.createDataFrame(list(facts()), "series string, k long, misplaced long, cost_is_within boolean, under_total boolean")
+
+
 QUERIES = {
-    "profile_wide": lambda s, d: plain(profiles.wide(profiles.cells(current(s, d)))),
+    "profile_wide": lambda s, d: plain(profiles.wide_of(profiles.days(current(s, d)))),
     "profile_filled": lambda s, d: plain(profiles.filled(current(s, d))),
     "profile_filled_per_station": lambda s, d: plain(profiles.filled(current(s, d), False)),
     "profile_filled_weekdays": lambda s, d: plain(
@@ -97,10 +152,11 @@ QUERIES = {
         profiles.filled(profiles.on_weekdays(current(s, d), profiles.LEGACY_WEEKDAY_SET))
     ),
     "profile_unpivot": lambda s, d: plain(
-        profiles.long_from_wide(profiles.wide(profiles.cells(current(s, d))))
+        profiles.long_from_wide(profiles.wide_of(profiles.days(current(s, d))))
     ),
     "station_profile": lambda s, d: plain(profiles.station_profile(current(s, d))),
     "column_spread": lambda s, d: plain(clusters.column_spread(_station(s, d), FLOWS)),
+    "scaled_spread": lambda s, d: plain(clusters.column_spread(clusters.range_scaled(_station(s, d), FLOWS), FLOWS)),
     "range_scaled": lambda s, d: plain(
         clusters.range_scaled(_station(s, d), FLOWS).select("date", "slot", *FLOWS)
     ),
@@ -136,6 +192,8 @@ QUERIES = {
     ),
     "elbow_facts": _elbow_facts,
     "kmeans_facts": _kmeans_facts,
+    "kmeans_fit_facts": _kmeans_fit_facts,
+    "elbow_fit_facts": _elbow_fit_facts,
 }
 
 CURRENT = "current AS (SELECT * FROM panel WHERE name <> 'STATION 0 OLD')"
@@ -173,7 +231,40 @@ def _scaled(expr: str) -> str:
     return f"SELECT CAST(date AS VARCHAR) AS date, CAST(slot AS BIGINT) AS slot, {cols} FROM one"
 
 
+TOTALS = f"""
+ranked AS (SELECT number, rank() OVER (ORDER BY act DESC) AS high, rank() OVER (ORDER BY act) AS low
+           FROM (SELECT number, sum(check_in + check_out) AS act FROM current GROUP BY number)),
+sources AS (
+  SELECT 'profiles' AS fit, * FROM current
+  UNION ALL SELECT 'weekdays', * FROM current WHERE weekday IN ('Mon', 'Tue', 'Wed', 'Thu')
+  UNION ALL SELECT 'weekend', * FROM current WHERE weekday IN ('Fri', 'Sat', 'Sun')
+  UNION ALL SELECT 'top10', * FROM current WHERE number IN (SELECT number FROM ranked WHERE high <= 10)
+  UNION ALL SELECT 'bottom10', * FROM current WHERE number IN (SELECT number FROM ranked WHERE low <= 10)),
+days AS (SELECT DISTINCT fit, number, date FROM sources),
+grid AS (SELECT d.fit, d.number, d.date, x.slot, c.available_stands
+         FROM days d CROSS JOIN (SELECT unnest(range(0, 1440, 10)) AS slot) x
+         LEFT JOIN sources c ON c.fit = d.fit AND c.number = d.number AND c.date = d.date AND c.slot = x.slot),
+filled AS (
+  SELECT fit, slot, coalesce(
+    last_value(available_stands IGNORE NULLS) OVER (PARTITION BY fit, slot ORDER BY number, date
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+    first_value(available_stands IGNORE NULLS) OVER (PARTITION BY fit, slot ORDER BY number, date
+      ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS available_stands FROM grid),
+totals AS (
+  SELECT fit, max(n) AS rows, round(sum((n - 1) * v), 3) AS total
+  FROM (SELECT fit, slot, var_samp(available_stands) AS v, count(*) AS n FROM filled GROUP BY fit, slot) GROUP BY fit
+  UNION ALL SELECT 'flows', count(*), round((count(*) - 1) * (var_samp(check_in) + var_samp(check_out)), 3) FROM one)"""
+
 SQL = {
+    "kmeans_fit_facts": select(
+        [fx.PANEL, CURRENT, ONE, TOTALS],
+        f"SELECT fit, rows, CAST({clusters.K} AS BIGINT) AS groups, CAST(0 AS BIGINT) AS misplaced, CAST(0 AS BIGINT) AS shifted, total FROM totals",
+    ),
+    "elbow_fit_facts": select(
+        [fx.PANEL, CURRENT, ONE, TOTALS],
+        "SELECT fit AS series, CAST(k AS BIGINT) AS k, CAST(0 AS BIGINT) AS misplaced, true AS cost_is_within, total > 0 AS under_total FROM ("
+        f"SELECT fit, total, unnest(CASE WHEN fit = 'flows' THEN {ends_of(FLOW_KS)} ELSE {ends_of(PROFILE_KS)} END) AS k FROM totals)",
+    ),
     "profile_wide": select(
         [fx.PANEL, CURRENT],
         f"SELECT CAST(number AS BIGINT) AS number, CAST(date AS VARCHAR) AS date, {WIDE_COLUMNS} FROM current GROUP BY number, date",
@@ -209,6 +300,14 @@ SQL = {
             for c in FLOWS
         ),
     ),
+    "scaled_spread": select(
+        [fx.PANEL, ONE, "scaled AS (SELECT " + ", ".join(f"{c} / CAST((SELECT max({c}) - min({c}) FROM one) AS DOUBLE) AS {c}" for c in FLOWS) + " FROM one)"],
+        " UNION ALL ".join(
+            f"SELECT '{c}' AS variable, round(var_samp({c}) + 1.3e-9, 6) + 0.0 AS variance, "
+            f"round(max({c}) - min({c}) + 1.3e-9, 6) + 0.0 AS range FROM scaled"
+            for c in FLOWS
+        ),
+    ),
     "range_scaled": select([fx.PANEL, ONE], _scaled("{c} / CAST((SELECT max({c}) - min({c}) FROM one) AS DOUBLE)")),
     "zscored": select(
         [fx.PANEL, ONE], _scaled("({c} - (SELECT avg({c}) FROM one)) / (SELECT stddev_samp({c}) FROM one)")

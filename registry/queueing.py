@@ -19,8 +19,7 @@ def _queue(s, d):
 
 
 def _rows(s, d):
-    changes = panels.snapshot_changes(fx.snapshots(s, d), tiebreak=fx.TIEBREAK)
-    return queue.with_interarrival(changes, fx.TIEBREAK)
+    return queue.with_interarrival(fx.snapshots(s, d), tiebreak=fx.TIEBREAK)
 
 
 def _params(s, d):

@@ -55,8 +55,33 @@ def _file(s, d):
     return plain(readers.weather_hourly(s, path))
 
 
+def every_element(spark: SparkSession, sf: str) -> DataFrame:
+    """The hourly rows with the other elements of the code book."""
+    first, user = F.col("msl") - 980, F.col("rhum") - 40
+    return hourly(spark, sf).select(
+        "*",
+        F.lit(0).alias("ind_3"),
+        (user % 31).alias("wdsp"),
+        F.lit(2).alias("ind_4"),
+        (user % 36 * 10).alias("wddir"),
+        (first % 40).cast("int").alias("ww"),
+        (first % 20).cast("int").alias("w"),
+        (user % 10 / 10).alias("sun"),
+        (F.col("vappr") * 10).alias("vis"),
+        F.when(first % 5 == 0, F.lit(float(wx.NO_CEILING))).otherwise(user * 4).alias("clht"),
+        (first % 9).cast("int").alias("clamt"),
+    )
+
+
+def _every_file(s, d):
+    path = shared_dir(s)
+    every_element(s, d).write.option("header", True).csv(path)
+    return plain(wx.without_ceiling_code(readers.weather_hourly(s, path, every_element=True)))
+
+
 QUERIES = {
     "source_weather_roundtrip": _file,
+    "source_weather_every": _every_file,
     "weather_flagged": lambda s, d: plain(wx.flagged(hourly(s, d))),
     "weather_month": lambda s, d: plain(wx.in_month(hourly(s, d), 1)),
     "weather_clean": lambda s, d: plain(wx.clean(hourly(s, d))),
@@ -97,8 +122,19 @@ HOURLY_OUT = (
 )
 PAIRS = [(a, b) for i, a in enumerate(CORRELATED) for b in CORRELATED[i:]]
 
+EVERY = """
+every_element AS (
+  SELECT *, 0 AS ind_3, (rhum - 40) % 31 AS wdsp, 2 AS ind_4, (rhum - 40) % 36 * 10 AS wddir, (msl - 980) % 40 AS ww,
+         (msl - 980) % 20 AS w, (rhum - 40) % 10 / 10 AS sun, vappr * 10 AS vis,
+         CASE WHEN (msl - 980) % 5 <> 0 THEN (rhum - 40) * 4 END AS clht, (msl - 980) % 9 AS clamt FROM hourly)"""
+
 SQL = {
     "source_weather_roundtrip": select([HOURLY], HOURLY_OUT),
+    "source_weather_every": select(
+        [HOURLY, EVERY],
+        HOURLY_OUT.replace(" FROM hourly", ", ") + fx.ints("ind_3", "ind_4", "ww", "w", "clamt") + ", "
+        + reals("wdsp", "wddir", "sun", "vis", "clht") + " FROM every_element",
+    ),
     "weather_flagged": select([HOURLY], HOURLY_OUT + " WHERE ind <> 0"),
     "weather_month": select([HOURLY], HOURLY_OUT + " WHERE month(date) = 1"),
     "weather_clean": select(

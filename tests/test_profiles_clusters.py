@@ -77,6 +77,42 @@ def test_elbow_falls_and_starts_at_the_total(panel):
     assert k1 > costs[2] > costs[3]
 
 
+def test_days_hold_an_array_over_all_slots(spark, panel):
+    df = spark.createDataFrame([cell(1, 0, 0, 5), cell(1, 0, 620, 7), cell(2, 1, 620, None)], PANEL)
+    rows = {r["number"]: r["stands"] for r in profiles.days(df).collect()}
+    assert len(rows[1]) == len(rows[2]) == 144 and rows[1][0] == 5 and rows[1][62] == 7 and rows[2] == [None] * 144
+    assert profiles.wide_of(profiles.days(df)).columns == profiles.wide(profiles.cells(df)).columns
+    with pytest.raises(Exception, match="two rows"):
+        profiles.days(spark.createDataFrame([cell(1, 0, 0, 5), cell(1, 0, 0, 6, name="OLD")], PANEL)).collect()
+
+
+def test_a_slot_without_any_value_is_left_out(spark):
+    df = spark.createDataFrame([cell(n, d, s, n + s // 10) for n in (1, 2) for d in (0, 1) for s in (0, 10, 700)], PANEL)
+    points = clusters.profile_points(df).collect()
+    assert {tuple(r["features"]) for r in points} == {(n, n + 1.0, n + 70.0) for n in (1, 2)}
+    model = clusters.fit_kmeans(clusters.profile_points(df), k=2)
+    with pytest.raises(ValueError):
+        clusters.centres_frame(spark, model)
+    assert clusters.centres_frame(spark, model, [0, 10, 700]).count() == 6
+
+
+def test_facts_tell_a_right_fit_from_a_wrong_one(spark, panel):
+    points = clusters.profile_points(panel)
+    model = clusters.fit_kmeans(points, k=3)
+    rows, centres = model.transform(points), [c.tolist() for c in model.clusterCenters()]
+    total = clusters.total_spread_long(profiles.filled(panel)).first()["wss"]
+    right = clusters.fit_facts(rows, centres).first()
+    assert (right["rows"], right["groups"], right["misplaced"], right["shifted"]) == (42, 3, 0, 0)
+    assert right["within"] + right["between"] == pytest.approx(total)
+    assert right["within"] == pytest.approx(model.summary.trainingCost)
+    # one group for all, groups dealt at random, and centres that are off
+    assert clusters.fit_facts(rows.withColumn("cluster", F.lit(1)), centres).first()["groups"] == 1
+    dealt = clusters.fit_facts(rows.withColumn("cluster", F.pmod(F.hash("number", "date"), F.lit(3))), centres).first()
+    assert dealt["misplaced"] > 0 and dealt["shifted"] > 0
+    moved = clusters.fit_facts(rows, [[x + 0.3 for x in centres[0]], *centres[1:]]).first()
+    assert moved["shifted"] == 1 and moved["within"] + moved["between"] != pytest.approx(total)
+
+
 def test_subsets(panel):
     busy = panel.withColumn("check_in", F.col("number").cast("bigint"))
     top = clusters.profile_points(busy, top=2).select("number").distinct().collect()

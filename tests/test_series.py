@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from dockflow.operators.series import fill_across, fill_within, with_reset_sum
+from dockflow.operators.series import fill_across, fill_arrays_across, fill_arrays_within, fill_within, with_reset_sum
 
 GRID = "slot int, number int, date date, v int"
 
@@ -50,3 +50,18 @@ def test_running_sum_resets_at_zero(spark):
     df = spark.createDataFrame([(1, i, v) for i, v in enumerate(values)], "k int, o int, v int")
     got = [r["s"] for r in with_reset_sum(df, "v", "s", ["k"], ["o"]).orderBy("o").collect()]
     assert got == [0, 3, 5, 0, 0, 5, 6]
+
+
+@pytest.mark.parametrize("block", [1, 2, 4096])
+def test_arrays_are_filled_as_columns_are(spark, block):
+    r = random.Random(block)
+    days = [(n, d, [r.choice([None, None, r.randrange(9)]) if i else None for i in range(6)]) for n in (1, 2, 3, 7, 9) for d in range(r.randint(1, 6))]
+    r.shuffle(days)
+    arrays = spark.createDataFrame(days, "number int, date int, v array<int>")
+    long = spark.createDataFrame([(i, n, d, x) for n, d, v in days for i, x in enumerate(v)], "slot int, number int, date int, v int")
+    want = {(x["number"], x["date"], x["slot"]): x["v"] for x in fill_across(long, "v", "slot", "number", "date", block).collect()}
+    got = fill_arrays_across(arrays, "v", 6, "number", "date", block).collect()
+    assert {(x["number"], x["date"], i): y for x in got for i, y in enumerate(x["v"])} == want
+    want = {(x["number"], x["date"], x["slot"]): x["v"] for x in fill_within(long, "v", ["slot", "number"], "date").collect()}
+    got = fill_arrays_within(arrays, "v", 6, "number", "date").collect()
+    assert {(x["number"], x["date"], i): y for x in got for i, y in enumerate(x["v"])} == want

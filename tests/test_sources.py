@@ -32,6 +32,40 @@ def test_csv_folder_without_the_first_file(spark, tmp_path):
     assert [r["number"] for r in one.collect()] == [2]
 
 
+def test_lines_that_do_not_fit_are_told_apart(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(HEADER + "1,S,a,40,3,1476403200000\n2,S,a,forty,3,1476403200000\n")
+    (tmp_path / "b.csv").write_text(HEADER + "3,S,a,40,,1476403200000\n")
+    good, bad = readers.split_corrupt(readers.snapshots_csv(spark, str(tmp_path), keep_corrupt=True))
+    assert sorted((r["number"], r["available_bike_stands"]) for r in good.collect()) == [(1, 3), (3, None)]
+    row = bad.collect()
+    assert len(row) == 1 and row[0]["record"].startswith("2,S,a,forty") and row[0]["file"].endswith("a.csv")
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j" / "a.json").write_text(json.dumps([{"number": 1, "bike_stands": 4}]))
+    (tmp_path / "j" / "b.json").write_text("no json at all")
+    good, bad = readers.split_corrupt(readers.snapshots_json(spark, str(tmp_path / "j"), keep_corrupt=True))
+    assert [(r["number"], r["bike_stands"]) for r in good.collect()] == [(1, 4)]
+    assert [(r["file"][-6:], r["record"]) for r in bad.collect()] == [("b.json", "no json at all")]
+
+
+def test_the_first_file_is_found_when_rows_are_read(spark, tmp_path):
+    (tmp_path / "export1.csv").write_text(HEADER + "1,S,a,40,1,1476403200000\n")
+    (tmp_path / "export2.csv").write_text(HEADER + "2,S,a,40,1,1476403200000\n")
+    jobs = lambda: spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    before = len(jobs())
+    rows = readers.snapshots_csv(spark, str(tmp_path), skip_first=True)
+    assert len(jobs()) == before  # nothing has run yet
+    assert [r["number"] for r in rows.collect()] == [2]
+
+
+def test_weather_with_every_element(spark, tmp_path):
+    (tmp_path / "w.csv").write_text(
+        "date,ind,rain,ind,temp,ind,wetb,dewpt,vappr,rhum,msl,ind,wdsp,ind,wddir,ww,w,sun,vis,clht,clamt\n"
+        "2016-10-14 05:00:00,0,0.1,0,9.5,1,8,7,10,80,1012,2,11,2,240,25,82,0.4,30000,999,7\n")
+    r = weather.without_ceiling_code(readers.weather_hourly(spark, str(tmp_path / "w.csv"), every_element=True)).first()
+    assert (r["msl"], r["wdsp"], r["wddir"], r["ww"], r["w"], r["sun"], r["vis"], r["clht"], r["clamt"]) == (
+        1012.0, 11.0, 240.0, 25, 82, 0.4, 30000.0, None, 7)
+
+
 def test_stations(spark, tmp_path):
     path = tmp_path / "geo.csv"
     path.write_text("Number,Name,Address,Latitude,Longitude\n1,A ROW,A Row,53.34,-6.26\n")
