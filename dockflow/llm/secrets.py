@@ -99,7 +99,7 @@ WORDS = reduce(Pattern.__or__, (lit(w, any_case=True) for w in ("password", "pas
 KEY = lit("api", any_case=True) + maybe(lit("_")) + lit("key", any_case=True)
 QUOTE = chars("[\"']?")
 
-ROUNDS = 28  # of running totals: more matches than a text of 2 GB can hold
+BLOCK = 256  # elements of running totals added up one by one
 
 #: All up to the END line; nothing if there is none before the next key begins.
 KEY_BODY = chars("(?:(?:[^-]|-(?!----(?:BEGIN |END [A-Z ]{0,40}PRIVATE KEY-----)))*+-----END [A-Z ]{0,40}PRIVATE KEY-----)?")
@@ -161,20 +161,30 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 def running(values: Column, combine) -> Column:
     """An array of running totals by an associative ``combine``.
 
-    Each round reaches twice as far back, so the work grows with n log n and no
-    array is copied per element; rounds beyond the array's size do nothing.
+    Blocks of ``BLOCK`` elements are added up one by one, the blocks' totals in the
+    same way, and theirs again, so no long array is copied per element.
     """
 
-    def reaching(reach: int):
-        def doubled(a: Column) -> Column:
-            with_earlier = lambda x, i: F.when(i < reach, x).otherwise(combine(x, F.get(a, i - reach)))
-            return F.when(F.size(a) > reach, F.transform(a, with_earlier)).otherwise(a)
+    def short(a: Column) -> Column:
+        step = lambda done, x: F.concat(done, F.array(F.coalesce(combine(F.get(done, F.size(done) - 1), x), x)))
+        return F.aggregate(a, F.slice(a, 1, 0), step)
 
-        return doubled
+    def blocked(a: Column, totals) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.size(a) - 1, F.lit(BLOCK)), lambda at: short(F.slice(a, at + 1, BLOCK)))
 
-    for k in range(ROUNDS):
-        values = once(values, reaching(1 << k))
-    return values
+        def joined(inside: Column) -> Column:
+            tops = F.transform(inside, lambda x: F.get(x, F.size(x) - 1))
+            onto = lambda before: F.transform(
+                inside, lambda x, k: F.when(k == 0, x).otherwise(F.transform(x, lambda y: combine(F.get(before, k - 1), y)))
+            )
+            return F.flatten(once(totals(tops), onto))
+
+        return once(cut, joined)
+
+    def whole(a: Column) -> Column:
+        return F.when(F.size(a) <= BLOCK, short(a)).otherwise(blocked(a, lambda tops: blocked(tops, short)))
+
+    return once(values, whole)
 
 
 def spans_of(text: Column, rule: Rule) -> Column:
