@@ -73,8 +73,8 @@ def _forest_skill(s, d):
         F.count(F.lit(1)).alias("rows"), square("mean").alias("rmse_mean"), square("prev_bike_num").alias("rmse_previous"), square("pred").alias("_forest"), F.count_distinct(F.round("pred", 3)).alias("_values")
     )
     rises = forecast.permutation_importance(model, rows)
-    rise = rises.agg(F.max(F.when(F.col("feature") == "prev_bike_num", F.col("increase"))).alias("_rise"))
-    found = found.crossJoin(rise)  # one row each
+    rise = rises.agg(F.max(F.when(F.col("feature") == "prev_bike_num", F.col("increase")))).scalar()
+    found = found.withColumn("_rise", rise)
     return found.select(
         "rows", F.round("rmse_mean", 6).alias("rmse_mean"), F.round("rmse_previous", 6).alias("rmse_previous"),
         (F.col("_forest") < 1.1 * F.col("rmse_mean")).alias("near_mean"), (F.col("_forest") < F.col("rmse_previous")).alias("beats_previous"),

@@ -98,25 +98,19 @@ def _series(s, d):
     yield "flows", clusters.flow_points(_station(s, d)), FLOW_KS
 
 
-def _union(rows):
-    out = None
-    for row in rows:
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
 def _kmeans_fit_facts(s, d):
     """All six fits, held against their own published centres: no row has a nearer
     centre, each centre is the mean of its rows, within + between is the total."""
 
     def facts():
         for name, points, _ in _series(s, d):
-            model = clusters.fit_kmeans(points)
-            facts = clusters.fit_facts(model.transform(points), [c.tolist() for c in model.clusterCenters()])
-            total = F.round(F.col("within") + F.col("between"), 3)
-            yield facts.select(F.lit(name).alias("fit"), "rows", "groups", "misplaced", "shifted", total.alias("total"))
+            cached = points.select("features").persist()
+            model = clusters.fit_kmeans(cached)
+            row = clusters.fit_facts(model.transform(cached), [c.tolist() for c in model.clusterCenters()]).first()
+            cached.unpersist()
+            yield name, row["rows"], row["groups"], row["misplaced"], row["shifted"], round(row["within"] + row["between"], 3)
 
-    return _union(facts())
+    return s.createDataFrame(list(facts()), "fit string, rows long, groups long, misplaced long, shifted long, total double")
 
 
 def ends_of(ks):
