@@ -48,7 +48,7 @@ def group_stations(
     panel = panels.study_period(read_stage(spark, f"{out}/panel"), *period)
     panel = profiles.without_names(panel, outdated_names)
     model = clusters.fit_kmeans(clusters.profile_points(panel), k, seed)
-    write_stage(clusters.centres_frame(spark, model), f"{out}/centres")
+    write_stage(clusters.centres_frame(spark, model, profiles.present_slots(panel)), f"{out}/centres")
     centres = read_stage(spark, f"{out}/centres")
     write_stage(clusters.nearest_centre(panel, centres), f"{out}/clusters")
     write_cluster_csv(read_stage(spark, f"{out}/clusters"), f"{out}/cluster_csv")

@@ -138,6 +138,16 @@ def flow_points(panel: DataFrame, columns: Sequence[str] = ("check_in", "check_o
     return VectorAssembler(inputCols=list(columns), outputCol="features").transform(panel)
 
 
+def subset(panel: DataFrame, weekdays: Sequence[str] | None = None, top: int | None = None) -> DataFrame:
+    """Rows of some weekdays, and of the most (n) or least (-n) active stations."""
+    chosen = panel
+    if weekdays is not None:
+        chosen = profiles.on_weekdays(chosen, weekdays)
+    if top is not None:
+        chosen = explore.rows_of(chosen, explore.top_by_activity(panel, top, "number"), "number")
+    return chosen
+
+
 def profile_points(
     panel: DataFrame, weekdays: Sequence[str] | None = None, top: int | None = None
 ) -> DataFrame:
@@ -146,12 +156,7 @@ def profile_points(
     ``weekdays`` restricts the days; ``top`` to the most (n) or least (-n)
     active stations.  The gap fill runs after the restriction.
     """
-    chosen = panel
-    if weekdays is not None:
-        chosen = profiles.on_weekdays(chosen, weekdays)
-    if top is not None:
-        chosen = explore.rows_of(chosen, explore.top_by_activity(panel, top, "number"), "number")
-    return profiles.vectors(profiles.filled_days(chosen))
+    return profiles.vectors(profiles.filled_days(subset(panel, weekdays, top)))
 
 
 def centres_frame(spark: SparkSession, model: KMeansModel, slots: Sequence[int] = tuple(DAY_SLOTS)) -> DataFrame:

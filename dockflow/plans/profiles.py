@@ -45,6 +45,12 @@ def cells(panel: DataFrame) -> DataFrame:
     )
 
 
+def present_slots(panel: DataFrame) -> list[int]:
+    """The slots that some row has a value for, in order: those of the vectors."""
+    known = panel.where(F.col("available_stands").isNotNull()).select("slot").distinct()
+    return sorted(r["slot"] for r in known.collect())  # at most 144
+
+
 def days(panel: DataFrame) -> DataFrame:
     """number, date, stands: the cells of a day as an array over all slots."""
     cell = F.collect_list(F.struct("slot", "available_stands"))

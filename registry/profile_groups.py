@@ -32,7 +32,8 @@ def _csv(s, d):
 def _kmeans(s, d, **subset):
     points = clusters.profile_points(current(s, d), **subset)
     model = clusters.fit_kmeans(points)
-    return plain(clusters.centre_curves(clusters.centres_frame(s, model)))
+    slots = profiles.present_slots(clusters.subset(current(s, d), **subset))
+    return plain(clusters.centre_curves(clusters.centres_frame(s, model, slots)))
 
 
 def _station(s, d):
