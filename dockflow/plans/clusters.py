@@ -121,11 +121,23 @@ def fit_facts(assigned: DataFrame, centres: Sequence[Sequence[float]], near: flo
     return whole.select("rows", "groups", "misplaced", F.size(off).cast("long").alias("shifted"), "within", between.alias("between"))
 
 
+def fit_with_cost(cached: DataFrame, k: int, seed: int = SEED) -> tuple[KMeansModel, float]:
+    """A fit until no centre moves, and the squared distances to its centres.
+
+    The cost that a fit states is that of the centres before its last round, so it
+    only holds if that round moved none; else it is summed over the rows.
+    """
+    model = kmeans(k, seed).setMaxIter(ROUNDS).setTol(0.0).fit(cached)
+    if model.summary.numIter < ROUNDS:
+        return model, float(model.summary.trainingCost)
+    return model, float(fit_facts(model.transform(cached), [c.tolist() for c in model.clusterCenters()]).first()["within"])
+
+
 def elbow(points: DataFrame, ks: Sequence[int], seed: int = SEED) -> list[tuple[int, float]]:
     """(k, within-cluster sum of squares); the points are cached for the fits."""
     cached = points.select("features").persist()
     try:
-        return [(k, float(kmeans(k, seed).fit(cached).summary.trainingCost)) for k in ks]
+        return [(k, fit_with_cost(cached, k, seed)[1]) for k in ks]
     finally:
         cached.unpersist()
 

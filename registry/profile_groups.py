@@ -127,9 +127,9 @@ def _elbow_fit_facts(s, d):
         for name, points, ks in _series(s, d):
             cached = points.select("features").persist()
             for k in ends_of(ks):
-                model = clusters.kmeans(k).fit(cached)
+                model, cost = clusters.fit_with_cost(cached, k)
                 facts = clusters.fit_facts(model.transform(cached), [c.tolist() for c in model.clusterCenters()]).first()
-                total, cost = facts["within"] + facts["between"], model.summary.trainingCost
+                total = facts["within"] + facts["between"]
                 yield name, k, facts["misplaced"], abs(cost - facts["within"]) <= 1e-6 * total, cost < total
             cached.unpersist()
 

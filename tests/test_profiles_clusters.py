@@ -77,6 +77,16 @@ def test_elbow_falls_and_starts_at_the_total(panel):
     assert k1 > costs[2] > costs[3]
 
 
+@pytest.mark.parametrize("rounds", [200, 3])  # enough, and too few to settle
+def test_elbow_cost_is_that_of_the_fitted_centres(spark, monkeypatch, rounds):
+    monkeypatch.setattr(clusters, "ROUNDS", rounds)
+    rows = [(float(x), 0.0) for x in range(600)]
+    points = clusters.flow_points(spark.createDataFrame(rows, "check_in double, check_out double")).coalesce(1)
+    centres = np.array(clusters.fit_kmeans(points, 9).clusterCenters())
+    within = ((np.array(rows)[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1).sum()
+    assert dict(clusters.elbow(points, [9]))[9] == pytest.approx(within, rel=1e-9)
+
+
 def test_days_hold_an_array_over_all_slots(spark, panel):
     df = spark.createDataFrame([cell(1, 0, 0, 5), cell(1, 0, 620, 7), cell(2, 1, 620, None)], PANEL)
     rows = {r["number"]: r["stands"] for r in profiles.days(df).collect()}
