@@ -1,5 +1,10 @@
 """Near copies: texts whose sets of word shingles have a Jaccard of ``similarity`` or more.
 
+The first candidates come from the operator of ``simhash.py``: each set has a
+fingerprint, and its Gray-order index gives links that join all fingerprints within
+its radius.  A likeness of 0.8 may lie further apart than the radius, so the other
+pairs are found by prefixes.
+
 No pair is lost and none is taken on an estimate.  Shingles have one order: those
 that a sample finds frequent come last, the more frequent the later, all others
 by their hash.  Two sets of the wanted likeness then share a shingle among the
@@ -8,9 +13,11 @@ is checked on the whole sets.  The order may be any, so the sample decides on th
 cost only.
 
 To keep a large group of near copies from making all its pairs, each text is first
-checked against two texts of each shingle's group.  What these links join needs no
-further look; the other pairs of a group are then looked at too, so the components are
-those of all pairs.
+checked against two texts of each shingle's group and those that the index names.  What
+these links join needs no further look; the other pairs of a group are then looked at
+too, so the components are those of all pairs.  Texts that meet in several such groups
+are compared in the first of them: a member has the ``EARLIER`` smallest of its groups
+with it, and a pair that shares one before the group at hand is left to that one.
 
 Each set has a map of at least as many bits as shingles: a shingle turns one bit
 over.  Bits in which two maps differ stand for shingles that only one set has, so
@@ -41,11 +48,14 @@ from pyspark.sql import functions as F
 
 from dockflow.llm.common import discard, materialise
 from dockflow.llm.components import components
-from dockflow.llm.simhash import shingle_hashes
+from dockflow.llm.simhash import BLOCKS, SLICE, majority, shingle_hashes
+from dockflow.llm.simhash import links as index_links
 
 ONE_IN = 8  # texts in the sample
 SEEN = 4  # times in the sample that make a shingle frequent
 FREQUENT = 1 << 20
+RADIUS = 2  # of the index, in bits
+EARLIER = 32  # groups that a member names; pairs that share only others are compared again
 MARGIN = 1e-9  # for products of a decimal fraction
 BLOCK = 512  # members of a group that are compared together
 
@@ -110,7 +120,7 @@ def may_be_alike(m: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray, sim
 
 
 def nodes_of(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """doc_id, h (hash of the text), node (hash of the set), n, prefix, bits."""
+    """doc_id, h (hash of the text), node (hash of the set), n, prefix, bits, fps (the set's fingerprint)."""
     known = docs.sparkSession.sparkContext.broadcast(frequent(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,14 +129,18 @@ def nodes_of(docs: DataFrame, words: int, similarity: float) -> DataFrame:
             for text in batch.column(2):
                 s = shingle_set(text.as_py(), words)
                 node = np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64)
-                out.append((int(node), len(s), prefix(s, *known.value, similarity).view(np.int64), bit_map(s)))
-            node, n, first, bits = zip(*out, strict=True) if out else ((), (), (), ())
-            columns = [*batch.columns[:2], pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "node", "n", "prefix", "bits"])
+                out.append((int(node), len(s), prefix(s, *known.value, similarity).view(np.int64), bit_map(s), majority(slices(s))))
+            node, n, first, bits, fps = zip(*out, strict=True) if out else ((), (), (), (), ())
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (first, fps)]
+            columns = [*batch.columns[:2], pa.array(node, pa.int64()), pa.array(n, pa.int32()), lists[0], pa.array(bits, pa.binary()), lists[1]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "node", "n", "prefix", "bits", "fps"])
+
+    def slices(s: np.ndarray) -> Iterator[np.ndarray]:
+        return (s[at : at + SLICE] for at in range(0, len(s), SLICE))
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, h long, node long, n int, prefix array<long>, bits binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, h long, node long, n int, prefix array<long>, bits binary, fps array<long>")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -172,13 +186,14 @@ def plausible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
 
 
 def block_pairs(members: DataFrame, similarity: float) -> DataFrame:
-    """a, b: members of a group (g, size, node, n, bits, component) in different
-    components that sizes and maps do not refute; blocks of a group meet pairwise."""
+    """a, b: members of a group (g, size, node, n, bits, component, earlier) in different
+    components that sizes and maps do not refute; blocks of a group meet pairwise.
+    ``earlier``: some groups before g that the member has."""
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
     rows = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.withColumn("other", other).select(
-        "g", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "n", "component", "bits"
+        "g", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "n", "component", "bits", "earlier"
     )
     keys = ["g", "i", "j"]
     rows = rows.repartition(*keys).sortWithinPartitions(*keys)
@@ -186,21 +201,24 @@ def block_pairs(members: DataFrame, similarity: float) -> DataFrame:
     def compare(i: int, j: int, held: list[tuple]) -> tuple[list, list]:
         a, b = [], []
         classes: dict[tuple[int, int], list] = {}
-        for mine, node, n, component, bits in held:
-            classes.setdefault((mine, len(bits) // 8), []).append((node, n, component, bits))
+        for mine, node, n, component, bits, earlier in held:
+            classes.setdefault((mine, len(bits) // 8), []).append((node, n, component, bits, frozenset(earlier)))
         for (x_block, x_words), x in classes.items():
             for (y_block, y_words), y in classes.items():
-                if (x_block, y_block) != (i, j) or not 0.5 <= x_words / y_words <= 2:
-                    continue  # sizes of alike sets differ by a quarter at most
                 words = min(x_words, y_words)
-                xn, xm, xc, _ = (np.array(c) for c in zip(*x, strict=True))
-                yn, ym, yc, _ = (np.array(c) for c in zip(*y, strict=True))
+                if (x_block, y_block) != (i, j) or similarity * max(x_words, y_words) > 2 * words:
+                    continue  # a map has less than two bits for a shingle, and sizes of alike sets are near
+                xn, xm, xc = (np.array(c) for c in list(zip(*x, strict=True))[:3])
+                yn, ym, yc = (np.array(c) for c in list(zip(*y, strict=True))[:3])
                 xs, ys = (folded(np.frombuffer(b"".join(r[3] for r in z), "<u8").reshape(len(z), -1), words) for z in (x, y))
                 for k in range(len(x)):
                     good = may_be_alike(xm[k], ym, xs[k], ys, similarity) & (xc[k] != yc) & ((xn[k] < yn) | (i != j))
-                    for node in yn[good].tolist():
-                        a.append(min(int(xn[k]), node))
-                        b.append(max(int(xn[k]), node))
+                    node, before = x[k][0], x[k][4]
+                    for at in np.flatnonzero(good).tolist():
+                        other = y[at]
+                        if before.isdisjoint(other[4]):
+                            a.append(min(node, other[0]))
+                            b.append(max(node, other[0]))
         return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +249,9 @@ def links(docs: DataFrame, rows: DataFrame, words: int, similarity: float) -> Da
     groups = materialise(groups.where("size > 1"))
     members = materialise(keys.join(groups, "g"))
     star = members.select("node", F.explode(F.array("first", "last")).alias("hub")).where("node <> hub")
-    pairs = materialise(star.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
+    star = star.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    index = index_links(nodes.select("node", "fps"), RADIUS, BLOCKS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = materialise(star.unionByName(index).distinct())
     near = materialise(plausible(pairs, nodes, similarity))
     found = checked_texts(docs, near, nodes, words, similarity)
     discard(groups, near)
@@ -239,10 +259,15 @@ def links(docs: DataFrame, rows: DataFrame, words: int, similarity: float) -> Da
     placed = members.join(tied, "node", "left").select("g", "size", "node", F.coalesce("component", "node").alias("component"))
     placed = materialise(placed)
     apart = placed.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    placed = materialise(placed.join(materialise(apart.select("g")), "g").where("size > 2").join(nodes.select("node", "n", "bits"), "node"))
-    rest = materialise(block_pairs(placed, similarity).distinct().join(pairs, ["a", "b"], "left_anti"))
+    apart, joined = materialise(apart.select("g")), placed
+    placed = materialise(placed.join(apart, "g").where("size > 2"))
+    discard(members, joined, apart)
+    named = placed.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("g")), 1, EARLIER).alias("named"))
+    rows = placed.join(nodes.select("node", "n", "bits").join(named, "node"), "node")
+    rows = rows.withColumn("earlier", F.filter("named", lambda x: x < F.col("g"))).drop("named")
+    rest = materialise(block_pairs(rows, similarity).distinct().join(pairs, ["a", "b"], "left_anti"))
     more = checked_texts(docs, rest, nodes, words, similarity)
-    discard(members, pairs, placed, rest, tied, nodes)
+    discard(pairs, placed, rest, tied, nodes)
     return found.unionByName(more)
 
 

@@ -22,7 +22,7 @@ is not NULL; only doc_id and text are read; empty tables give empty results.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -67,10 +67,10 @@ def remixed(h: np.ndarray, family: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def fingerprint(text: str | None, words: int, families: int = 1) -> list[int]:
-    """One fingerprint per family of hashes, as signed 64-bit integers."""
+def majority(slices: Iterable[np.ndarray], families: int = 1) -> list[int]:
+    """One fingerprint per family, as signed 64-bit integers, of hashes in slices."""
     ones, n = np.zeros((families, 64), np.int64), 0
-    for h in shingle_hashes(text, words):
+    for h in slices:
         n += len(h)
         for f in range(families):
             bits = np.unpackbits(remixed(h, f).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -79,6 +79,10 @@ def fingerprint(text: str | None, words: int, families: int = 1) -> list[int]:
     return packed.view("<i8").ravel().tolist()
 
 
+def fingerprint(text: str | None, words: int, families: int = 1) -> list[int]:
+    return majority(shingle_hashes(text, words), families)
+
+
 def fingerprints(docs: DataFrame, words: int = 3, families: int = 1) -> DataFrame:
     """doc_id, h (hash of the text), fps (one signed 64-bit integer per family)."""
 

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 from dockflow.llm import jaccard
+from pyspark.sql import functions as F
 
 import cases
 import corpus_pipeline as pipeline
@@ -87,3 +88,58 @@ def test_clean_documents_stay(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = {x["doc_id"] for x in pipeline.near_duplicates(spark, docs, None).collect()}
     assert len(kept) == len(texts) - len(near)
+
+
+def one_family(n=16):
+    """Texts of one base with three or four words of their own, far apart: those with
+    three are alike, the others lie just under 0.8."""
+    texts, free = [], iter(range(4, 300, 5))
+    for k in range(n):
+        copy = [f"w{i}" for i in range(300)]
+        for i in [next(free) for _ in range(3 + k % 2)]:
+            copy[i] = f"n{k}x{i}"
+        texts.append(" ".join(copy))
+    return texts
+
+
+def test_pairs_of_several_groups_are_compared_once(spark, monkeypatch):
+    texts = one_family()
+    like = likeness(texts)
+    assert 0 < sum(s >= 0.8 for s in like.values()) < len(like)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    root, real, made = brute_components(len(texts), like), jaccard.block_pairs, []
+
+    def counted(*args):
+        pairs = real(*args)
+        made.append((pairs.count(), pairs.distinct().count()))
+        return pairs
+
+    monkeypatch.setattr(jaccard, "block_pairs", counted)
+    for earlier in (32, 1):  # a member that names fewer groups only costs more
+        monkeypatch.setattr(jaccard, "EARLIER", earlier)
+        got = {r["doc_id"]: r["component"] for r in jaccard.near_copies(docs).collect()}
+        assert len({(got[i], root[i]) for i in got}) == len(set(root)) == len(set(got.values()))
+    assert made[0][0] == made[0][1] > 0 and made[1][0] >= made[1][1]
+
+
+def test_index_of_fingerprints_names_near_copies(spark, monkeypatch):
+    texts = [" ".join(f"b{k}x{i}" for i in range(900)) for k in range(4)]
+    texts += [t + " end" for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    real = jaccard.nodes_of  # without prefixes only the index finds pairs
+    monkeypatch.setattr(jaccard, "nodes_of", lambda *a: real(*a).withColumn("prefix", F.array().cast("array<long>")))
+    got = {r["doc_id"]: r["component"] for r in jaccard.near_copies(docs).collect()}
+    assert all(got[k] == got[k + 4] for k in range(4)) and len(set(got.values())) == 4
+
+
+def test_sizes_of_a_small_likeness_may_differ_much(spark):
+    words = [f"w{i}" for i in range(900)]
+    texts = [" ".join(words[:n]) for n in (900, 254, 253, 258)] + [" ".join(words[:250] + [f"z{k}"]) for k in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    like = likeness(texts)
+    root = list(range(len(texts)))
+    for (i, j), s in like.items():
+        if s >= 0.25:
+            root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
+    got = {r["doc_id"]: r["component"] for r in jaccard.near_copies(docs, similarity=0.25).collect()}
+    assert len({(got[i], root[i]) for i in got}) == len(set(root)) == len(set(got.values()))
