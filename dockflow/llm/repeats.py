@@ -28,7 +28,7 @@ count as earlier than each other; repeated rows get equal results; only doc_id
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -265,8 +265,8 @@ class Shared:
         self.done += [(entry[1], h, start, start + size) for h, start in entry[2]]
 
 
-def windows_to_cut(texts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
-    """For each segment, the windows that one of a smaller document equals."""
+def stretches_to_cut(texts: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segment, begin and end of each stretch of windows that ones of smaller documents equal."""
     # symbols: 0 ends all, 1 ends a segment, then the bytes that occur
     raw = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(x) for x in texts])
@@ -290,24 +290,24 @@ def windows_to_cut(texts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     least = np.minimum.reduceat(docs[segment[sa]], begin)
     cut = np.zeros(len(t), bool)
     cut[sa] = least[np.cumsum(new) - 1] < docs[segment[sa]]
-    starts = ends - sizes + np.arange(len(texts))
-    return [np.flatnonzero(cut[s : s + n - WINDOW + 1]) for s, n in zip(starts, sizes, strict=True)]
-
-
-def runs_of(windows: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Stretches that neighbouring windows cover."""
-    for part in np.split(windows, np.flatnonzero(np.diff(windows) > 1) + 1) if len(windows) else ():
-        yield int(part[0]), int(part[-1]) + WINDOW
+    # only whole windows, so no stretch goes on into the next segment
+    stop = ends + np.arange(len(texts))
+    cut &= stop[segment] - np.arange(len(t)) >= WINDOW
+    edge = np.diff(np.concatenate([[0], cut, [0]]).astype(np.int8))
+    begin, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+    of = segment[begin]
+    start = (stop - sizes)[of]
+    return of, begin - start, last + WINDOW - start
 
 
 PIECE = "shard int, doc long, h int, start int, stop int, piece binary"
 
 
-def merged(rows: list[tuple]) -> np.ndarray:
+def merged(rows: list[tuple], more: Iterable[np.ndarray] = ()) -> np.ndarray:
     """Stretches (doc, h, start, stop) with those that touch made one."""
-    if not rows:
-        return np.zeros((0, 4), np.int64)
-    x = np.array(rows, np.int64)
+    x = np.concatenate([np.array(rows, np.int64).reshape(-1, 4), *more])
+    if not len(x):
+        return x
     doc, h, start, stop = x[np.lexsort((x[:, 2], x[:, 1], x[:, 0]))].T
     shift = np.cumsum(changes(doc, h)) << 32  # so that texts lie apart
     reach = np.maximum.accumulate(stop + shift)
@@ -352,14 +352,15 @@ def cutter(buckets: int, shards: int, hot: set[int]):
             for h, row, start, count in all_segments(enumerate(raws)):
                 bucket, low = split_hash(h, buckets)
                 anchor = bucket * (1 << 32) + low
-                for j in np.flatnonzero(np.isin(mark(row, anchor), wanted)).tolist():
-                    k, a, s, n = int(row[j]), int(anchor[j]), int(start[j]), int(count[j])
+                at = np.flatnonzero(np.isin(mark(row, anchor), wanted))
+                to = (anchor[at].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(shards)
+                for k, a, s, n, shard in zip(*[c.tolist() for c in (row[at], anchor[at], start[at], count[at], to)], strict=True):
                     if a in hot:
                         for w in range(s, s + n):
                             x = raws[k][w : w + WINDOW]
                             shared.add(x, xxhash.xxh32_intdigest(x) % shards, docs[k], hashes[k], w)
                     else:
-                        shared.add(raws[k][s : s + n + WINDOW - 1], a * 0x9E3779B1 % 2**61 % shards, docs[k], hashes[k], s)
+                        shared.add(raws[k][s : s + n + WINDOW - 1], shard, docs[k], hashes[k], s)
                 if len(shared.seen) + len(shared.done) > 300_000:
                     yield from flush()
         yield from flush()
@@ -369,26 +370,31 @@ def cutter(buckets: int, shards: int, hot: set[int]):
 
 def shard_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The stretches to remove (piece NULL), from pieces that come by shard."""
-    current, shared = None, Shared()
+    current, shared, settled = None, Shared(), []
 
     def flush() -> Iterator[pa.RecordBatch]:
         rows, texts = shared.done, sorted(shared.seen)
         if texts:
             docs = np.array([shared.seen[x][1] for x in texts], np.int64)
-            for x, windows in zip(texts, windows_to_cut(texts, docs), strict=True):
-                for begin, end in runs_of(windows):
-                    rows += [(shared.seen[x][1], h, s + begin, s + end) for h, s in shared.seen[x][2]]
-        yield from piece_rows([], merged(rows))
+            for k, begin, end in zip(*[x.tolist() for x in stretches_to_cut(texts, docs)], strict=True):
+                _, doc, places = shared.seen[texts[k]]
+                rows += [(doc, h, s + begin, s + end) for h, s in places]
+        yield from piece_rows([], merged(rows, settled))
         shared.__init__()
+        settled.clear()
 
     for batch in batches:
-        for shard, doc, h, start, stop, piece in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if shard != current:
+        shards = batch.column(0).to_numpy()
+        border = np.flatnonzero(changes(shards)) if len(shards) else shards
+        for begin, end in zip(border.tolist(), [*border.tolist()[1:], len(shards)], strict=False):
+            if (shard := int(shards[begin])) != current:
                 yield from flush()
                 current = shard
-            if piece is None:
-                shared.done.append((doc, h, start, stop))
-            else:
+            part = batch.slice(begin, end - begin)
+            done, part = part.filter(part.column(5).is_null()), part.filter(part.column(5).is_valid())
+            if done.num_rows:
+                settled.append(np.stack([c.to_numpy().astype(np.int64) for c in done.columns[1:5]], axis=1))
+            for doc, h, start, piece in zip(*[part.column(c).to_pylist() for c in (1, 2, 3, 5)], strict=True):
                 shared.add(piece, shard, doc, h, start)
     yield from flush()
 

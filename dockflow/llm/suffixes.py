@@ -75,19 +75,35 @@ def words_at(t: np.ndarray) -> np.ndarray:
 
 
 def ordered(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a text of names: ranks of twice the length come
-    from pairs of ranks until all differ."""
-    rank, n, reach = names.astype(np.int64), len(names), 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: max(n - reach, 0)] = rank[reach:] + 1
-        key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        rank[order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-        if rank[order[-1]] == n - 1:
-            return order
+    """Order of the suffixes of a text of names: a rank is the first place of its
+    equals, and ranks of twice the length come from pairs of ranks.  Only suffixes
+    that still have an equal are sorted again."""
+    n, reach = len(names), 1
+
+    def groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the group of each place begins, and the places that share theirs."""
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        return np.maximum.accumulate(np.where(new, np.arange(len(key)), 0)), ~(new & np.append(new[1:], True))
+
+    order = np.argsort(names)
+    first, tied = groups(names[order])
+    rank = np.empty(n, np.int64)
+    rank[order] = first
+    at = np.flatnonzero(tied)
+    while len(at):
+        x = order[at]
+        after = np.zeros(len(x), np.int64)
+        inside = x + reach < n
+        after[inside] = rank[x[inside] + reach] + 1
+        key = rank[x] * (n + 2) + after
+        by = np.argsort(key)
+        x = x[by]
+        order[at] = x
+        first, tied = groups(key[by])
+        rank[x] = at[first]
+        at = at[tied]
         reach *= 2
+    return order
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
