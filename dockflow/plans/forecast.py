@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexerModel, VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -12,6 +11,7 @@ from pyspark.sql import Window as W
 from dockflow.functions import calendar as cal
 from dockflow.functions import service
 from dockflow.functions.flows import activity, occupancy
+from dockflow.operators.forest import ForestRegressor
 from dockflow.operators.keys import null_safe_join
 from dockflow.operators.layout import spread
 from dockflow.operators.ranking import row_index
@@ -199,15 +199,15 @@ def forest_pipeline(trees: int = TREES, depth: int = DEPTH, seed: int = SEED) ->
     assembler = VectorAssembler(
         inputCols=[f"{name}_ix" for name in CATEGORIES] + NUMBERS, outputCol="features"
     )
-    forest = RandomForestRegressor(
-        featuresCol="features",
-        labelCol="av_bikes",
-        predictionCol="pred",
-        numTrees=trees,
-        maxDepth=depth,
-        maxBins=256,
-        minInstancesPerNode=5,
-        featureSubsetStrategy="2",
+    forest = ForestRegressor(
+        features="features",
+        label="av_bikes",
+        prediction="pred",
+        trees=trees,
+        depth=depth,
+        bins=256,
+        least=5,
+        tried=2,
         seed=seed,
     )
     return Pipeline(stages=[*indexers, assembler, forest])
