@@ -5,6 +5,7 @@ import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 
+from dockflow import session
 from dockflow.operators import forest
 from dockflow.plans import forecast
 from registry import demand
@@ -135,7 +136,7 @@ def test_rows_without_a_split(spark):
         fitted(df.limit(0), **SETTINGS)
 
 
-def test_names_of_stages_stay():
+def test_names_of_stages_stay(spark):
     stages = forecast.forest_pipeline().getStages()
     assert [type(s) for s in stages] == [StringIndexerModel] * 4 + [VectorAssembler, forest.ForestRegressor]
     spec = stages[-1].spec
@@ -150,3 +151,13 @@ def test_queries_read_the_split_rows_again(spark):
     given = forecast.time_split(demand.features(spark, "/root/testdata/sf0.001"), "2024-01-15")
     assert split.dtypes == given.dtypes
     assert sorted(map(repr, split.collect())) == sorted(map(repr, given.collect()))
+
+
+def test_a_saved_forest_needs_no_other_folder(spark, tmp_path):
+    df = spark.createDataFrame(made(200), ROWS)
+    model = fitted(df, **SETTINGS)
+    got = predictions(model, df)
+    forecast.save_model(model, str(tmp_path / "model"))
+    session.remove_dir(spark, model.stages[-1].path)
+    again = forecast.load_model(str(tmp_path / "model"))
+    assert again.stages[-1].uid == model.stages[-1].uid and predictions(again, df) == got
