@@ -161,3 +161,11 @@ def test_a_saved_forest_needs_no_other_folder(spark, tmp_path):
     session.remove_dir(spark, model.stages[-1].path)
     again = forecast.load_model(str(tmp_path / "model"))
     assert again.stages[-1].uid == model.stages[-1].uid and predictions(again, df) == got
+
+
+def test_scores_are_the_same_to_the_last_digit(spark):
+    """Parts of a prediction are added in one order, however the rows lie."""
+    df = spark.createDataFrame(made(200), ROWS)
+    model = fitted(df, **SETTINGS | {"trees": 40})
+    assert len(model.stages[-1].bundles) > 3
+    assert predictions(model, df.repartition(5)) == predictions(model, df.coalesce(1))
