@@ -169,3 +169,14 @@ def test_scores_are_the_same_to_the_last_digit(spark):
     model = fitted(df, **SETTINGS | {"trees": 40})
     assert len(model.stages[-1].bundles) > 3
     assert predictions(model, df.repartition(5)) == predictions(model, df.coalesce(1))
+
+
+def test_every_row_is_scored_inside_the_range(spark):
+    """Columns stay, equal predictors have equal predictions."""
+    df = spark.createDataFrame(made(300), ROWS).cache()
+    low, high = df.selectExpr("min(av_bikes)", "max(av_bikes)").first()
+    scored = fitted(df, **SETTINGS).transform(df)
+    assert scored.count() == df.count() and scored.where("pred is null").count() == 0
+    assert scored.where(~scored["pred"].between(low, high)).count() == 0
+    assert scored.columns[: len(df.columns)] == df.columns and scored.columns[-1] == "pred"
+    assert scored.groupBy(*df.columns[:-1]).agg({"pred": "min"}).count() == df.select(*df.columns[:-1]).distinct().count()
