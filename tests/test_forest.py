@@ -180,3 +180,10 @@ def test_every_row_is_scored_inside_the_range(spark):
     assert scored.where(~scored["pred"].between(low, high)).count() == 0
     assert scored.columns[: len(df.columns)] == df.columns and scored.columns[-1] == "pred"
     assert scored.groupBy(*df.columns[:-1]).agg({"pred": "min"}).count() == df.select(*df.columns[:-1]).distinct().count()
+
+
+def test_importance_is_the_share_of_the_gain(spark):
+    """Of one predictor that tells all and others that are constant."""
+    rows = [("Mon", "08:00", "1", "Winter", float(i % 20), 53.0, -6.0, float(i % 20 > 9)) for i in range(200)]
+    shares = fitted(spark.createDataFrame(rows, ROWS), **SETTINGS | {"tried": 7}).stages[-1].featureImportances
+    assert shares.toArray().tolist() == [0, 0, 0, 0, 1, 0, 0]
