@@ -187,3 +187,11 @@ def test_importance_is_the_share_of_the_gain(spark):
     rows = [("Mon", "08:00", "1", "Winter", float(i % 20), 53.0, -6.0, float(i % 20 > 9)) for i in range(200)]
     shares = fitted(spark.createDataFrame(rows, ROWS), **SETTINGS | {"tried": 7}).stages[-1].featureImportances
     assert shares.toArray().tolist() == [0, 0, 0, 0, 1, 0, 0]
+
+
+def test_a_saved_forest_keeps_its_importances(spark, tmp_path):
+    model = fitted(spark.createDataFrame(made(200), ROWS), **SETTINGS)
+    forecast.save_model(model, str(tmp_path / "model"))
+    shares = forecast.impurity_importance(spark, forecast.load_model(str(tmp_path / "model")))
+    assert shares.collect() == forecast.impurity_importance(spark, model).collect()
+    assert shares.count() == 7 and sum(r["importance"] for r in shares.collect()) == pytest.approx(1.0)
